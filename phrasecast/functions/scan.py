@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from phrasecast.session import materialize
 
 
-def _join_nullsafe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right, on=list(on), how="inner")
-
-
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,7 +47,7 @@ def prefix_sums(
         if totals and depth == 1:
             whole = Window.partitionBy(*(keys or [F.lit(0)]))
             cols += [F.sum(f"__t_{n}").over(whole).alias(f"{n}_total") for n in names]
-        out = _join_nullsafe(out, level.select(*group, *cols), group)
+        out = out.join(level.select(*group, *cols), group)
 
     for n in names:
         offset = F.col(n)
@@ -107,6 +103,7 @@ def skew_join(
     dim: DataFrame,
     on: str,
     how: str = "inner",
+    spread: Sequence[str] | None = None,
     hot_share: int = 1000,
     salts: int = 64,
 ) -> DataFrame:
@@ -114,7 +111,8 @@ def skew_join(
 
     A key is hot when it holds more than 1/``hot_share`` of the fact rows, so there are fewer than
     ``hot_share`` hot keys: that bound is what allows the broadcast of the hot list. Only hot rows of
-    ``dim`` are copied. ``how`` is inner or left.
+    ``dim`` are copied. ``spread`` names the fact columns that choose the salt (a row id, best); ``how``
+    is inner or left.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
@@ -124,7 +122,7 @@ def skew_join(
         counts.filter(F.col(on).isNotNull() & (F.col("__n") * hot_share > total.scalar()))
         .select(F.col(on), F.lit(True).alias("__hot"))
     )
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns if _hashable(fact, c)]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*(spread or fact.columns)), F.lit(salts)).cast("int")
     left = (
         fact.join(F.broadcast(hot), on, "left")
         .withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0)))
@@ -140,6 +138,3 @@ def skew_join(
     )
     return left.join(right, [on, "__salt"], how).drop("__salt")
 
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() in ("string", "long", "integer", "date", "timestamp", "double")
