@@ -1,4 +1,4 @@
-"""Text cleaning as array expressions over the lines of one page."""
+"""Text cleaning as column expressions over the text of one page."""
 
 from __future__ import annotations
 
@@ -9,13 +9,12 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
+# Whitespace that may stand inside a line, once all line breaks are written as \n.
+BLANK = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+
 # Lines dropped at the top and at the bottom of a page.
-HEADER_LINE = (
-    rf"(?iu)^{SPACE}*page{SPACE}+\p{{Nd}}+"
-    rf"|^{SPACE}*federal reserve"
-    rf"|^{SPACE}*press{SPACE}+conference"
-)
-FOOTER_LINE = rf"^{SPACE}*\p{{Nd}}+{SPACE}*/{SPACE}*\p{{Nd}}+{SPACE}*$|^{SPACE}*\*+{SPACE}*$"
+HEADER_LINE = rf"{BLANK}*(?:page{BLANK}+\p{{Nd}}|federal reserve|press{BLANK}+conference)[^\n]*"
+FOOTER_LINE = rf"{BLANK}*(?:\p{{Nd}}+{BLANK}*/{BLANK}*\p{{Nd}}+|\*+){BLANK}*"
 
 # Words allowed inside a speaker label.
 CONNECTORS = ["of", "the", "and", "for", "to", "in", "on", "at", "with"]
@@ -37,11 +36,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (strip(text) == "")
-
-
-def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    return text.isNull() | ~text.rlike(f"[^{SPACE[1:]}")
 
 
 def harmonise_punctuation(text: Column) -> Column:
@@ -49,27 +44,24 @@ def harmonise_punctuation(text: Column) -> Column:
     return F.translate(text, "–—’‘“”", "--''\"\"")
 
 
-def split_lines(text: Column) -> Column:
-    """Lines of the harmonised text; a final line break does not open another line."""
-    lines = F.split(harmonise_punctuation(text), LINE_BREAK)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+def unify_line_breaks(text: Column) -> Column:
+    return F.regexp_replace(text, LINE_BREAK, "\n")
 
 
-def drop_header_lines(lines: Column) -> Column:
-    """Drop leading lines while they look like a page header."""
-    first = F.array_position(F.transform(lines, lambda line: line.rlike(HEADER_LINE)), False)
-    return F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(
-        F.slice(lines, 1, 0)
-    )
+def drop_header_lines(text: Column) -> Column:
+    """Drop leading lines while they look like a page header; a blank line ends the header."""
+    return F.regexp_replace(text, rf"(?iu)\A(?:{HEADER_LINE}(?:\n|\z))+", "")
 
 
-def drop_footer_lines(lines: Column) -> Column:
-    """Drop trailing lines while they look like a page footer."""
-    back = F.array_position(
-        F.reverse(F.transform(lines, lambda line: line.rlike(FOOTER_LINE))), False
-    )
-    keep = F.when(back > 0, F.size(lines) - back.cast("int") + 1).otherwise(0)
-    return F.slice(lines, 1, keep)
+def drop_footer_lines(text: Column) -> Column:
+    """Drop trailing lines while they look like a page footer; a final line break is no line."""
+    return F.regexp_replace(text, rf"(?:(?:\n|\A){FOOTER_LINE})+\n?\z", "")
+
+
+def normalise_lines(text: Column) -> Column:
+    """Collapse whitespace inside lines, trim lines, drop blank lines."""
+    flat = F.regexp_replace(F.regexp_replace(text, f"{BLANK}+", " "), r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(flat, r"\A[ \n]+|[ \n]+\z", "")
 
 
 def is_speaker_label(label: Column) -> Column:
@@ -88,20 +80,19 @@ def _relabel(line: Column) -> Column:
     ).otherwise(line["text"])
 
 
-def normalise_lines(lines: Column) -> Column:
-    """Collapse whitespace, drop blank lines, write speaker labels as ``NAME: rest``."""
-    flat = F.filter(F.transform(lines, collapse_spaces), lambda line: line != "")
+def normalise_labels(text: Column) -> Column:
+    """Write speaker labels at line starts as ``NAME: rest``; lines must be normalised."""
     seen = F.transform(
-        flat,
+        F.split(text, "\n"),
         lambda line: F.struct(line.alias("text"), F.regexp_extract(line, LABEL_HEAD, 1).alias("label")),
     )
-    return F.transform(seen, _relabel)
+    return F.array_join(F.transform(seen, _relabel), "\n")
 
 
 def clean_page(text: Column) -> Column:
-    """All cleaning steps for the text of one page."""
-    lines = drop_footer_lines(drop_header_lines(split_lines(text)))
-    return F.array_join(normalise_lines(lines), "\n")
+    """All cleaning steps for the text of one page; each step reads its input once."""
+    lines = unify_line_breaks(harmonise_punctuation(text))
+    return normalise_labels(normalise_lines(drop_footer_lines(drop_header_lines(lines))))
 
 
 def speaker_list(text: Column) -> Column:

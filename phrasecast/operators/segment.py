@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasecast.functions.scan import prefix_sums
 from phrasecast.functions.text import SPACE, clean_page, is_blank, strip
+from phrasecast.session import materialize
 
 PAGE_BREAK = "\n\n"
 PAGE_BLOCK = 1024  # pages per block of the running totals
@@ -124,6 +125,7 @@ def _labels_of_pages(pages: DataFrame) -> DataFrame:
         "page_no",
         "page_idx",
         "offset",
+        "n_chars",
         F.char_length("lead").alias("lead_chars"),
         F.least(taken, F.col("n_chars")).cast("int").alias("taken"),
         F.regexp_extract_all("whole", F.lit(LABEL), F.lit(0)).alias("labels"),
@@ -151,7 +153,7 @@ def _turn_pieces(pages: DataFrame) -> DataFrame:
         ),
     )
     rows = page.join(counted, ["event_id", "page_no"]).select(
-        "event_id", "page_no", "page_idx", "offset", "lead_chars", "taken", "k", "turns_before",
+        "event_id", "page_no", "page_idx", "offset", "n_chars", "lead_chars", "taken", "k", "turns_before",
         "turns_before_total", F.explode(parts).alias("p"),
     )
     # Positions inside one page: the group is one page and is already in one place.
@@ -165,6 +167,8 @@ def _turn_pieces(pages: DataFrame) -> DataFrame:
         "event_id",
         "page_no",
         "page_idx",
+        "offset",
+        "n_chars",
         (F.col("turns_before") + F.col("p.j")).alias("turn_no"),
         F.col("turns_before_total").alias("turns"),
         F.when(F.col("p.j") > 0, strip(F.regexp_replace("p.label", r":\z", ""))).alias("speaker"),
@@ -194,7 +198,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
     return ranked.withColumn("segment_no", F.col("earlier") + 1).drop("earlier")
 
 
-def _tail_segments(pages: DataFrame, turns: DataFrame) -> DataFrame:
+def _tail_segments(pages: DataFrame, pieces: DataFrame, turns: DataFrame) -> DataFrame:
     """Text after the last turn that has any: trailing empty turns form one segment without speaker."""
     state = (
         turns.groupBy("event_id")
@@ -211,7 +215,7 @@ def _tail_segments(pages: DataFrame, turns: DataFrame) -> DataFrame:
         "n_spoken",
         F.when(F.col("last_spoken") == 0, F.lit(0)).otherwise(F.col("label_at")).alias("tail_at"),
     )
-    reach = page_offsets(pages).select("event_id", "page_no", "page_idx", "offset", "n_chars")
+    reach = pieces.select("event_id", "page_no", "page_idx", "offset", "n_chars").distinct()
     touched = reach.join(starts, "event_id").filter(F.col("offset") + F.col("n_chars") > F.col("tail_at"))
     skipped = F.greatest(F.col("tail_at") - F.col("offset"), F.lit(0)).cast("int")
     raw = (
@@ -245,9 +249,10 @@ def segment_by_speaker(pages: DataFrame, window: int = 200, stride: int | None =
     """Speaker turns of each event; events without any label fall back to token windows.
 
     Text before the first label is dropped, turns without text are skipped, ids count what is left.
-    Offsets are positions in the joined text of the event.
+    Offsets are positions in the joined text of the event. The pieces are written once to the shared
+    folder: numbering and tails read only their small columns.
     """
-    pieces = _turn_pieces(pages)
+    pieces = materialize(_turn_pieces(pages), "turn-pieces")
     labelled = pieces.filter("turns > 0 AND turn_no > 0")
     turns = labelled.groupBy("event_id", "turn_no").agg(
         F.bool_or(~is_blank(F.col("text"))).alias("spoken"), F.max("label_at").alias("label_at")
@@ -258,7 +263,7 @@ def segment_by_speaker(pages: DataFrame, window: int = 200, stride: int | None =
     spoken = _trimmed(whole.join(_numbered(turns), ["event_id", "turn_no"]), "raw", "at").select(
         "event_id", "segment_no", "text", "speaker", "start_char", "end_char"
     )
-    by_turn = spoken.unionByName(_tail_segments(pages, turns)).select(
+    by_turn = spoken.unionByName(_tail_segments(pages, pieces, turns)).select(
         "event_id",
         F.format_string("%s_S%04d", "event_id", "segment_no").alias("segment_id"),
         "text",
@@ -266,8 +271,8 @@ def segment_by_speaker(pages: DataFrame, window: int = 200, stride: int | None =
         F.col("start_char").cast("bigint").alias("start_char"),
         F.col("end_char").cast("bigint").alias("end_char"),
     )
-    unlabelled = pieces.filter("turns = 0").select("event_id", "page_no")
-    plain = pages.join(unlabelled, ["event_id", "page_no"], "left_semi")
+    # Without labels the only piece of a page is the page.
+    plain = pieces.filter("turns = 0").select("event_id", "page_no", "text")
     return by_turn.unionByName(segment_by_window(plain, window, stride))
 
 

@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
-def build_session(app: str = "phrasecast", master: str | None = None, cpus: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "phrasecast", master: str | None = None, cpus: int | None = None, extra: dict[str, str] | None = None
+) -> SparkSession:
     """A session with the settings the library relies on (UTC clock, AQE with skew handling)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     if cpus:
         builder = builder.config("spark.sql.shuffle.partitions", str(cpus))
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
