@@ -1,5 +1,5 @@
 """All registered queries: name -> (function, SQL twin or None)."""
 
-from catalog import transcripts
+from catalog import rates, transcripts
 
-ALL = {**transcripts.QUERIES}
+ALL = {**transcripts.QUERIES, **rates.QUERIES}

@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from phrasecast.functions.text import strip
+from phrasecast.functions.text import SPACE, strip
 
 # Price fields of a market in order of preference, and the allowed candle periods.
 PRICE_FIELDS = ["last_price", "last_trade_price", "yes_bid", "yes_ask"]
 CANDLE_MINUTES = [1, 60, 1440]
 
-_NUMBER = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)$"
+_NUMBER = rf"(?i)^{SPACE}*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan){SPACE}*$"
 _ISO_TIME = (
     r"^\d{4}-\d{2}-\d{2}"
     r"(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
@@ -47,35 +47,27 @@ def kelly_edge(mine: Column, market: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """DOUBLE of a plain decimal, infinity or NaN spelling, else NULL."""
-    clean = strip(text.cast("string"))
-    named = F.when(clean.rlike(r"(?i)^[+-]?inf(?:inity)?$"), F.when(
-        clean.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-    nan = F.when(clean.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
-    return F.coalesce(named, nan, F.when(clean.rlike(_NUMBER), clean.try_cast("double")))
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def first_price(fields: Sequence[str] = PRICE_FIELDS) -> Column:
     """The first price field that is neither NULL nor empty, as text."""
-    return F.coalesce(*[F.when(F.col(f).cast("string") != "", F.col(f).cast("string")) for f in fields])
+    return F.coalesce(*[F.nullif(F.col(f).cast("string"), F.lit("")) for f in fields])
 
 
-def price_error(raw: Column) -> Column:
-    """Why a price gives no probability, or NULL when it does."""
-    value = to_number(raw)
+def price_error(price: Column, value: Column) -> Column:
+    """Why a price gives no probability, or NULL when it does; ``value`` is its number."""
     return (
-        F.when(raw.isNull(), "no_price")
+        F.when(price.isNull(), "no_price")
         .when(value.isNull(), "not_numeric")
-        .when(F.isnan(value), None)
         .when(value < 0, "negative")
-        .when(value / 100 > 1, "above_one")
+        .when((value > 100) & ~F.isnan(value), "above_one")
     )
 
 
-def price_probability(raw: Column) -> Column:
-    """Fractions stay, cents are divided by 100; NULL where ``price_error`` is set."""
-    value = to_number(raw)
-    cents = F.when((value > 1) & ~F.isnan(value), value / 100).otherwise(value)
-    return F.when(price_error(raw).isNull(), cents)
+def price_probability(value: Column) -> Column:
+    """Fractions stay, cents are divided by 100."""
+    return F.when((value > 1) & ~F.isnan(value), value / 100).otherwise(value)
 
 
 def event_date(text: Column) -> Column:
@@ -113,7 +105,7 @@ def publication_time(text: Column) -> Column:
 
 def clean_metric(value: Column) -> Column:
     """A stored metric as DOUBLE; text that is no number and NaN become NULL."""
-    number = to_number(value)
+    number = to_number(value.cast("string"))
     return F.when(~F.isnan(number), number)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasecast.functions.numbers import (
-    CANDLE_MINUTES, PRICE_FIELDS, first_price, price_error, price_probability,
+    CANDLE_MINUTES, PRICE_FIELDS, first_price, price_error, price_probability, to_number,
 )
 from phrasecast.functions.text import strip
 
@@ -45,17 +45,22 @@ def parse_references(df: DataFrame, value: str, series: str | None = None) -> Da
     return df.withColumn("__ref", ref).select(*df.columns, "__ref.*")
 
 
+def _priced(markets: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Step by step, so that every value is computed once."""
+    out = markets.withColumn("price", first_price(fields))
+    out = out.withColumn("price_value", to_number(F.col("price")))
+    return out.withColumn("error", price_error(F.col("price"), F.col("price_value")))
+
+
 def market_probabilities(markets: DataFrame, fields: Sequence[str] = PRICE_FIELDS) -> DataFrame:
     """``(ticker, market_probability)`` of the markets with a usable price."""
-    raw = first_price(fields)
-    priced = markets.select("ticker", price_probability(raw).alias("market_probability"))
-    return priced.filter(F.col("market_probability").isNotNull())
+    good = _priced(markets, fields).filter(F.col("error").isNull())
+    return good.select("ticker", price_probability(F.col("price_value")).alias("market_probability"))
 
 
 def price_failures(markets: DataFrame, fields: Sequence[str] = PRICE_FIELDS) -> DataFrame:
     """The markets left out of ``market_probabilities`` and why."""
-    raw = first_price(fields)
-    return markets.withColumn("price", raw).withColumn("error", price_error(raw)).filter(F.col("error").isNotNull())
+    return _priced(markets, fields).filter(F.col("error").isNotNull()).drop("price_value")
 
 
 def compare_to_market(model: DataFrame, market: DataFrame) -> DataFrame:
