@@ -1,5 +1,5 @@
 """All registered queries: name -> (function, SQL twin or None)."""
 
-from catalog import rates, transcripts
+from catalog import newsflow, rates, transcripts
 
-ALL = {**transcripts.QUERIES, **rates.QUERIES}
+ALL = {**transcripts.QUERIES, **rates.QUERIES, **newsflow.QUERIES}

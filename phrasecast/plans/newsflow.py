@@ -19,13 +19,6 @@ class NewsTables:
     digest: DataFrame
 
 
-def features_of(articles: DataFrame, terms: Sequence[str]) -> NewsTables:
-    """Features and provenance of a table of articles with their places."""
-    copies = news.first_copies(news.measure_articles(articles, terms))
-    rows = news.provenance_rows(copies)
-    return NewsTables(news.event_features(copies, terms), news.provenance_json(rows), None)
-
-
 def build_features(spark: SparkSession, folder: str, terms: Sequence[str], output: str | None = None) -> NewsTables:
     """Features of every dump under ``folder``; the deduplicated articles are written once and reused."""
     lines = dumps.read_lines(spark, folder)
