@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phrasecast.operators import label
-from phrasecast.operators.news import POSITION
+from phrasecast.session import spread
 
 # Tracked phrases that occur in the invented prose; "policy" never does.
 TERMS = ["the", "is", "of the", "le / la", "entre", "policy"]
@@ -13,7 +13,8 @@ TARGETS = ["target__the", "target__is", "target__of_the", "target__le_la", "targ
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations") else df
 
 
 def _event(column: str):

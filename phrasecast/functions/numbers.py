@@ -110,8 +110,8 @@ def clean_metric(value: Column) -> Column:
 
 
 def format_percent(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit("—"))
+    return F.when(value.isNotNull(), F.format_string("%.1f%%", F.bround(value * 100, 1))).otherwise("—")
 
 
 def format_score(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", value), F.lit("—"))
+    return F.when(value.isNotNull(), F.format_string("%.3f", F.bround(value, 3))).otherwise("—")

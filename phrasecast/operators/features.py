@@ -169,9 +169,26 @@ def scale_features(features: DataFrame, scales: DataFrame) -> DataFrame:
     return features.join(scales, "feature").select("row_id", "feature", (F.col("value") / F.col("scale")).alias("value"))
 
 
-def feature_index(features: DataFrame) -> DataFrame:
+def text_names(vocabulary: DataFrame) -> DataFrame:
+    return vocabulary.select(F.col("term").alias("feature"))
+
+
+def category_names(levels: DataFrame) -> DataFrame:
+    return levels.filter("kept").select(F.concat_ws("_", "column", "level").alias("feature"))
+
+
+def union_names(blocks: dict[str, DataFrame]) -> DataFrame:
+    """Feature names of all blocks, taken from their fitted tables, so no row is scanned for them."""
+    out = None
+    for name, df in blocks.items():
+        part = df.select(F.concat(F.lit(f"{name}__"), F.col("feature")).alias("feature"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def feature_index(names: DataFrame) -> DataFrame:
     """``(feature, index)``: places in the vector, in feature-name order."""
-    return global_index(features.select("feature").distinct(), ["feature"], "index")
+    return global_index(names.select("feature").distinct(), ["feature"], "index")
 
 
 def feature_vectors(rows: DataFrame, features: DataFrame, index: DataFrame, size: int) -> DataFrame:

@@ -40,13 +40,9 @@ def rolling_borders(
     days = rows.groupBy(F.col(date).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    starts = F.transform(
-        F.sequence(F.lit(0), F.lit(n_splits - 1)),
-        lambda i: F.struct(i.alias("fold"), (total - (n_splits - i) * size).alias("n_train")),
-    )
-    wanted = days.select("day", "n", "before", size.alias("test_size"), F.explode(starts).alias("s")).select(
-        "day", "n", "before", "test_size", "s.fold", "s.n_train"
-    )
+    numbers = F.sequence(F.lit(0), F.lit(n_splits - 1))
+    wanted = days.select("day", "n", "before", F.explode(numbers).alias("fold")).withColumn("test_size", size)
+    wanted = wanted.withColumn("n_train", total - (n_splits - F.col("fold")) * F.col("test_size"))
     inside = (F.col("n_train") >= F.col("before")) & (F.col("n_train") < F.col("before") + F.col("n"))
     on_days = wanted.filter(inside & (F.col("n_train") > 0)).select(
         "day", "fold", "n_train", "test_size", (F.col("n_train") - F.col("before")).alias("rest")

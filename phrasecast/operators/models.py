@@ -13,15 +13,19 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasecast.operators.folds import stratified_parts
+from phrasecast.session import materialize
 
 # Defaults of the two estimators.
 LOGISTIC_DEFAULTS = {"C": 1.0, "max_iter": 1000}
 BOOSTING_DEFAULTS = {"learning_rate": 0.05, "n_estimators": 200, "subsample": 0.8, "max_depth": 3, "seed": 42}
 
 
-def class_weights(rows: DataFrame, label: str = "label") -> dict[int, float]:
-    """Balanced weights ``n / (classes * n_class)`` (two numbers)."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+def class_counts(rows: DataFrame, label: str = "label") -> dict[int, int]:
+    return {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def class_weights(counts: dict[int, int]) -> dict[int, float]:
+    """Balanced weights ``n / (classes * n_class)``."""
     n = sum(counts.values())
     return {c: n / (len(counts) * k) for c, k in counts.items()}
 
@@ -30,16 +34,16 @@ def fit_model(rows: DataFrame, kind: str = "logistic_regression", **params) -> M
     """Fit on ``(features, label)``. The logistic penalty is scaled to the sum of row weights."""
     if kind == "logistic_regression":
         settings = {**LOGISTIC_DEFAULTS, **params}
-        weights = class_weights(rows)
+        counts = class_counts(rows)
+        weights = class_weights(counts)
         weight = F.lit(None).cast("double")
         for value, w in weights.items():
             weight = F.when(F.col("label") == value, F.lit(w)).otherwise(weight)
-        weighted = rows.withColumn("weight", weight)
-        total = weighted.agg(F.sum("weight")).first()[0]
+        total = sum(weights[c] * n for c, n in counts.items())
         return LogisticRegression(
             featuresCol="features", labelCol="label", weightCol="weight", elasticNetParam=0.0,
             regParam=1.0 / (settings["C"] * total), standardization=False, maxIter=settings["max_iter"],
-        ).fit(weighted)
+        ).fit(rows.withColumn("weight", weight))
     if kind == "gradient_boosting":
         settings = {**BOOSTING_DEFAULTS, **params}
         return GBTClassifier(
@@ -97,7 +101,7 @@ class Calibrated:
         columns = rows.columns
         out, parts = rows, []
         for i, (model, calibrator) in enumerate(self.pairs):
-            out = score(model, out).withColumnRenamed("p", f"__p{i}").withColumnRenamed("margin", "margin")
+            out = score(model, out).withColumnRenamed("p", f"__p{i}")
             if self.method == "sigmoid":
                 out = out.withColumn("x", array_to_vector(F.array("margin")))
                 out = calibrator.transform(out).withColumn(f"__p{i}", vector_to_array("probability")[1])
@@ -121,7 +125,7 @@ def calibrate(
     if method == "none":
         return Calibrated(method, [(fit_model(rows, kind, **params), None)])
     parts = stratified_parts(rows.select(row_id, "label"), cv, "label", row_id).select(row_id, "part")
-    split = rows.join(parts, row_id)
+    split = materialize(rows.join(parts, row_id), "calibration-parts")
     fit = fit_sigmoid if method == "sigmoid" else fit_isotonic
     pairs = []
     for part in range(cv):

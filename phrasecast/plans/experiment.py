@@ -75,13 +75,20 @@ def fit_features(rows: DataFrame, counts: DataFrame, s: Settings) -> tuple[Fitte
     own = counts.join(rows.select("row_id"), "row_id", "left_semi")
     n_docs = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocabulary = materialize(fx.fit_tfidf(own, n_docs, s.min_df, s.max_df, s.max_features), "vocabulary")
-    levels = fx.fit_one_hot(rows, "row_id", s.categorical, s.drop) if s.categorical else None
-    cells = _blocks(rows, own, vocabulary, levels, s)
-    index = fx.feature_index(cells)
+    names = {"text": fx.text_names(vocabulary)}
+    levels = None
+    if s.categorical:
+        levels = materialize(fx.fit_one_hot(rows, "row_id", s.categorical, s.drop), "levels")
+        names["category"] = fx.category_names(levels)
+    if s.numeric:
+        named = rows.sparkSession.createDataFrame([(c,) for c in s.numeric], "feature string")
+        names["number"] = named
+    index = fx.feature_index(fx.union_names(names))
     size = index.count()
     if size == 0:
         raise ValueError("no features left: the documents may be empty or min_df too high")
     fitted = FittedFeatures(vocabulary, levels, index, size)
+    cells = _blocks(rows, own, vocabulary, levels, s)
     return fitted, fx.feature_vectors(rows.select("row_id", "label"), cells, index, size)
 
 
@@ -122,16 +129,21 @@ def _folds(rows: DataFrame, s: Settings) -> list[tuple[int, DataFrame, DataFrame
     raise ValueError(f"unsupported validation strategy: {s.strategy}")
 
 
+def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows and their token counts, both written once."""
+    labelled = fl.require_labels(df, s.target)
+    used = dict.fromkeys([s.event, s.date, s.text, *s.categorical, *s.numeric, "label"])
+    rows = materialize(labelled.select(F.col(s.row_id).alias("row_id"), *used), "rows")
+    return rows, materialize(fx.term_counts(rows, "row_id", s.text, s.ngram_range), "counts")
+
+
 def run_experiment(df: DataFrame, s: Settings) -> Result:
     """Folds, metrics over all folds, then the calibrated model on all rows.
 
     Token counts and rows are written once. Fold fits run from a few driver threads; the data and all
     metrics stay on the executors.
     """
-    labelled = fl.require_labels(df, s.target)
-    used = dict.fromkeys([s.event, s.date, s.text, *s.categorical, *s.numeric, "label"])
-    rows = materialize(labelled.select(F.col(s.row_id).alias("row_id"), *used), "rows")
-    counts = materialize(fx.term_counts(rows, "row_id", s.text, s.ngram_range), "counts")
+    rows, counts = prepare(df, s)
 
     def one(job):
         return materialize(_run_fold(*job, counts, s), "predictions")
@@ -145,7 +157,7 @@ def run_experiment(df: DataFrame, s: Settings) -> Result:
     for part in parts[1:]:
         predictions = predictions.unionByName(part)
 
-    per_fold = mt.classification_metrics(predictions)
+    per_fold = materialize(mt.classification_metrics(predictions), "fold-metrics")
     fitted, vectors = fit_features(rows, counts, s)
     base = md.fit_model(vectors, s.model, **s.model_params)
     calibrated = md.calibrate(vectors, s.model, s.calibration, s.cv, "row_id", **s.model_params)

@@ -58,3 +58,12 @@ def materialize(df: DataFrame, name: str, schema: T.StructType | None = None) ->
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when a scan has fewer files than cores; large inputs are left as they are.
+
+    A single Parquet row group is one task, whatever its size, and text work is all CPU.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
