@@ -128,20 +128,25 @@ def txt_merge_pages(spark, sf):
     return segment.merge_pages(segment.clean_pages(v.transcript_pages(spark, sf)))
 
 
+def _clean(pages):
+    """Clean pages as a written table: the segment operators read their input several times."""
+    return materialize(segment.clean_pages(pages), "clean-pages")
+
+
 def _sized(segments):
     return segments.select("event_id", "segment_id", "speaker", "text", "start_char", "end_char")
 
 
 def seg_speaker_turns(spark, sf):
-    return _sized(segment.segment_by_speaker(segment.clean_pages(v.transcript_pages(spark, sf))))
+    return _sized(segment.segment_by_speaker(_clean(v.transcript_pages(spark, sf))))
 
 
 def seg_speaker_documents(spark, sf):
-    return _sized(segment.segment_by_speaker(segment.clean_pages(v.document_pages(spark, sf))))
+    return _sized(segment.segment_by_speaker(_clean(v.document_pages(spark, sf))))
 
 
 def seg_windows(spark, sf):
-    return _sized(segment.segment_by_window(segment.clean_pages(v.transcript_pages(spark, sf)), 200))
+    return _sized(segment.segment_by_window(_clean(v.transcript_pages(spark, sf)), 200))
 
 
 def seg_windows_overlapping(spark, sf):
@@ -264,8 +269,7 @@ _VALID_SQL = f"""WITH {v.SEGMENTS} SELECT count(*) = count(DISTINCT segment_id)
 
 def flow_labelled_segments(spark, sf):
     """The whole transcript flow: clean, segment, filter, join, label."""
-    clean = materialize(segment.clean_pages(v.transcript_pages(spark, sf)), "clean")
-    cut = segment.segment(clean)
+    cut = segment.segment(_clean(v.transcript_pages(spark, sf)))
     rows = label.build_rows(cut, v.event_inventory(spark, sf), v.TERMS, exclude=["system"])
     return rows.select("event_id", "segment_id", "event_type", "speaker", "start_char", "end_char", *v.TARGETS)
 

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What counts as whitespace, as a line break and as a word character.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+# What counts as whitespace, as a line break and as a word character. The far ranges stand
+# behind one range check, so that a letter is dismissed after two tests.
+SPACE = (
+    r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+)
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+LINE_BREAK = r"\r\n|[\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
 # Whitespace that may stand inside a line, once all line breaks are written as \n.
-BLANK = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+BLANK = r"[\t\x1f \xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u202f\u205f\u3000]]]"
 
 # Lines dropped at the top and at the bottom of a page.
 HEADER_LINE = rf"{BLANK}*(?:page{BLANK}+\p{{Nd}}|federal reserve|press{BLANK}+conference)[^\n]*"
@@ -32,11 +40,16 @@ _ONLY_CONNECTORS = f"^{_CONNECTOR}(?: {_CONNECTOR})*$"
 
 def strip(text: Column) -> Column:
     """Remove whitespace, in the Unicode sense, from both ends."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
+def leading_space(text: Column) -> Column:
+    """Number of whitespace characters at the start."""
+    return F.char_length(text) - F.char_length(F.ltrim(text, F.lit(SPACE_CHARS)))
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(f"[^{SPACE[1:]}")
+    return text.isNull() | text.rlike(rf"\A{SPACE}*+\z")
 
 
 def harmonise_punctuation(text: Column) -> Column:

@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasecast.functions.scan import prefix_sums
-from phrasecast.functions.text import SPACE, clean_page, is_blank, strip
+from phrasecast.functions.text import SPACE, clean_page, is_blank, leading_space, strip
 from phrasecast.session import materialize
 
 PAGE_BREAK = "\n\n"
 PAGE_BLOCK = 1024  # pages per block of the running totals
 
 # Fixed value: a speaker label at a line start, at most 41 characters before the colon.
-LABEL = rf"(?dm)^([A-Z](?:{SPACE}|[A-Z\-']){{1,40}}):"
-_FIRST_RUN = rf"\A(?:{SPACE}|[A-Z\-'])*:"
+LABEL = rf"(?dm)^([A-Z][A-Z\-'{SPACE[1:]}{{1,40}}):"
 _REACH = 48  # characters of context: a label, its colon and the page breaks around it
 _NEAR = 16  # pages that hold at least that many characters (one character and a break each)
 
@@ -37,7 +36,10 @@ def _page_block() -> dict[str, Column]:
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
-    """Per non-blank page: its place in the event, and where it starts in the joined text."""
+    """Per non-blank page: its place in the event, and where it starts in the joined text.
+
+    The few numbers and characters this needs of a page are written once; the scans read that table.
+    """
     sized = _occupied(pages).select(
         "event_id",
         "page_no",
@@ -46,7 +48,7 @@ def page_offsets(pages: DataFrame) -> DataFrame:
         F.right("text", F.lit(_REACH)).alias("tail"),
     )
     return prefix_sums(
-        sized,
+        materialize(sized, "page-sizes"),
         ["event_id"],
         _page_block(),
         ["page_no"],
@@ -136,8 +138,9 @@ def _labels_of_pages(pages: DataFrame) -> DataFrame:
 def _turn_pieces(pages: DataFrame) -> DataFrame:
     """One row per turn and page it touches; turn 0 is the text before the first label."""
     page = _labels_of_pages(pages)
+    labels = page.select("event_id", "page_no", F.size("labels").cast("bigint").alias("k"))
     counted = prefix_sums(
-        page.select("event_id", "page_no", F.size("labels").cast("bigint").alias("k")),
+        materialize(labels, "page-labels"),
         ["event_id"],
         _page_block(),
         ["page_no"],
@@ -240,8 +243,7 @@ def _tail_segments(pages: DataFrame, pieces: DataFrame, turns: DataFrame) -> Dat
 
 
 def _trimmed(df: DataFrame, raw: str, at: str) -> DataFrame:
-    lead = F.char_length(raw) - F.char_length(F.regexp_replace(raw, rf"\A{SPACE}+", ""))
-    out = df.withColumn("text", strip(F.col(raw))).withColumn("start_char", F.col(at) + lead)
+    out = df.withColumn("text", strip(F.col(raw))).withColumn("start_char", F.col(at) + leading_space(F.col(raw)))
     return out.withColumn("end_char", F.col("start_char") + F.char_length("text"))
 
 
@@ -287,10 +289,11 @@ def segment_by_window(pages: DataFrame, window: int = 200, stride: int | None =
     tokens = F.split(strip(F.col("text")), f"{SPACE}+")
     words = _occupied(pages).select("event_id", "page_no", tokens.alias("tokens"))
     n_letters = F.char_length(F.array_join("tokens", "")).cast("bigint")
+    sized = words.select(
+        "event_id", "page_no", F.size("tokens").cast("bigint").alias("n_tokens"), n_letters.alias("n_letters")
+    )
     placed = prefix_sums(
-        words.select(
-            "event_id", "page_no", F.size("tokens").cast("bigint").alias("n_tokens"), n_letters.alias("n_letters")
-        ),
+        materialize(sized, "page-tokens"),
         ["event_id"],
         _page_block(),
         ["page_no"],

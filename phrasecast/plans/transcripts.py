@@ -23,9 +23,12 @@ def labelled_segments(
     include: Iterable[str] | None = None,
     exclude: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Raw pages and a projected inventory to labelled segments, as one lazy plan."""
-    cut = segment.segment(segment.clean_pages(pages), mode, window, stride)
-    return label.build_rows(cut, inventory, terms, include, exclude)
+    """Raw pages and a projected inventory to labelled segments.
+
+    Clean pages are written once, because the segment operators read them several times.
+    """
+    clean = materialize(segment.clean_pages(pages), "clean-pages")
+    return label.build_rows(segment.segment(clean, mode, window, stride), inventory, terms, include, exclude)
 
 
 @dataclass
@@ -48,10 +51,9 @@ def publish(
     include: Iterable[str] | None = None,
     exclude: Iterable[str] | None = None,
 ) -> Published:
-    """Clean, segment, label, write, check. Clean pages are written once, because several steps read them."""
+    """Clean, segment, label, write the table, check it, write the manifest."""
     inventory = require_unique_ids(project_inventory(raw_inventory))
-    clean = materialize(segment.clean_pages(pages), "clean-pages")
-    rows = label.build_rows(segment.segment(clean, mode, window, stride), inventory, terms, include, exclude)
+    rows = labelled_segments(pages, inventory, terms, mode, window, stride, include, exclude)
     path = tables.write_segments(rows, folder, version)
     written = rows.sparkSession.read.parquet(path)
     manifest = tables.segment_manifest(
