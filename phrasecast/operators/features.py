@@ -109,10 +109,11 @@ def one_hot(
         raise ValueError(f"unsupported handling of unknown levels: {unknown}")
     seen = _levels(df, row_id, columns)
     joined = seen.join(levels, ["column", "level"], "left")
+    kept = F.col("kept")
     if unknown == "error":
         message = F.concat(F.lit("unknown level "), F.col("level"), F.lit(" of "), F.col("column"))
-        joined = joined.filter(F.when(F.col("kept").isNull(), F.raise_error(message).cast("boolean")).otherwise(True))
-    return joined.filter("kept").select(
+        kept = F.coalesce(kept, F.raise_error(message).cast("boolean"))
+    return joined.filter(kept).select(
         "row_id", F.concat_ws("_", "column", "level").alias("feature"), F.lit(1.0).alias("value")
     )
 

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from phrasecast.functions.phrases import Phrase, speaker_allowed, vocabulary
 from phrasecast.functions.scan import skew_join
 from phrasecast.functions.text import is_blank
+from phrasecast.operators.inventory import CORE_COLUMNS
 
 SEGMENT_COLUMNS = [
     "event_id", "segment_id", "event_type", "event_date", "speaker", "text", "start_char", "end_char",
     "source_url", "provenance",
 ]
+OWN_COLUMNS = ["event_id", "segment_id", "speaker", "text", "start_char", "end_char"]
 
 
 def label_segments(segments: DataFrame, terms: Iterable[str], prefilter: bool = True) -> DataFrame:
@@ -42,12 +44,12 @@ def attach_inventory(segments: DataFrame, inventory: DataFrame) -> DataFrame:
 
     One event may own most segments, so the join spreads hot events.
     """
-    extras = [c for c in inventory.columns if c not in {*SEGMENT_COLUMNS, "speakers"}]
-    clash = sorted(set(extras) & {"segment_id", "speaker", "text", "start_char", "end_char"})
-    if clash or len(set(extras)) < len(extras):
-        raise ValueError(f"inventory columns clash with segment columns: {clash or extras}")
+    extras = [c for c in inventory.columns if c not in CORE_COLUMNS]
+    clash = sorted(set(extras) & set(SEGMENT_COLUMNS))
+    if clash:
+        raise ValueError(f"inventory columns clash with segment columns: {clash}")
     wanted = ["event_id", "event_type", "event_date", "source_url", "provenance", *extras]
-    joined = skew_join(segments, inventory.select(*wanted), "event_id", spread=["segment_id"])
+    joined = skew_join(segments.select(*OWN_COLUMNS), inventory.select(*wanted), "event_id", spread=["segment_id"])
     return joined.select(*SEGMENT_COLUMNS, *extras)
 
 
