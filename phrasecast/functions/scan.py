@@ -117,7 +117,7 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
     counts = fact.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    total = fact.agg(F.count(F.lit(1)).alias("__total"))
+    total = counts.agg(F.sum("__n").alias("__total"))
     hot = (
         counts.filter(F.col(on).isNotNull() & (F.col("__n") * hot_share > total.scalar()))
         .select(F.col(on), F.lit(True).alias("__hot"))

@@ -11,11 +11,21 @@ from collections.abc import Sequence
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from phrasecast.functions.scan import global_index
+from phrasecast.functions.scan import global_index, skew_join
 from phrasecast.functions.text import WORD
 from phrasecast.session import materialize
 
-BROADCAST_TERMS = 200_000  # a vocabulary capped at this size may be broadcast (some ten MB)
+BROADCAST_ROWS = 200_000  # a vocabulary or index of at most this many rows may be broadcast (some ten MB)
+
+
+def _by_feature(cells: DataFrame, table: DataFrame, key: str, rows: int | None) -> DataFrame:
+    """Join on a term or feature: broadcast when the table is known to be small, else salted.
+
+    The most frequent terms occur in nearly every row, so the shuffled form spreads them.
+    """
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return cells.join(F.broadcast(table), key)
+    return skew_join(cells, table, key, spread=["row_id"])
 
 
 def word_tokens(text: Column, lowercase: bool = True) -> Column:
@@ -42,8 +52,13 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
 def term_counts(
     docs: DataFrame, row_id: str, text: str, ngram_range: tuple[int, int] = (1, 2), lowercase: bool = True
 ) -> DataFrame:
-    """``(row_id, term, tf)``; counts combine inside each task before the shuffle."""
-    tokens = docs.select(F.col(row_id).alias("row_id"), word_tokens(F.coalesce(text, F.lit("")), lowercase).alias("t"))
+    """``(row_id, term, tf)``.
+
+    The texts are partitioned by row id before they are taken apart, so the counts need no further
+    shuffle: what moves is the text once, not an entry for each of its n-grams.
+    """
+    keyed = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("t")).repartition("row_id")
+    tokens = keyed.select("row_id", word_tokens(F.col("t"), lowercase).alias("t"))
     terms = tokens.select("row_id", F.explode(ngrams(F.col("t"), *ngram_range)).alias("term"))
     return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -70,14 +85,11 @@ def tfidf(
 ) -> DataFrame:
     """``(row_id, feature, value)``: L2-normalised weights.
 
-    A capped vocabulary is broadcast. Without a cap the join shuffles on the term, where AQE splits the
-    partitions of frequent terms. The norm is a window over one document.
+    ``max_features`` is the cap the vocabulary was fitted with. The norm is a window over one document.
     """
-    if max_features is not None and max_features <= BROADCAST_TERMS:
-        vocabulary = F.broadcast(vocabulary)
     tf = F.col("tf").cast("double")
     weight = (1 + F.log(tf) if sublinear else tf) * F.col("idf")
-    raw = counts.join(vocabulary, "term").select("row_id", "term", weight.alias("w"))
+    raw = _by_feature(counts, vocabulary, "term", max_features).select("row_id", "term", weight.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
     return raw.select("row_id", F.col("term").alias("feature"), (F.col("w") / norm).alias("value"))
 
@@ -131,6 +143,13 @@ def embedding_features(
     return dims.select("row_id", F.format_string("embedding_%05d", "i").alias("feature"), "value")
 
 
+def embedding_names(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
+    """One feature name per dimension of the widest vector."""
+    width = embeddings.agg(F.max(F.size(vector)).alias("n")).filter("n > 0")
+    dims = width.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return dims.select(F.format_string("embedding_%05d", "i").alias("feature"))
+
+
 def unit_vector(v: Column) -> Column:
     """Vector divided by its L2 norm; a zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
@@ -167,7 +186,8 @@ def fit_scales(features: DataFrame, n_rows: Column) -> DataFrame:
 
 def scale_features(features: DataFrame, scales: DataFrame) -> DataFrame:
     """Divide by the scale, without centring; features without a scale are dropped."""
-    return features.join(scales, "feature").select("row_id", "feature", (F.col("value") / F.col("scale")).alias("value"))
+    joined = _by_feature(features, scales, "feature", None)
+    return joined.select("row_id", "feature", (F.col("value") / F.col("scale")).alias("value"))
 
 
 def text_names(vocabulary: DataFrame) -> DataFrame:
@@ -198,7 +218,7 @@ def feature_vectors(rows: DataFrame, features: DataFrame, index: DataFrame, size
     The vectors are written to the shared folder in the storage form of the vector type and read back
     as vectors: no Python touches the rows, and the many passes of a solver read a plain table.
     """
-    cells = features.join(index, "feature").select("row_id", "index", "value")
+    cells = _by_feature(features, index, "feature", size).select("row_id", "index", "value")
     packed = cells.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("c"))
     none = F.array().cast("array<struct<index:bigint,value:double>>")
     joined = rows.join(packed, "row_id", "left").withColumn("c", F.coalesce("c", none))

@@ -18,6 +18,7 @@ PAGE_BLOCK = 1024  # pages per block of the running totals
 
 # Fixed value: a speaker label at a line start, at most 41 characters before the colon.
 LABEL = rf"(?dm)^([A-Z][A-Z\-'{SPACE[1:]}{{1,40}}):"
+OPENING = rf"\A[A-Z\-'{SPACE[1:]}{{0,41}}:"  # a page that begins with what may end a label
 _REACH = 48  # characters of context: a label, its colon and the page breaks around it
 _NEAR = 16  # pages that hold at least that many characters (one character and a break each)
 
@@ -46,6 +47,8 @@ def page_offsets(pages: DataFrame) -> DataFrame:
         F.char_length("text").cast("bigint").alias("n_chars"),
         F.left("text", F.lit(_REACH)).alias("head"),
         F.right("text", F.lit(_REACH)).alias("tail"),
+        F.regexp_count("text", F.lit(LABEL)).cast("bigint").alias("own_labels"),
+        F.regexp_extract("text", OPENING, 0).alias("opening"),
     )
     return prefix_sums(
         materialize(sized, "page-sizes"),
@@ -80,19 +83,22 @@ def _page_context(pages: DataFrame) -> DataFrame:
     after = F.collect_list("head").over(near.rowsBetween(1, _NEAR))
     joined_before = F.concat(F.array_join(before, PAGE_BREAK), F.lit(PAGE_BREAK))
     joined_after = F.concat(F.lit(PAGE_BREAK), F.array_join(after, PAGE_BREAK))
-    return (
-        copies.withColumns(
-            {
-                "before": F.when(F.col("page_idx") == 0, F.lit("")).otherwise(
-                    F.right(joined_before, F.lit(_REACH))
-                ),
-                "after": F.when(F.col("page_idx") == F.col("page_idx_total") - 1, F.lit("")).otherwise(
-                    F.left(joined_after, F.lit(_REACH))
-                ),
-            }
-        )
-        .filter(F.col("home") == F.col("seen_by"))
-        .drop("home", "seen_by", "head", "tail")
+    framed = copies.withColumns(
+        {
+            "before": F.when(F.col("page_idx") == 0, F.lit("")).otherwise(F.right(joined_before, F.lit(_REACH))),
+            "after": F.when(F.col("page_idx") == F.col("page_idx_total") - 1, F.lit("")).otherwise(
+                F.left(joined_after, F.lit(_REACH))
+            ),
+        }
+    ).filter(F.col("home") == F.col("seen_by"))
+    # Colons of the context are masked, so that only colons of the page itself make labels.
+    lead = F.translate(_whole_lines(F.col("before"), F.col("offset") <= _REACH), ":", "#")
+    framed = framed.withColumn("lead", lead)
+    # The first colon of a page may need the lines before the page to make a label.
+    joined = F.regexp_count(F.concat("lead", "opening"), F.lit(LABEL)) - F.regexp_count("opening", F.lit(LABEL))
+    return framed.select(
+        "event_id", "page_no", "page_idx", "offset", "n_chars", "lead", "after",
+        (F.col("own_labels") + joined).alias("k"),
     )
 
 
@@ -104,17 +110,19 @@ def _whole_lines(context: Column, reaches_start: Column) -> Column:
     return F.when(reaches_start, context).otherwise(cut)
 
 
-def _labels_of_pages(pages: DataFrame) -> DataFrame:
-    """Per page: its labels and the text between them.
+def _turn_pieces(pages: DataFrame) -> DataFrame:
+    """One row per turn and page it touches; turn 0 is the text before the first label.
 
     A label belongs to the page of its colon, though it may begin on earlier pages (lines of capitals
-    above the colon line are part of it). ``whole`` is the page behind its context ``lead``; colons of
-    the context are masked, so each label is found once. ``taken`` counts the characters at the end of
-    the page that belong to a label whose colon comes on a later page.
+    above the colon line are part of it). ``whole`` is the page behind its context ``lead``. ``taken``
+    counts the characters at the end of the page that belong to a label whose colon comes on a later page.
+    The text is joined once, by page, to what the scans over the small columns found.
     """
-    page = _occupied(pages).join(_page_context(pages), ["event_id", "page_no"])
-    lead = F.translate(_whole_lines(F.col("before"), F.col("offset") <= _REACH), ":", "#")
-    page = page.withColumn("lead", lead)
+    context = materialize(_page_context(pages), "page-context")
+    counted = prefix_sums(
+        context, ["event_id"], _page_block(), ["page_no"], {"turns_before": F.col("k")}, totals=True
+    )
+    page = _occupied(pages).join(counted, ["event_id", "page_no"])
     short = F.col("n_chars") <= _REACH
     end = F.when(short, F.concat("lead", F.translate("text", ":", "#"))).otherwise(
         F.translate(_whole_lines(F.right("text", F.lit(_REACH)), F.lit(False)), ":", "#")
@@ -122,31 +130,13 @@ def _labels_of_pages(pages: DataFrame) -> DataFrame:
     page = page.withColumn("end", end).withColumn("whole", F.concat("lead", "text"))
     to_label = F.split(F.concat("end", "after"), LABEL, 2)[0]
     taken = F.greatest(F.char_length("end") - F.char_length(to_label), F.lit(0))
-    return page.select(
-        "event_id",
-        "page_no",
-        "page_idx",
-        "offset",
-        "n_chars",
+    page = page.select(
+        "event_id", "page_no", "page_idx", "offset", "n_chars", "k", "turns_before", "turns_before_total",
         F.char_length("lead").alias("lead_chars"),
         F.least(taken, F.col("n_chars")).cast("int").alias("taken"),
         F.regexp_extract_all("whole", F.lit(LABEL), F.lit(0)).alias("labels"),
         F.split("whole", LABEL).alias("bodies"),
     )
-
-
-def _turn_pieces(pages: DataFrame) -> DataFrame:
-    """One row per turn and page it touches; turn 0 is the text before the first label."""
-    page = _labels_of_pages(pages)
-    labels = page.select("event_id", "page_no", F.size("labels").cast("bigint").alias("k"))
-    counted = prefix_sums(
-        materialize(labels, "page-labels"),
-        ["event_id"],
-        _page_block(),
-        ["page_no"],
-        {"turns_before": F.col("k")},
-        totals=True,
-    )
     parts = F.transform(
         F.sequence(F.lit(0), F.size("labels")),
         lambda i: F.struct(
@@ -155,7 +145,7 @@ def _turn_pieces(pages: DataFrame) -> DataFrame:
             F.get("bodies", i).alias("body"),
         ),
     )
-    rows = page.join(counted, ["event_id", "page_no"]).select(
+    rows = page.select(
         "event_id", "page_no", "page_idx", "offset", "n_chars", "lead_chars", "taken", "k", "turns_before",
         "turns_before_total", F.explode(parts).alias("p"),
     )
@@ -180,7 +170,7 @@ def _turn_pieces(pages: DataFrame) -> DataFrame:
         ).alias("label_at"),
         F.greatest(F.col("stop") - F.char_length("p.body"), F.col("offset")).alias("at"),
         F.when(F.col("p.j") == F.col("k"), cut).otherwise(F.col("full")).alias("text"),
-    )
+    ).withColumn("spoken", ~is_blank(F.col("text")))
 
 
 def _join_pieces(order: str, text: str = "text") -> Column:
@@ -257,7 +247,7 @@ def segment_by_speaker(pages: DataFrame, window: int = 200, stride: int | None =
     pieces = materialize(_turn_pieces(pages), "turn-pieces")
     labelled = pieces.filter("turns > 0 AND turn_no > 0")
     turns = labelled.groupBy("event_id", "turn_no").agg(
-        F.bool_or(~is_blank(F.col("text"))).alias("spoken"), F.max("label_at").alias("label_at")
+        F.bool_or("spoken").alias("spoken"), F.max("label_at").alias("label_at")
     )
     whole = labelled.groupBy("event_id", "turn_no").agg(
         F.max("speaker").alias("speaker"), F.min("at").alias("at"), _join_pieces("page_idx").alias("raw")

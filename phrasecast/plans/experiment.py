@@ -27,6 +27,9 @@ class Settings:
     drop: str | None = None
     unknown: str = "ignore"
     numeric: Sequence[str] = ()
+    embeddings: DataFrame | None = None  # (embedding_key, embedding_vector), off by default
+    embedding_key: str = "segment_id"
+    embedding_vector: str = "embedding"
     model: str = "logistic_regression"
     model_params: dict = field(default_factory=dict)
     strategy: str = "rolling"
@@ -67,6 +70,8 @@ def _blocks(rows: DataFrame, counts: DataFrame, vocabulary: DataFrame, levels: D
         blocks["category"] = fx.one_hot(rows, "row_id", s.categorical, levels, s.unknown)
     if s.numeric:
         blocks["number"] = fx.numeric_features(rows, "row_id", s.numeric)
+    if s.embeddings is not None:
+        blocks["dense"] = fx.embedding_features(rows, "row_id", s.embeddings, s.embedding_key, s.embedding_vector)
     return fx.union_features(blocks)
 
 
@@ -83,6 +88,8 @@ def fit_features(rows: DataFrame, counts: DataFrame, s: Settings) -> tuple[Fitte
     if s.numeric:
         named = rows.sparkSession.createDataFrame([(c,) for c in s.numeric], "feature string")
         names["number"] = named
+    if s.embeddings is not None:
+        names["dense"] = fx.embedding_names(s.embeddings, s.embedding_vector)
     index = fx.feature_index(fx.union_names(names))
     size = index.count()
     if size == 0:

@@ -182,6 +182,24 @@ def test_training_folds_fit_their_own_vocabulary(frame):
     assert few.size < allof.size
 
 
+def test_embedding_block_in_the_experiment(spark, frame):
+    vectors = frame.select("segment_id", F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    s = settings(embeddings=vectors)
+    rows, counts = ex.prepare(frame, s)
+    fitted, _ = ex.fit_features(rows, counts, s)
+    assert fitted.index.filter("feature LIKE 'dense__embedding_%'").count() == 2
+
+
+def test_salted_vocabulary_join_gives_the_same_weights(frame, monkeypatch):
+    s = settings(max_features=10)
+    rows, counts = ex.prepare(frame, s)
+    vocabulary = fx.fit_tfidf(counts, F.lit(rows.count()), 2, 0.9, 10)
+    key = lambda r: (r["row_id"], r["feature"])
+    small = {key(r): r["value"] for r in fx.tfidf(counts, vocabulary, 10).collect()}
+    monkeypatch.setattr(fx, "BROADCAST_ROWS", 1)
+    assert {key(r): r["value"] for r in fx.tfidf(counts, vocabulary, 10).collect()} == pytest.approx(small)
+
+
 def test_bad_settings(frame):
     with pytest.raises(ValueError):
         ex.run_experiment(frame, settings(strategy="random"))
