@@ -32,7 +32,7 @@ def fea_tfidf(spark, sf):
     docs = v.table(spark, sf, "documents")
     counts = materialize(fx.term_counts(docs, "doc_id", "text"), "counts")
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    weights = fx.tfidf(counts, fx.fit_tfidf(counts, n))
+    weights = fx.tfidf(counts, materialize(fx.fit_tfidf(counts, n), "vocabulary"))
     return weights.groupBy(F.col("row_id").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("terms"), F.min("feature").alias("first_term"),
         F.round(F.sum("value"), 5).alias("total"), F.round(F.max("value"), 5).alias("top"),

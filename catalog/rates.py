@@ -17,7 +17,7 @@ _FLAG_CTE = f"{v.LABELLED}, flags AS (SELECT event_id, {_FLAGS} FROM lab GROUP B
 _COUNT_CTE = f"{v.LABELLED}, counts AS (SELECT event_id, {_COUNTS} FROM lab GROUP BY event_id)"
 _LONG_FLAGS = f"{_FLAG_CTE}, long AS (SELECT event_id, replace(target, 'target__', '') AS target, hit FROM (UNPIVOT flags ON {_T} INTO NAME target VALUE hit))"
 _LONG_COUNTS = f"{_COUNT_CTE}, long AS (SELECT event_id, replace(target, 'target__', '') AS target, hits FROM (UNPIVOT counts ON {_T} INTO NAME target VALUE hits))"
-_WILSON = f"""{_LONG_FLAGS}, kn AS (SELECT target, count_if(hit) AS k, count(*) AS n FROM long GROUP BY target),
+_WILSON = f"""{_LONG_FLAGS}, kn AS (SELECT target, count_if(hit)::BIGINT AS k, count(*) AS n FROM long GROUP BY target),
 ci AS (
   SELECT target, k, n, k / n AS prob,
     greatest(0, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n)) AS ci_lo,

@@ -13,6 +13,7 @@ TARGETS = ["target__the", "target__is", "target__of_the", "target__le_la", "targ
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times without a zone
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return spread(df) if name in ("documents", "conversations") else df
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from phrasecast.session import materialize
 
@@ -20,44 +20,46 @@ def prefix_sums(
     """Add exclusive running totals per ``keys``, in the order ``blocks`` then ``order``.
 
     A plain window would put one key into one task. Here every block column splits its parent group
-    (each block value must be monotone in ``order``); block totals are scanned first, rows only inside
-    their finest block, so no task sees more than one block of rows or one list of block totals.
-    All steps are deterministic and lazy. With ``totals`` a ``<name>_total`` column per key is added.
-    Key, block and order columns must not be NULL.
+    (each block value must be monotone in ``order``). The totals of the blocks are added up level by
+    level, then joined once to the rows on the finest block, by which the rows are partitioned anyway;
+    so no task sees more than one block of rows or one list of block totals. All steps are deterministic
+    and lazy. With ``totals`` a ``<name>_total`` column per key is added. Key, block and order columns
+    must not be NULL.
     """
-    keys = list(keys)
-    names = list(sums)
+    keys, names = list(keys), list(sums)
     block_names = [f"__b{i}" for i in range(len(blocks))]
-    work = df.withColumns({b: expr for b, expr in zip(block_names, blocks.values())})
+    work = df.withColumns(dict(zip(block_names, blocks.values())))
     work = work.withColumns({f"__v_{n}": sums[n] for n in names})
-    slim = work.select(*keys, *block_names, *[f"__v_{n}" for n in names])
 
-    inner = Window.partitionBy(*keys, *block_names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = work.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0)) for n in names})
-
-    for depth in range(len(block_names), 0, -1):
-        group = keys + block_names[:depth]
-        scan = (
-            Window.partitionBy(*(group[:-1] or [F.lit(0)]))
-            .orderBy(block_names[depth - 1])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        level = slim.groupBy(*group).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
-        cols = [F.coalesce(F.sum(f"__t_{n}").over(scan), F.lit(0)).alias(f"__o{depth}_{n}") for n in names]
+    def earlier(group: list[str], order_by: Sequence[str]) -> WindowSpec:
+        spec = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order_by)
+        return spec.rowsBetween(Window.unboundedPreceding, -1)
+
+    finest = work.groupBy(*keys, *block_names).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
+    offsets = None
+    for depth in range(1, len(block_names) + 1):
+        parent, group = keys + block_names[: depth - 1], keys + block_names[:depth]
+        level = finest
+        if depth < len(block_names):
+            level = finest.groupBy(*group).agg(*[F.sum(f"__t_{n}").alias(f"__t_{n}") for n in names])
+        before = earlier(parent, block_names[depth - 1 : depth])
+        found = {f"__s_{n}": F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)) for n in names}
         if totals and depth == 1:
             whole = Window.partitionBy(*(keys or [F.lit(0)]))
-            cols += [F.sum(f"__t_{n}").over(whole).alias(f"{n}_total") for n in names]
-        out = out.join(level.select(*group, *cols), group)
-
-    for n in names:
-        offset = F.col(n)
-        for depth in range(1, len(block_names) + 1):
-            offset = offset + F.col(f"__o{depth}_{n}")
-        out = out.withColumn(n, offset)
-    helper = [f"__v_{n}" for n in names] + [
-        f"__o{d}_{n}" for d in range(1, len(block_names) + 1) for n in names
-    ]
-    return out.drop(*helper, *block_names)
+            found |= {f"{n}_total": F.sum(f"__t_{n}").over(whole) for n in names}
+        level = level.withColumns(found).drop(*[f"__t_{n}" for n in names])
+        if offsets is None:
+            offsets = level.withColumnsRenamed({f"__s_{n}": f"__o_{n}" for n in names})
+        else:
+            level = level.join(offsets, parent)
+            offsets = level.withColumns({f"__o_{n}": F.col(f"__o_{n}") + F.col(f"__s_{n}") for n in names})
+            offsets = offsets.drop(*[f"__s_{n}" for n in names])
+
+    inside = earlier(keys + block_names, order)
+    out = work.withColumns({f"__i_{n}": F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) for n in names})
+    out = out.join(offsets, keys + block_names)
+    out = out.withColumns({n: F.col(f"__i_{n}") + F.col(f"__o_{n}") for n in names})
+    return out.drop(*block_names, *[f"__{x}_{n}" for x in "vio" for n in names])
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -104,6 +106,7 @@ def skew_join(
     on: str,
     how: str = "inner",
     spread: Sequence[str] | None = None,
+    hot: DataFrame | None = None,
     hot_share: int = 1000,
     salts: int = 64,
 ) -> DataFrame:
@@ -112,16 +115,15 @@ def skew_join(
     A key is hot when it holds more than 1/``hot_share`` of the fact rows, so there are fewer than
     ``hot_share`` hot keys: that bound is what allows the broadcast of the hot list. Only hot rows of
     ``dim`` are copied. ``spread`` names the fact columns that choose the salt (a row id, best); ``how``
-    is inner or left.
+    is inner or left. A caller that knows the key counts passes the hot keys itself as ``hot``.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
-    counts = fact.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    hot = (
-        counts.filter(F.col(on).isNotNull() & (F.col("__n") * hot_share > total.scalar()))
-        .select(F.col(on), F.lit(True).alias("__hot"))
-    )
+    if hot is None:
+        counts = fact.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+        total = counts.agg(F.sum("__n").alias("__total"))
+        hot = counts.filter(F.col(on).isNotNull() & (F.col("__n") * hot_share > total.scalar()))
+    hot = hot.select(on, F.lit(True).alias("__hot"))
     salt = F.pmod(F.xxhash64(*(spread or fact.columns)), F.lit(salts)).cast("int")
     left = (
         fact.join(F.broadcast(hot), on, "left")

@@ -18,14 +18,16 @@ from phrasecast.session import materialize
 BROADCAST_ROWS = 200_000  # a vocabulary or index of at most this many rows may be broadcast (some ten MB)
 
 
-def _by_feature(cells: DataFrame, table: DataFrame, key: str, rows: int | None) -> DataFrame:
+def _by_feature(
+    cells: DataFrame, table: DataFrame, key: str, rows: int | None, hot: DataFrame | None = None
+) -> DataFrame:
     """Join on a term or feature: broadcast when the table is known to be small, else salted.
 
     The most frequent terms occur in nearly every row, so the shuffled form spreads them.
     """
     if rows is not None and rows <= BROADCAST_ROWS:
         return cells.join(F.broadcast(table), key)
-    return skew_join(cells, table, key, spread=["row_id"])
+    return skew_join(cells, table, key, spread=["row_id"], hot=hot)
 
 
 def word_tokens(text: Column, lowercase: bool = True) -> Column:
@@ -89,7 +91,10 @@ def tfidf(
     """
     tf = F.col("tf").cast("double")
     weight = (1 + F.log(tf) if sublinear else tf) * F.col("idf")
-    raw = _by_feature(counts, vocabulary, "term", max_features).select("row_id", "term", weight.alias("w"))
+    # A term has df rows in the counts, so fewer than 1000 terms hold more than 1/1000 of them.
+    total = vocabulary.agg(F.sum("df").alias("n")).scalar()
+    hot = vocabulary.filter(F.col("df") * 1000 > total)
+    raw = _by_feature(counts, vocabulary, "term", max_features, hot).select("row_id", "term", weight.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
     return raw.select("row_id", F.col("term").alias("feature"), (F.col("w") / norm).alias("value"))
 

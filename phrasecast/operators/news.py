@@ -118,7 +118,7 @@ def measure_articles(articles: DataFrame, terms: Sequence[str]) -> DataFrame:
         *[_text(n).alias(n) for n in ("article_id", "event_id", "source", "headline", "url")],
         F.col("published_at").cast("string").alias("published_at"),
         publication_time(F.col("published_at")).alias("published_time"),
-        F.char_length(_text("body_text")).alias("body_length"),
+        F.char_length(_text("body_text")).cast("bigint").alias("body_length"),
         *[p.count(whole).cast("bigint").alias(news_target_column(p.column)) for p in vocabulary(terms)],
         *POSITION,
     )

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +50,31 @@ def test_counts_do_not_overlap(spark):
     assert df.select(ph.Phrase.of("inflation").count(F.col("text"))).first()[0] == 3
 
 
+def test_random_texts_match_python_rules(spark):
+    terms = ["policy", "law and order", "QE", "Elon / Musk Fund", "January 6", "co-op", "hero", "crisis"]
+    rng = random.Random(2)
+    bits = [
+        "policy", "Policies", "policy's", "law", "Laws", "and", "order", "orders’", "QE", "qes", "Elon", "elons", "musk", "funds",
+        "January", "6", "6th", "61", "co-op", "heroes", "hero'", "crises", "crisis'", " ", " ", " ", "-", "–", "_", "é", ".", "\n",
+        "\xa0", "\u2003", "²", "\u0301", "'s", "’",
+    ]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    phrases = ph.vocabulary(terms)
+    got = df.select("i", *[p.count(F.col("text")).alias(p.column) for p in phrases]).orderBy("i").collect()
+
+    def word(w):
+        return r"\d+(?:st|nd|rd|th)?".replace(r"\d+", w) if w.isdigit() else (
+            "(?:" + "|".join(sorted(map(re.escape, ph.word_forms(w)), key=len, reverse=True)) + ")" if w.isalpha() else re.escape(w)
+        )
+
+    for p in phrases:
+        parts = [r"(?:\s+|\s*[-‐‑–—]\s*)".join(word(w) for w in alt.split()) for alt in p.term.split("/")]
+        rule = re.compile("|".join(rf"(?<!\w){x}(?!\w)" for x in parts), re.I)
+        wrong = [(t, r[p.column]) for t, r in zip(texts, got) if r[p.column] != len(rule.findall(t))]
+        assert not wrong, (p.term, wrong[:3])
+
+
 def test_blank_term(spark):
     phrase = ph.Phrase.of("  ")
     df = spark.createDataFrame([("a  b    c",)], "text string")
