@@ -26,7 +26,7 @@ def prj_inventory(spark, sf):
 def src_inventory_csv(spark, sf):
     path = scratch_path(spark, "inventory") + ".csv"
     v.inventory(spark, sf).write.option("header", True).csv(path)
-    return _flat_inventory(tables.read_inventory(spark, path))
+    return _flat_inventory(tables.read_inventory(spark, path, multi_line=False))
 
 
 def src_inventory_jsonl(spark, sf):
@@ -40,7 +40,7 @@ def src_table_csv(spark, sf):
     path = scratch_path(spark, "segments") + ".tsv"
     v.segments(spark, sf).drop("text").write.option("header", True).option("sep", "\t").csv(path)
     schema = "event_id string, segment_id string, event_date date, speaker string, start_char bigint, end_char bigint"
-    return tables.read_table(spark, path, schema).select("event_id", "segment_id", "event_date", "speaker", "end_char")
+    return tables.read_table(spark, path, schema, multi_line=False).select("event_id", "segment_id", "event_date", "speaker", "end_char")
 
 
 def jn_overrides(spark, sf):

@@ -60,6 +60,13 @@ def materialize(df: DataFrame, name: str, schema: T.StructType | None = None) ->
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote under the shared folder; its frames cannot be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/phrasecast/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when a scan has fewer files than cores; large inputs are left as they are.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from phrasecast.operators.metrics import METRICS
 
@@ -19,17 +19,25 @@ def _suffix(path: str) -> str:
     return PurePosixPath(path.rstrip("/")).suffix.lower()
 
 
-def read_inventory(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def _csv(spark: SparkSession, separator: str, multi_line: bool) -> DataFrameReader:
+    reader = spark.read.option("header", True).option("sep", separator).option("escape", '"')
+    return reader.option("multiLine", multi_line)
+
+
+def read_inventory(
+    spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """Inventory rows as text columns: ``.csv`` with header, ``.json`` (one array) or ``.jsonl`` (lines).
 
-    ``columns`` fixes the schema and saves the pass that finds the column names.
+    ``columns`` fixes the schema and saves the pass that finds the column names. Without quoted line
+    breaks in the CSV, ``multi_line=False`` lets one file be read by many tasks.
     """
     kind = _suffix(path)
     schema = None
     if columns:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if kind == ".csv":
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = _csv(spark, ",", multi_line)
         return (reader.schema(schema) if schema else reader).csv(path)
     if kind in (".json", ".jsonl"):
         reader = spark.read.option("multiLine", kind == ".json").option("primitivesAsString", True)
@@ -37,14 +45,15 @@ def read_inventory(spark: SparkSession, path: str, columns: list[str] | None = N
     raise ValueError(f"unsupported inventory format: {kind or path}")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A modelling table from Parquet, CSV or TSV."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """A modelling table from Parquet, CSV or TSV (``multi_line`` as for inventories)."""
     kind = _suffix(path)
     if kind == ".parquet":
         return spark.read.parquet(path)
     if kind in (".csv", ".tsv"):
-        reader = spark.read.option("header", True).option("sep", "\t" if kind == ".tsv" else ",")
-        reader = reader.option("multiLine", True).option("escape", '"')
+        reader = _csv(spark, "\t" if kind == ".tsv" else ",", multi_line)
         return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     raise ValueError(f"unsupported table format: {kind or path}")
 
