@@ -20,10 +20,16 @@ def require_labels(df: DataFrame, target: str, name: str = "label") -> DataFrame
     return kept
 
 
+def _day(rows: DataFrame, date: str) -> Column:
+    """The date to order by; rows without one come last."""
+    late = F.lit("9999-12-31").cast(rows.schema[date].dataType)
+    return F.coalesce(F.col(date), late)
+
+
 def date_positions(rows: DataFrame, date: str = "event_date", row_id: str = "segment_id") -> DataFrame:
     """``(row_id, date, position)``: 0-based place in date order, ties in md5(row_id) order."""
     slim = rows.select(row_id, date).withColumn("__h", hash_order(row_id))
-    blocks = {"day": F.col(date), "part": hash_block(row_id)}
+    blocks = {"day": _day(rows, date), "part": hash_block(row_id)}
     return prefix_sums(slim, [], blocks, ["__h"], {"position": F.lit(1).cast("bigint")}).drop("__h")
 
 
@@ -37,7 +43,7 @@ def rolling_borders(
     """
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     size = F.greatest(F.lit(1), F.floor(total / (n_splits + 1)))
-    days = rows.groupBy(F.col(date).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    days = rows.groupBy(_day(rows, date).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     numbers = F.sequence(F.lit(0), F.lit(n_splits - 1))
@@ -48,7 +54,7 @@ def rolling_borders(
         "day", "fold", "n_train", "test_size", (F.col("n_train") - F.col("before")).alias("rest")
     )
     # At most n_splits border rows, so they may be broadcast.
-    keyed = rows.select(F.col(date).alias("day"), F.col(row_id).alias("id"))
+    keyed = rows.select(_day(rows, date).alias("day"), F.col(row_id).alias("id"))
     near = keyed.join(F.broadcast(on_days.select("day").distinct()), "day").select(
         "day", hash_order("id").alias("h"), hash_block("id").alias("part")
     )
@@ -81,7 +87,7 @@ def rolling_folds(
     """
     borders = rolling_borders(rows, n_splits, date, row_id)
     listed = borders.agg(F.array_sort(F.collect_list(F.struct("fold", "n_train", "day", "h"))).alias("b"))
-    marked = rows.select(row_id, F.col(date).alias("day"), listed.scalar().alias("borders"))
+    marked = rows.select(row_id, _day(rows, date).alias("day"), listed.scalar().alias("borders"))
     marked = marked.withColumn("h", hash_order(row_id))
 
     def before(border: Column) -> Column:

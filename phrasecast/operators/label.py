@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from phrasecast.functions.phrases import Phrase, speaker_allowed, vocabulary
+from phrasecast.functions.phrases import speaker_allowed, vocabulary
 from phrasecast.functions.scan import skew_join
 from phrasecast.functions.text import is_blank
 from phrasecast.operators.inventory import CORE_COLUMNS
@@ -100,8 +100,3 @@ def target_table(spark, terms: Iterable[str]) -> DataFrame:
     rows = [(p.term, p.column, p.pattern, list(p.first_words)) for p in vocabulary(terms)]
     return spark.createDataFrame(rows, "term string, column string, pattern string, first_words array<string>")
 
-
-__all__ = [
-    "Phrase", "attach_inventory", "build_rows", "filter_speakers", "label_segments", "long_targets",
-    "target_columns", "target_map", "target_table", "validate_segments",
-]

@@ -10,10 +10,16 @@ from phrasecast.functions.numbers import kelly_edge, wilson_high, wilson_low
 from phrasecast.functions.scan import global_index, hash_block, hash_order, prefix_sums
 
 
+
 def _phrase(column: Column) -> Column:
     return F.regexp_replace(column, "^target__", "")
 
 
+def _by_date(df: DataFrame) -> DataFrame:
+    """Chronological rows, those without a date at the end."""
+    return df.orderBy(F.asc_nulls_last("event_date"), "event_id")
+
+
 def event_flags(segments: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Per event: was the phrase said at least once."""
     return segments.groupBy("event_id").agg(
@@ -76,21 +82,19 @@ def event_series(segments: DataFrame, target: str, counts: bool = False) -> Data
         out = segments.groupBy("event_id").agg(
             F.max("event_date").alias("event_date"), F.bool_or(target).alias("mentioned")
         )
-    return out.orderBy("event_date", "event_id")
+    return _by_date(out)
 
 
 def events_in_order(segments: DataFrame) -> DataFrame:
     """Distinct events with their date, in chronological order."""
-    return segments.select("event_id", "event_date").distinct().orderBy("event_date", "event_id")
+    return _by_date(segments.select("event_id", "event_date").distinct())
 
 
 def mention_matrix(segments: DataFrame, targets: Sequence[str], counts: bool = False) -> DataFrame:
     """Events (chronological rows) by phrases (columns), flags as 0/1 or counts."""
     per_event = event_counts(segments, targets) if counts else event_flags(segments, targets)
     dated = per_event.join(event_dates(segments), "event_id", "left")
-    return dated.select(
-        "event_id", "event_date", *[F.col(t).cast("bigint").alias(t) for t in targets]
-    ).orderBy("event_date", "event_id")
+    return _by_date(dated.select("event_id", "event_date", *[F.col(t).cast("bigint").alias(t) for t in targets]))
 
 
 def event_dates(segments: DataFrame) -> DataFrame:

@@ -129,10 +129,8 @@ def _folds(rows: DataFrame, s: Settings) -> list[tuple[int, DataFrame, DataFrame
     if s.strategy == "leave_one_event_out":
         # One model per event is what this strategy means, so its fold list is as long as the loop.
         table = fl.leave_one_event_out(rows, s.minimum_train, s.event).orderBy("fold").collect()
-        return [
-            (r["fold"], rows.filter(F.col(s.event) != r[s.event]), rows.filter(F.col(s.event) == r[s.event]))
-            for r in table
-        ]
+        held = [(r["fold"], F.col(s.event).eqNullSafe(r[s.event])) for r in table]
+        return [(fold, rows.filter(~own), rows.filter(own)) for fold, own in held]
     raise ValueError(f"unsupported validation strategy: {s.strategy}")
 
 

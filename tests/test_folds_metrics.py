@@ -43,6 +43,15 @@ def test_fixture_borders(spark):
     assert [r["segment_id"] for r in fl.date_positions(df).orderBy("position").collect()] == in_order(rows)
 
 
+def test_rows_without_date_come_last(spark):
+    rows = [(f"S{i}", f"E{i}", dt.date(2024, 1, 1 + i) if i < 6 else None) for i in range(8)]
+    df = spark.createDataFrame(rows, "segment_id string, event_id string, event_date date")
+    placed = {r["segment_id"]: r["position"] for r in fl.date_positions(df).collect()}
+    assert [placed[f"S{i}"] for i in range(6)] == list(range(6)) and {placed["S6"], placed["S7"]} == {6, 7}
+    last = fl.rolling_folds(df, 3, 1).filter("fold = 2 AND role = 'validate'")
+    assert {r["segment_id"] for r in last.collect()} == {"S6", "S7"}
+
+
 def test_leave_one_event_out(spark):
     rows = [(f"S{i}", e) for i, e in enumerate("AAAAAABBC")]
     df = spark.createDataFrame(rows, "segment_id string, event_id string")

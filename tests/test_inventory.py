@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from phrasecast.operators import inventory as iv
 from phrasecast.sources import tables

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from phrasecast.operators import features as fx, folds as fl, metrics as mt, models as md
+from phrasecast.operators import features as fx, metrics as mt, models as md
 from phrasecast.plans import experiment as ex
 
 WORDS = ["growth", "credit", "rates", "été", "data", "x", "soft", "landing"]

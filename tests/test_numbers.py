@@ -101,12 +101,12 @@ def test_prices(spark):
 
 
 REFERENCES = [
-    ("https://m.example.com/markets/kxsnf/sunday-night/kxsnf-25oct20", None, "kxsnf", "kxsnf-25oct20", None),
-    ("https://m.example.com/markets/kxsnf/kxsnf-25oct20", None, None, None, "bad_url"),
+    ("https://m.example.com/markets/game/sunday-night/game-25oct20", None, "game", "game-25oct20", None),
+    ("https://m.example.com/markets/game/game-25oct20", None, None, None, "bad_url"),
     ("https://m.example.com/other/a/b/c", None, None, None, "bad_url"),
     ("https://m.example.com/markets/a/b/c;x=1?q#f", None, "a", "c", None),
-    ("kxpowell-2023", None, "kxpowell", "kxpowell-2023", None),
-    ("kxpowell-2023", " other ", "other", "kxpowell-2023", None),
+    ("speech-2023", None, "speech", "speech-2023", None),
+    ("speech-2023", " other ", "other", "speech-2023", None),
     ("SINGLEMARKET", None, None, None, "no_series"),
     ("  ", None, None, None, "empty"),
 ]

@@ -2,7 +2,6 @@ import json
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from phrasecast.operators import label, metrics as mt, profile
 from phrasecast.sources import tables
