@@ -16,7 +16,7 @@ from phrasecast.operators.folds import stratified_parts
 from phrasecast.session import materialize
 
 # Defaults of the two estimators.
-LOGISTIC_DEFAULTS = {"C": 1.0, "max_iter": 1000}
+LOGISTIC_DEFAULTS = {"C": 1.0, "max_iter": 1000, "class_weight": "balanced"}
 BOOSTING_DEFAULTS = {"learning_rate": 0.05, "n_estimators": 200, "subsample": 0.8, "max_depth": 3, "seed": 42}
 
 
@@ -35,7 +35,9 @@ def fit_model(rows: DataFrame, kind: str = "logistic_regression", **params) -> M
     if kind == "logistic_regression":
         settings = {**LOGISTIC_DEFAULTS, **params}
         counts = class_counts(rows)
-        weights = class_weights(counts)
+        if settings["class_weight"] not in ("balanced", None):
+            raise ValueError("class_weight must be balanced or None")
+        weights = class_weights(counts) if settings["class_weight"] else dict.fromkeys(counts, 1.0)
         weight = F.lit(None).cast("double")
         for value, w in weights.items():
             weight = F.when(F.col("label") == value, F.lit(w)).otherwise(weight)

@@ -33,10 +33,10 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 def run_table(configs: DataFrame, metrics: DataFrame, manifests: DataFrame) -> DataFrame:
     """One row per run that has a config and metrics, with its manifest and phrase where known.
 
-    ``configs(experiment, target_column, dataset_stem)``, ``metrics(experiment, <scores as text>)``,
-    ``manifests(dataset_stem, version, generated_at, num_rows, target_columns map)``.
+    ``configs(experiment, target_column, dataset_key)``, ``metrics(experiment, <scores as text>)``,
+    ``manifests(dataset_key, version, generated_at, num_rows, target_columns map)``.
     """
-    runs = configs.join(metrics, "experiment").join(manifests, "dataset_stem", "left")
+    runs = configs.join(metrics, "experiment").join(manifests, "dataset_key", "left")
     column = F.col("target_column")
     labels = F.map_filter("target_columns", lambda _, c: c == column)
     label = F.element_at(F.array_sort(F.map_keys(labels)), 1)

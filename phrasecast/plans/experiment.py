@@ -23,6 +23,7 @@ class Settings:
     max_df: int | float = 0.9
     max_features: int | None = None
     sublinear_tf: bool = True
+    lowercase: bool = True
     categorical: Sequence[str] = ()
     drop: str | None = None
     unknown: str = "ignore"
@@ -139,7 +140,7 @@ def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     labelled = fl.require_labels(df, s.target)
     used = dict.fromkeys([s.event, s.date, s.text, *s.categorical, *s.numeric, "label"])
     rows = materialize(labelled.select(F.col(s.row_id).alias("row_id"), *used), "rows")
-    return rows, materialize(fx.term_counts(rows, "row_id", s.text, s.ngram_range), "counts")
+    return rows, materialize(fx.term_counts(rows, "row_id", s.text, s.ngram_range, s.lowercase), "counts")
 
 
 def run_experiment(df: DataFrame, s: Settings) -> Result:
@@ -182,7 +183,7 @@ def run_experiment(df: DataFrame, s: Settings) -> Result:
 def score_segments(df: DataFrame, fitted: FittedFeatures, model: md.Calibrated, s: Settings) -> DataFrame:
     """``(row_id, event_id, probability)`` of new rows under a trained model."""
     rows = df.select(F.col(s.row_id).alias("row_id"), *dict.fromkeys([s.event, s.text, *s.categorical, *s.numeric]))
-    counts = fx.term_counts(rows, "row_id", s.text, s.ngram_range)
+    counts = fx.term_counts(rows, "row_id", s.text, s.ngram_range, s.lowercase)
     vectors = transform(rows.withColumnRenamed(s.event, "event_id"), counts, fitted, s)
     return model.predict(vectors, "probability").select("row_id", "event_id", "probability")
 

@@ -62,14 +62,21 @@ def _file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
 
 
+def _dataset_key(path: Column) -> Column:
+    """Folder and stem of a dataset or of its manifest, which lie side by side."""
+    return F.concat_ws("/", _folder(path), _file_stem(path))
+
+
 def _folder(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Manifests matched by ``path`` with the stem of the table they describe."""
+    """Manifests matched by ``path``, with stem and key (folder and stem) of the table they describe."""
     reader = spark.read.schema(_MANIFEST).option("multiLine", True)
-    return reader.json(path).withColumn("dataset_stem", _file_stem(_json_unit(F.col("_metadata.file_path"))))
+    where = _json_unit(F.col("_metadata.file_path"))
+    found = reader.json(path).withColumns({"dataset_stem": _file_stem(where), "dataset_key": _dataset_key(where)})
+    return found
 
 
 def _json_unit(path: Column) -> Column:
@@ -85,7 +92,7 @@ def target_terms(manifests: DataFrame) -> DataFrame:
 
 
 def read_run_configs(spark: SparkSession, pattern: str) -> DataFrame:
-    """``(experiment, target_column, dataset_stem)`` from top-level scalars of run config files."""
+    """``(experiment, target_column, dataset_key)`` from top-level scalars of run config files."""
     lines = spark.read.text(pattern).select(
         _folder(F.col("_metadata.file_path")).alias("experiment"),
         F.regexp_extract("value", r"^(\w+):\s*['\"]?(.*?)['\"]?\s*$", 1).alias("key"),
@@ -97,7 +104,7 @@ def read_run_configs(spark: SparkSession, pattern: str) -> DataFrame:
 
     return lines.groupBy("experiment").agg(
         value("target_column").alias("target_column"),
-        _file_stem(value("dataset_path")).alias("dataset_stem"),
+        _dataset_key(value("dataset_path")).alias("dataset_key"),
     )
 
 

@@ -54,6 +54,18 @@ def test_runs(spark, runs):
     ]
 
 
+def test_equal_stems_in_other_folders_do_not_mix(spark, runs):
+    other = runs / "other"
+    other.mkdir()
+    (other / "segments_v1.json").write_text(json.dumps({**MANIFEST, "num_rows": 1}))
+    found = profile.run_table(
+        tables.read_run_configs(spark, f"{runs}/runs/*/config.yaml"),
+        tables.read_metric_files(spark, f"{runs}/runs/*/aggregate_metrics.json"),
+        tables.read_manifests(spark, f"{runs}/*/segments_*.json"),
+    ).collect()
+    assert [(r["experiment"], r["num_rows"]) for r in found] == [("p_baseline", 700), ("p_baseline2", None)]
+
+
 def test_fold_files(spark, runs):
     read = tables.read_metric_files(spark, f"{runs}/runs/p_baseline/fold_*_metrics.json")
     rows = {r["file"]: r for r in read.collect()}
