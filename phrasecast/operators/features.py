@@ -36,33 +36,41 @@ def word_tokens(text: Column, lowercase: bool = True) -> Column:
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
-    """All n-grams of ``low`` to ``high`` tokens, joined by a space."""
-
-    def of(n: int) -> Column:
-        if n == 1:
-            return tokens
-        return F.when(
-            F.size(tokens) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    """All n-grams of ``low`` to ``high`` tokens, joined by a space; (n-1)-grams are extended by a token."""
+    grams, kept = tokens, []
+    for n in range(1, high + 1):
+        if n > 1:
+            length = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+            grams = F.zip_with(
+                F.slice(grams, 1, length), F.slice(tokens, n, length), lambda a, b: F.concat(a, F.lit(" "), b)
+            )
+        if n >= low:
+            kept.append(grams)
+    return F.concat(*kept)
 
 
 def term_counts(
     docs: DataFrame, row_id: str, text: str, ngram_range: tuple[int, int] = (1, 2), lowercase: bool = True
 ) -> DataFrame:
-    """``(row_id, term, tf)``.
+    """``(row_id, term, tf)`` of rows with unique ids.
 
-    The texts are partitioned by row id before they are taken apart, so the counts need no further
-    shuffle: what moves is the text once, not an entry for each of its n-grams.
+    A document is one row, so its n-grams are counted in the row: they are sorted, and each run of
+    equal neighbours is one term. Nothing is shuffled.
     """
-    keyed = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("t")).repartition("row_id")
-    tokens = keyed.select("row_id", word_tokens(F.col("t"), lowercase).alias("t"))
-    terms = tokens.select("row_id", F.explode(ngrams(F.col("t"), *ngram_range)).alias("term"))
-    return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = docs.select(F.col(row_id).alias("row_id"), word_tokens(F.coalesce(text, F.lit("")), lowercase).alias("t"))
+    grams = tokens.select("row_id", F.sort_array(ngrams(F.col("t"), *ngram_range)).alias("g")).filter(F.size("g") > 0)
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1))
+    )
+    runs = grams.withColumn("first", first)
+    terms = F.transform(
+        "first",
+        lambda i, k: F.struct(
+            F.get("g", i).alias("term"),
+            (F.coalesce(F.get("first", k + 1), F.size("g")) - i).cast("bigint").alias("tf"),
+        ),
+    )
+    return runs.select("row_id", F.explode(terms).alias("x")).select("row_id", "x.term", "x.tf")
 
 
 def fit_tfidf(
