@@ -16,6 +16,7 @@ from typing import Any, BinaryIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from phrasecast.llm.common import ship
 from phrasecast.session import materialize, scratch_path
 
 #: The field lines of the two versions.
@@ -58,6 +59,7 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "2000
                 out.append(f"{fields} {len(block)}\n".encode() + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
+    ship(pages.sparkSession)
     rows = pages.select("page_id", "url", "html").mapInArrow(lines, "value binary")
     rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").text(folder)
 
@@ -111,6 +113,7 @@ def _open(content: bytes) -> BinaryIO:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
 
 

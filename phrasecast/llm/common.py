@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +15,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it.
+
+    The archive is made in a folder of the driver; Spark itself carries it to the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_phrasecast_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='phrasecast-code-')}/phrasecast", "zip", root, "phrasecast")
+    context.addPyFile(archive)
+    context._phrasecast_shipped = True
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

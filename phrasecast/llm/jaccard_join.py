@@ -5,10 +5,12 @@ their prefix shingles. Prefixes follow one global order, rare shingles first, fr
 border between light and heavy sets is the one of least estimated cost. Sets of the border's neighbourhood take part
 in both, so no link is lost.
 
-What is wanted is the components of the links, so a list need not be expanded into pairs. First each set meets the
-head of its lists; what is linked forms provisional components. Then only members of different components that share
-a key are compared. Both times a parity bitmap, which bounds the symmetric difference from below, sorts out hopeless
-pairs, and the exact sets decide about the others.
+What is wanted is the components of the links, so a list need not be expanded into pairs. A parity bitmap, which
+bounds the symmetric difference of two sets from below, tells which pairs may link at all. Each set meets the heads of
+its lists; pairs that may link form loose components, and pairs that may link across loose components are found from
+the keys that such components share. The exact sets decide about these pairs. What a loose component holds without
+being linked is then compared in the same way inside it. So every two sets that share a key are linked indirectly,
+compared, or ruled out.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
+from phrasecast.llm.common import ship
 from phrasecast.llm.hashing import ODD, WordHashes, add_counts, counts_out, mix
 from phrasecast.session import materialize
 
@@ -30,6 +33,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Cells of the count table and bits of the filter of wanted sets; fixed, whatever the input.
 CELLS, FILTER_BITS = 1 << 22, 1 << 24
+#: Sets above this size also get a bitmap of this many cells; the small one says little about them.
+WIDE_FROM, WIDE_CELLS = 300, 4096
 BORDERS = (0, 4, 8, 16, 32, 64, 128)
 #: Cost of looking at one list entry, in shuffled rows.
 SCAN_COST = 0.02
@@ -55,9 +60,10 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """512 parities of hash cells: the bits in which two sets differ are no more than their symmetric difference."""
-    return np.packbits((np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray, cells: int = 512) -> np.ndarray:
+    """Parities of hash cells, packed: the bits in which two sets differ are no more than their symmetric difference."""
+    at = (s >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
 
 
 def prefix_length(n: int) -> int:
@@ -74,13 +80,13 @@ class Plan:
 
 # --- first pass: sets and counts ---------------------------------------------------------------------------------
 
-_SETS = "doc long, n int, sig long, sig2 long, bits array<long>, chunk int, counts binary"
+_SETS = "doc long, n int, sig long, sig2 long, bits array<long>, wide array<long>, chunk int, counts binary"
 
 
 def _measure(docs: DataFrame) -> DataFrame:
     """A row per document (size, signature, parity bits), and the count table of each task in chunks."""
-    names = ["doc", "n", "sig", "sig2", "bits", "chunk", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["doc", "n", "sig", "sig2", "bits", "wide", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHashes(), np.zeros(CELLS, np.int64)
@@ -90,7 +96,8 @@ def _measure(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py(), memo)
                 sig, sig2 = signature(s) if len(s) else (None, None)
-                rows.append((doc, len(s), sig, sig2, parity(s) if len(s) else None, None, None))
+                wide = parity(s, WIDE_CELLS) if len(s) > WIDE_FROM else None
+                rows.append((doc, len(s), sig, sig2, parity(s) if len(s) else None, wide, None, None))
                 held.append((s & np.uint64(CELLS - 1)).astype(np.int64))
                 if len(held) >= 1000:
                     counts += np.bincount(np.concatenate(held), minlength=CELLS)
@@ -100,7 +107,7 @@ def _measure(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for c, packed in counts_out(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([[None]] * 5 + [[c], [packed]], kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([[None]] * 6 + [[c], [packed]], kinds, strict=True)], names)
 
     return docs.mapInArrow(run, _SETS)
 
@@ -199,24 +206,34 @@ def _shared(entries: DataFrame) -> DataFrame:
 # --- pairs -------------------------------------------------------------------------------------------------------
 
 
-def _could_link(a: str, b: str) -> Column:
+def _could_link(bits: str) -> Column:
     """Sizes within reach, and no more differing parities than the symmetric difference may have."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
     differ = F.aggregate(
-        F.zip_with(F.col(f"{a}.bits"), F.col(f"{b}.bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+        F.zip_with(F.col(f"x.{bits}"), F.col(f"y.{bits}"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
-    return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * differ <= (DEN - NUM) * (na + nb))
+    return (DEN * least >= NUM * most) & ((NUM + DEN) * differ <= (DEN - NUM) * (F.col("na") + F.col("nb")))
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Signature pairs (a, b) as class pairs that may link."""
-    left, right = classes.alias("x"), classes.alias("y")
-    rows = pairs.join(left, F.col("a") == F.col("x.sig")).join(right, F.col("b") == F.col("y.sig"))
-    rows = rows.filter((F.col("x.node") != F.col("y.node")) & _could_link("x", "y"))
-    return rows.select(
-        F.col("x.node").alias("node_a"), F.col("y.node").alias("node_b"), F.col("x.sig").alias("a"), F.col("y.sig").alias("b"),
-        F.col("x.sig2").alias("a2"), F.col("y.sig2").alias("b2"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
+    """Signature pairs (a, b) as class pairs that may link.
+
+    The small bitmaps go with all pairs, the wide ones only with pairs of large sets that are left.
+    """
+    sets = classes.select("sig", "sig2", "node", "n", "bits")
+    rows = pairs.join(sets.alias("x"), F.col("a") == F.col("x.sig"))
+    rows = rows.join(sets.select("sig", "sig2", "node", "n", "bits").alias("y"), F.col("b") == F.col("y.sig"))
+    rows = rows.withColumns({"na": F.col("x.n"), "nb": F.col("y.n")})
+    rows = rows.filter((F.col("x.node") != F.col("y.node")) & _could_link("bits")).select(
+        F.col("x.node").alias("node_a"), F.col("y.node").alias("node_b"), "a", "b",
+        F.col("x.sig2").alias("a2"), F.col("y.sig2").alias("b2"), "na", "nb",
     )
+    rows = materialize(rows, "near-pairs")
+    small = F.least("na", "nb") <= WIDE_FROM
+    wide = classes.filter(F.col("wide").isNotNull()).select("sig", "sig2", "wide")
+    large = rows.filter(~small).join(wide.select(F.col("sig").alias("a"), F.col("sig2").alias("a2"), "wide").alias("x"), ["a", "a2"])
+    large = large.join(wide.select(F.col("sig").alias("b"), F.col("sig2").alias("b2"), "wide").alias("y"), ["b", "b2"])
+    return rows.filter(small).unionByName(large.filter(_could_link("wide")).select(*rows.columns))
 
 
 def _wanted_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -286,7 +303,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _cross_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
@@ -321,32 +339,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     that share an id and have shingles are one node. Null ids never name a component that has another id; a component
     without any id gets null. Ids must be below 2**62. Other columns are not read; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     measured = materialize(_measure(slim), "sets")
     plan = choose_plan(measured)
-    rows = measured.filter("chunk IS NULL").select("doc", "n", "sig", "sig2", "bits")
+    rows = measured.filter("chunk IS NULL").select("doc", "n", "sig", "sig2", "bits", "wide")
     unnamed = F.lit(2**63 - 1) - F.shiftrightunsigned(F.col("sig"), 2)
-    classes = rows.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc").alias("node"), F.first("bits").alias("bits"))
+    classes = rows.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc").alias("node"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     classes = materialize(classes.withColumn("node", F.coalesce("node", unnamed)), "classes")
 
     shared = materialize(_shared(_entries(slim, plan)), "shared")
     stars = shared.filter("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
     heads = shared.filter("salt > 0").select("key", "size", F.col("head").alias("a")).distinct()
     heads = heads.withColumn("b", F.min("a").over(Window.partitionBy("key", "size"))).filter("a <> b").select("a", "b")
-    near = _candidates(stars.union(heads).distinct(), classes)
+    near = materialize(_candidates(stars.union(heads).distinct(), classes), "near")
+    loose = components(near.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")))
+    apart = materialize(_candidates(_cross_pairs(shared, loose, classes), classes), "apart")
+    sets = _wanted_sets(slim, near.unionByName(apart))
     by = F.struct("node_b", "node_a", "a", "b", "a2", "b2", "na", "nb")
-    one = materialize(near.groupBy("node_a").agg(F.min(by).alias("p")).select("p.*"), "star-pairs")
-    sets = _wanted_sets(slim, one)
-    same_id = _same_id(rows, classes)
-    first = materialize(_verify(one, sets).union(same_id), "star-links")
-    provisional = components(first)
-
-    rest = materialize(_candidates(_cross_pairs(shared, provisional, classes), classes), "cross-pairs")
-    if not rest.isEmpty():
-        sets = _wanted_sets(slim, rest)
-        final = components(_verify(rest, sets).union(provisional.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    else:
-        final = provisional
+    one = near.groupBy("node_a").agg(F.min(by).alias("p")).select("p.*")
+    links = _verify(one.unionByName(apart), sets).union(_same_id(rows, classes))
+    tight = components(links)
+
+    # inside a loose component, what is not linked yet; all its sets are named by near pairs
+    inside = loose.join(classes.select("node", "sig"), "node").select("sig", "component")
+    inside = shared.join(inside, "sig").withColumn("key", F.xxhash64("key", "component")).drop("component")
+    rest = materialize(_candidates(_cross_pairs(inside, tight, classes), classes), "rest")
+    final = components(_verify(rest, sets).union(tight.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = classes.join(final, "node", "left").select("sig", "sig2", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc", "n", "sig", "sig2").join(named, ["sig", "sig2"], "left")
     found = F.when(F.col("n") == 0, F.col("doc")).when(F.col("component") < _SYNTHETIC, F.col("component"))

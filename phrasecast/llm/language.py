@@ -13,7 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from phrasecast.llm.common import crc_remainder, ship
 
 #: Runs of letters; everything else is no evidence of a language.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -232,6 +234,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     columns of that name.
     """
     spark = docs.sparkSession
+    ship(spark)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages: bounded by the public vocabulary
     rows = docs.select(F.col(text_col).alias("__text"), *kept)
@@ -239,10 +242,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return rows.mapInArrow(lambda batches: _score_batches(batches, shared.value), schema)
 
 
-def report(docs: DataFrame, spark: SparkSession | None = None, vocabulary: str | None = None) -> DataFrame:
+def report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Train on the rows that are not held out, and predict all: ``doc_id, held_out, lang_pred, score``."""
-    from phrasecast.llm.common import crc_remainder
-
     rows = docs.withColumn("held_out", crc_remainder("doc_id", 4) == 2)
     model = train(rows.filter(~F.col("held_out")), vocabulary=vocabulary)
     return identify(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -17,6 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from phrasecast.llm.common import ship
+
 BITS = 14
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[^\W_]+")
@@ -185,6 +187,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     Every line of the whole text is looked at. Null and empty texts have none; repeated rows each give their notices;
     other columns are not read.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows, whatever the input
     kind = dict(docs.select(F.col(id_col).alias("i")).dtypes)["i"]
     names = ["doc_id", "paragraph", "family", "probability", "overlap"]

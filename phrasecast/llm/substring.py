@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from phrasecast.llm.common import ship
 from phrasecast.llm.hashing import ODD, WordHashes, mix
 from phrasecast.session import materialize
 
@@ -144,7 +145,7 @@ def _spread(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-_PIECE = "shard long, doc long, at long, n int, words string"
+_PIECE = "shard long, doc long, at long, n int, words binary"
 
 
 def _emit(docs: DataFrame, table: np.ndarray, width: int, gram: int) -> DataFrame:
@@ -155,7 +156,7 @@ def _emit(docs: DataFrame, table: np.ndarray, width: int, gram: int) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(table)
     size = 1 << TABLE_BITS
     names = ["shard", "doc", "at", "n", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [[]] * 5
@@ -183,10 +184,10 @@ def _emit(docs: DataFrame, table: np.ndarray, width: int, gram: int) -> DataFram
                     elif (doc, at) > old[:2]:
                         rows.append((_spread(key), doc, at, count, None))
                 if len(firsts) >= 200_000:
-                    rows += [(s, d, a, c, t.decode()) for d, a, c, s, t in firsts.values()]
+                    rows += [(s, d, a, c, t) for d, a, c, s, t in firsts.values()]
                     firsts = {}
             yield batch_of(rows)
-        yield batch_of([(s, d, a, c, t.decode()) for d, a, c, s, t in firsts.values()])
+        yield batch_of([(s, d, a, c, t) for d, a, c, s, t in firsts.values()])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECE)
 
@@ -235,8 +236,11 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, width: int):
         n, self.width = len(text), width
-        order = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        have = 1
+        order, have = text.astype(np.int64), 1
+        if int(text.max(initial=0)) < 1 << 21 and width >= 3:  # three word numbers fit one key
+            after = np.append(text, [0, 0])
+            order = np.unique((text << 42) | (after[1:-1] << 21) | after[2:], return_inverse=True)[1].astype(np.int64)
+            have = 3
         while have < width:  # ranks by the first `have` words, doubled until they cover the width
             step = min(have, width - have)
             nxt = np.zeros(n, np.int64)
@@ -330,7 +334,9 @@ def _search(found: DataFrame, width: int, gram: int, most_words: int) -> DataFra
 
     Rows come sorted by shard, words and start. Of equal pieces only the first is indexed, the others are repeats at
     once. Whole shards are gathered until they hold ``most_words`` words, so memory is bounded; a single shard above
-    that is cut by the hash of its windows, which keeps equal windows together.
+    that is cut by the hash of its windows, which keeps equal windows together. A piece that is alone in its shard
+    could only repeat itself; then the second of two equal windows adds no word of its own, so the piece has fewer
+    distinct words than windows.
     """
 
     def indexed(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
@@ -359,25 +365,37 @@ def _search(found: DataFrame, width: int, gram: int, most_words: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
-        total, shard, last = 0, None, None
+        total, start, shard, last = 0, 0, None, None
+
+        def close() -> int:
+            """Drop the last shard's piece if it is alone and cannot repeat; the number of words dropped."""
+            if len(held) - start == 1 and len(set(held[-1][3].split(b" "))) >= held[-1][2]:
+                return held.pop()[2] + width - 1
+            return 0
+
         for batch in batches:
             out = []
             for s, doc, at, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if words is None:
                     out.append((doc, at, n))
                     continue
-                if s != shard and total >= most_words:
-                    out += indexed(held)
-                    held, total = [], 0
-                if s == shard and words == last:
+                if s != shard:
+                    total -= close()
+                    if total >= most_words:
+                        out += indexed(held)
+                        held.clear()
+                        total = 0
+                    start = len(held)
+                elif words == last:
                     if (doc, at) != held[-1][:2]:
                         out.append((doc, at, n))
                     continue
                 shard, last = s, words
-                held.append((doc, at, n, words.encode()))
+                held.append((doc, at, n, words))
                 total += n + width - 1
             if out:
                 yield _runs(out)
+        close()
         if held:
             yield _runs(list(indexed(held)))
 
@@ -396,6 +414,7 @@ def _runs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_words: int = 300_000) -> DataFrame:
     """Runs of windows (``doc, at, n``: document, first word, windows) whose words also start earlier."""
+    ship(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     return _search(_emit(slim, _repeated(slim, width, gram), width, gram), width, gram, most_words)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from phrasecast.llm.common import crc_remainder
+from phrasecast.llm.common import crc_remainder, ship
 
 BITS = 18
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -105,6 +105,7 @@ def train(
     0.5. Null labels and ids teach nothing; repeated labels of an id count once, toxic if any is. Without positives
     every text scores the prior.
     """
+    ship(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__toxic"))
     share = known.agg(F.avg(F.col("__toxic").cast("double"))).first()[0]
@@ -134,6 +135,7 @@ def score(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFra
 
     The whole text is read; all columns come back, and columns named ``score`` or ``predicted`` are replaced.
     """
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the input
 

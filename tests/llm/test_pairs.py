@@ -86,7 +86,9 @@ def test_awkward_components(make_docs, awkward):
 
 def test_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(200)], "u long, v long")
-    assert {r.component for r in jaccard_join.components(links).collect()} == {0}
+    found = jaccard_join.components(links).collect()
+    assert {r.component for r in found} == {0}
+    assert sorted(r.node for r in found) == list(range(201))
 
 
 def test_parity_never_hides_a_link():
