@@ -118,14 +118,18 @@ def choose_plan(measured: DataFrame) -> Plan:
     The driver holds the table of ``CELLS`` numbers and one row of costs.
     """
     chunks = measured.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    counts = np.zeros(CELLS, np.int64)
-    per = CELLS // 64
+    counts, per = np.zeros((64, CELLS // 64), np.uint32), CELLS // 64
+    squares = 0.0
     for chunk, packed in chunks.mapInArrow(add_counts, "chunk int, counts binary").toLocalIterator():
-        counts[chunk * per : (chunk + 1) * per] = np.frombuffer(packed, np.int64)
-    total = max(int(counts.sum()), 1)
+        part = np.frombuffer(packed, np.int64)
+        squares += float((part.astype(float) ** 2).sum())
+        counts[chunk] = np.minimum(part, np.iinfo(np.uint32).max)
+    total = max(int(counts.sum(dtype=np.int64)), 1)
     load = total / CELLS
-    rank = np.ceil(np.log2(np.maximum(counts / (4 * load + 16), 1))).astype(np.uint8)
-    list_length = max(float((counts.astype(float) ** 2).sum() / total) - load, 1.0)
+    rank = np.zeros((64, per), np.uint8)
+    for k in range(64):  # by chunk: the driver's temporary arrays stay small
+        rank[k] = np.ceil(np.log2(np.maximum(counts[k] / (4 * load + 16), 1)))
+    list_length = max(squares / total - load, 1.0)
     n = F.col("n")
     prefix = n - F.floor((NUM * n + DEN - 1) / DEN) + 1
     scan = prefix * (1 + SCAN_COST * list_length)
@@ -135,7 +139,7 @@ def choose_plan(measured: DataFrame) -> Plan:
     ]
     row = measured.filter("n > 1").agg(*cost).first()
     found = [(row[str(b)] if row[str(b)] is not None else 0.0, b) for b in BORDERS]
-    return Plan(rank, min(found)[1])
+    return Plan(rank.reshape(-1), min(found)[1])
 
 
 # --- second pass: keys -------------------------------------------------------------------------------------------
@@ -206,12 +210,14 @@ def _shared(entries: DataFrame) -> DataFrame:
 # --- pairs -------------------------------------------------------------------------------------------------------
 
 
+def _differing(bits: str) -> Column:
+    both = F.zip_with(F.col(f"x.{bits}"), F.col(f"y.{bits}"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(both, F.lit(0), lambda s, x: s + x)
+
+
 def _could_link(bits: str) -> Column:
     """Sizes within reach, and no more differing parities than the symmetric difference may have."""
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    differ = F.aggregate(
-        F.zip_with(F.col(f"x.{bits}"), F.col(f"y.{bits}"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
+    least, most, differ = F.least("na", "nb"), F.greatest("na", "nb"), _differing(bits)
     return (DEN * least >= NUM * most) & ((NUM + DEN) * differ <= (DEN - NUM) * (F.col("na") + F.col("nb")))
 
 
@@ -243,8 +249,8 @@ def _wanted_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     named = pairs.select(slot("a").alias("s")).union(pairs.select(slot("b").alias("s")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
     table = np.zeros(words, np.int64)
-    rows = named.select(F.shiftright("s", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
-    table[rows["i"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)  # at most FILTER_BITS / 64 rows
+    rows = named.select(F.shiftright("s", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    table[rows["i"].to_numpy().astype(np.int64)] = rows["b"].to_numpy()  # at most FILTER_BITS / 64 rows
     shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
@@ -311,15 +317,18 @@ def _cross_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame) ->
     """Distinct signature pairs that share a key and belong to different components so far.
 
     Keys whose sets are all in one component are dropped; for the others, components are paired first and members
-    then, so a large component costs nothing by itself.
+    then, so a large component costs nothing by itself. Two sets that are alone in their components are ruled out by
+    their bitmaps where they meet.
     """
     named = classes.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "bits")
-    rows = shared.select("key", "sig", "n").join(named.select("sig", "comp"), "sig")
+    rows = shared.select("key", "sig", "n").join(named, "sig")
     many = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rows = materialize(rows.join(many, "key").distinct(), "cross-rows")
-    groups = rows.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    alone = F.when(F.min("sig") == F.max("sig"), F.first("bits"))
+    groups = rows.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), alone.alias("bits"))
     x, y = groups.alias("x"), groups.alias("y")
     near = (DEN * F.col("x.hi") >= NUM * F.col("y.lo")) & (DEN * F.col("y.hi") >= NUM * F.col("x.lo"))
+    near &= F.coalesce((NUM + DEN) * _differing("bits") <= (DEN - NUM) * (F.col("x.hi") + F.col("y.hi")), F.lit(True))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
     met = met.select(F.col("x.key").alias("key"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
     a = rows.select("key", F.col("comp").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"))
