@@ -136,7 +136,7 @@ def agg_snapshot_hash(spark, sf):
 def jn_news(spark, sf):
     """Segments of twenty event groups with the features of their news; one name clashes."""
     base = v.segments(spark, sf).select(
-        F.concat(F.lit("E"), (F.substring("event_id", 2, 6).cast("int") % 25).cast("string")).alias("event_id"),
+        F.concat(F.lit("E"), (F.expr("substring(event_id, 2)").cast("bigint") % 25).cast("string")).alias("event_id"),
         "segment_id",
         F.lit(0).cast("bigint").alias("news_article_count"),
     )

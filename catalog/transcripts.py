@@ -251,7 +251,7 @@ def jn_segments_inventory(spark, sf):
 _JOIN_SQL = f"""WITH {v.LABELLED}
 SELECT l.event_id, l.segment_id, o.o_orderpriority AS event_type, o.o_orderdate::DATE AS event_date, l.speaker,
        'orders' AS provenance, o.o_orderstatus AS desk, {', '.join(v.TARGETS)}
-FROM lab l JOIN orders o ON l.event_id = 'C' || lpad(o.o_orderkey::VARCHAR, 6, '0') WHERE l.speaker <> 'SYSTEM'"""
+FROM lab l JOIN orders o ON l.event_id = 'C' || lpad(o.o_orderkey::VARCHAR, greatest(6, len(o.o_orderkey::VARCHAR))::INTEGER, '0') WHERE l.speaker <> 'SYSTEM'"""
 
 
 def val_segments(spark, sf):
@@ -276,7 +276,7 @@ def flow_labelled_segments(spark, sf):
 
 _FLOW_SQL = f"""SELECT r.event_id, r.segment_id, o.o_orderpriority AS event_type, r.speaker, r.start_char, r.end_char,
        {', '.join(f'{v.hit_sql(t)} AS {t}' for t in v.TARGETS)}
-FROM (WITH {_turns_sql(_CLEAN)}) r JOIN orders o ON r.event_id = 'C' || lpad(o.o_orderkey::VARCHAR, 6, '0')
+FROM (WITH {_turns_sql(_CLEAN)}) r JOIN orders o ON r.event_id = 'C' || lpad(o.o_orderkey::VARCHAR, greatest(6, len(o.o_orderkey::VARCHAR))::INTEGER, '0')
 WHERE r.speaker IS NULL OR NOT regexp_matches(r.speaker, '(?i)\\bsystem\\b')"""
 
 

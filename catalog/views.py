@@ -18,15 +18,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(df) if name in ("documents", "conversations") else df
 
 
+def padded(number, width: int):
+    """A number with leading zeros; longer numbers keep all their digits."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.char_length(digits)), F.lit("0"))
+
+
 def _event(column: str):
-    return F.concat(F.lit("C"), F.lpad(F.col(column).cast("string"), 6, "0"))
+    return F.concat(F.lit("C"), padded(F.col(column), 6))
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """One segment per conversation turn; three conversations share a day."""
     return table(spark, sf, "conversations").select(
         _event("conv_id").alias("event_id"),
-        F.concat(_event("conv_id"), F.lit("_S"), F.lpad((F.col("turn") + 1).cast("string"), 4, "0")).alias("segment_id"),
+        F.concat(_event("conv_id"), F.lit("_S"), padded(F.col("turn") + 1, 4)).alias("segment_id"),
         F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("conv_id") / 3).cast("int")).alias("event_date"),
         F.upper("role").alias("speaker"),
         "text",
@@ -37,8 +43,8 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 SEGMENTS = """
 segs AS (
-  SELECT 'C' || lpad(conv_id::VARCHAR, 6, '0') AS event_id,
-         'C' || lpad(conv_id::VARCHAR, 6, '0') || '_S' || lpad((turn + 1)::VARCHAR, 4, '0') AS segment_id,
+  SELECT 'C' || lpad(conv_id::VARCHAR, greatest(6, len(conv_id::VARCHAR))::INTEGER, '0') AS event_id,
+         'C' || lpad(conv_id::VARCHAR, greatest(6, len(conv_id::VARCHAR))::INTEGER, '0') || '_S' || lpad((turn + 1)::VARCHAR, greatest(4, len((turn + 1)::VARCHAR))::INTEGER, '0') AS segment_id,
          (DATE '2020-01-01' + (conv_id // 3)::INTEGER) AS event_date,
          upper(role) AS speaker, text
   FROM conversations)
@@ -103,7 +109,7 @@ def transcript_pages(spark: SparkSession, sf: str) -> DataFrame:
 def document_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as an event of one page."""
     return table(spark, sf, "documents").select(
-        F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("event_id"),
+        F.concat(F.lit("D"), padded(F.col("doc_id"), 8)).alias("event_id"),
         F.lit(0).alias("page_no"),
         "text",
     )
@@ -111,7 +117,7 @@ def document_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 TRANSCRIPT_PAGES = """
 raw_pages AS (
-  SELECT 'C' || lpad(conv_id::VARCHAR, 6, '0') AS event_id, turn::INTEGER AS page_no,
+  SELECT 'C' || lpad(conv_id::VARCHAR, greatest(6, len(conv_id::VARCHAR))::INTEGER, '0') AS event_id, turn::INTEGER AS page_no,
          'Page ' || turn || chr(10) || 'Federal Reserve notes' || chr(10)
          || upper(role[1]) || role[2:] || ':  ' || text || chr(10) || ' ' || chr(10)
          || turn || ' / 7' || chr(10) || '***' AS text
@@ -119,7 +125,7 @@ raw_pages AS (
 """
 DOCUMENT_PAGES = """
 raw_pages AS (
-  SELECT 'D' || lpad(doc_id::VARCHAR, 8, '0') AS event_id, 0::INTEGER AS page_no, text FROM documents)
+  SELECT 'D' || lpad(doc_id::VARCHAR, greatest(8, len(doc_id::VARCHAR))::INTEGER, '0') AS event_id, 0::INTEGER AS page_no, text FROM documents)
 """
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -181,10 +181,12 @@ def union_features(blocks: dict[str, DataFrame]) -> DataFrame:
 def fit_scales(features: DataFrame, n_rows: Column) -> DataFrame:
     """``(feature, scale)``: population standard deviation with absent values as 0; constants scale by 1."""
     sums = features.groupBy("feature").agg(
-        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")
+        F.count("value").alias("k"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
     )
-    variance = F.col("q") / n_rows - (F.col("s") / n_rows) * (F.col("s") / n_rows)
-    return sums.select("feature", F.when(variance > 1e-15, F.sqrt(variance)).otherwise(F.lit(1.0)).alias("scale"))
+    # the spread of the present values, and the one between them and the absent zeros
+    variance = F.col("k") / n_rows * (F.col("v") + (n_rows - F.col("k")) / n_rows * F.col("m") * F.col("m"))
+    least = F.greatest(F.lit(1e-15), F.pow(F.col("m") * 1e-12, F.lit(2)))
+    return sums.select("feature", F.when(variance > least, F.sqrt(variance)).otherwise(F.lit(1.0)).alias("scale"))
 
 
 def scale_features(features: DataFrame, scales: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasecast.functions.numbers import publication_time
 from phrasecast.functions.phrases import vocabulary
 from phrasecast.functions.scan import prefix_sums, skew_join
+from phrasecast.functions.text import is_blank
 
 REQUIRED = ["article_id", "event_id", "source", "published_at", "headline", "url", "body_text"]
 # Where an article stands in its dump: file, split of the file, line inside the split.
@@ -58,7 +59,8 @@ def normalise_articles(articles: DataFrame, ingest_source: str, ingested_at: str
     loose = [F.struct(F.lit(c), F.col(c).cast("string")) for c in articles.columns if c not in known]
     extras = F.map_from_entries(F.array(*loose)) if loose else none
     if "extras" in articles.columns:
-        extras = F.map_concat(extras, F.coalesce(F.col("extras"), none))
+        given = F.coalesce(F.col("extras"), none)  # what stands under "extras" wins over a loose column of that name
+        extras = F.map_concat(F.map_filter(extras, lambda k, _: ~F.map_contains_key(given, k)), given)
     extras = F.map_filter(extras, lambda _, v: v.isNotNull())
     defaults = F.create_map(F.lit("ingested_at"), F.lit(ingested_at), F.lit("ingest_source"), F.lit(ingest_source))
     unset = F.map_filter(defaults, lambda k, _: ~F.map_contains_key("extras", k))
@@ -93,14 +95,21 @@ def within_window(articles: DataFrame, since: str | None = None, until: str | No
 
 
 def first_per_source(articles: DataFrame, n: int, source: str = "ingest_source") -> DataFrame:
-    """The first ``n`` articles of each source in file and line order."""
-    blocks = {name: F.col(name) for name in POSITION[:-1]}
-    placed = prefix_sums(articles, [source], blocks, POSITION[-1:], {"__place": F.lit(1).cast("bigint")})
-    return placed.filter(F.col("__place") < n).drop("__place")
+    """The first ``n`` articles of each source (NULL is one, too) in file and line order.
+
+    Each task keeps its own first ``n`` per source before anything is shuffled.
+    """
+    place = F.row_number().over(Window.partitionBy(source).orderBy(*POSITION))
+    return articles.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place")
 
 
-def totals_per_source(articles: DataFrame) -> DataFrame:
-    return articles.groupBy("ingest_source").agg(F.count(F.lit(1)).alias("articles"))
+def totals_per_source(articles: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Articles per source; with ``sources`` (a table ``ingest_source``) also those without any, as 0."""
+    found = articles.groupBy("ingest_source").agg(F.count(F.lit(1)).alias("articles"))
+    if sources is None:
+        return found
+    every = sources.select("ingest_source").distinct().join(found, "ingest_source", "left")
+    return every.select("ingest_source", F.coalesce("articles", F.lit(0).cast("bigint")).alias("articles"))
 
 
 def _text(name: str) -> Column:
@@ -180,7 +189,7 @@ def corpus_digest(lines: DataFrame, line: str = "line") -> DataFrame:
     count, sum and xor of them are hashed.
     """
     bits = F.conv(F.substring(F.sha2(F.col(line), 256), 1, 12), 16, 10).cast("bigint")
-    kept = lines.filter(F.trim(F.col(line)) != "").select(bits.alias("b"))
+    kept = lines.filter(~is_blank(F.col(line))).select(bits.alias("b"))
     sums = kept.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.col("b").cast("decimal(28,0)")), F.lit(0)).alias("s"),

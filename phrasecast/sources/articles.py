@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from phrasecast.functions.text import is_blank
 from phrasecast.operators import news
 
 _LINES = "file string, split_start bigint, line_no bigint, line string"
@@ -28,7 +29,7 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.{jsonl
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("line_no"),
         F.col("value").alias("line"),
-    ).filter(F.trim("line") != "")
+    ).filter(~is_blank(F.col("line")))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
