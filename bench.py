@@ -15,7 +15,7 @@ from phrasecast.session import build_session
 
 HEADLINE = [
     "txt_clean_documents", "seg_speaker_turns", "seg_speaker_documents", "seg_windows_overlapping", "mat_labels",
-    "mat_counts", "jn_segments_inventory", "flow_labelled_segments", "agg_rate_intervals", "agg_mention_matrix",
+    "mat_counts", "jn_segments_inventory", "flow_labelled_segments", "agg_rate_intervals", "agg_hit_matrix",
     "win_cumulative_share", "agg_first_copies", "agg_news_features", "agg_provenance_json", "agg_digest", "jn_news",
     "flow_news_features", "fea_tfidf", "fea_vectors", "fld_rolling", "fld_leave_one_out", "met_classification",
     "met_calibration_curve", "mdl_importances", "agg_candles", "jn_market_edge", "jn_edge_report", "prj_inventory",

@@ -42,8 +42,8 @@ def agg_base_rates(spark, sf):
     return _rounded(rates.base_rates(v.labelled(spark, sf), v.TARGETS), "historical_prob")
 
 
-def agg_mean_mentions(spark, sf):
-    return _rounded(rates.mean_mentions(v.labelled(spark, sf), v.TARGETS), "avg_num")
+def agg_mean_hits(spark, sf):
+    return _rounded(rates.mean_hits(v.labelled(spark, sf), v.TARGETS), "avg_num")
 
 
 def agg_event_series(spark, sf):
@@ -63,12 +63,12 @@ def lim_top_phrases(spark, sf):
     return _rounded(top, "prob", "ci_lo", "ci_hi")
 
 
-def agg_mention_matrix(spark, sf):
-    return rates.mention_matrix(v.labelled(spark, sf), v.TARGETS)
+def agg_hit_matrix(spark, sf):
+    return rates.hit_matrix(v.labelled(spark, sf), v.TARGETS)
 
 
-def agg_mention_matrix_counts(spark, sf):
-    return rates.mention_matrix(v.labelled(spark, sf), v.TARGETS, counts=True)
+def agg_hit_matrix_counts(spark, sf):
+    return rates.hit_matrix(v.labelled(spark, sf), v.TARGETS, counts=True)
 
 
 def lim_event_order(spark, sf):
@@ -80,13 +80,13 @@ def win_cumulative_share(spark, sf):
 
 
 _CUMULATIVE_SQL = f"""WITH {_LONG_FLAGS}, dated AS (
-  SELECT l.event_id, d.event_date, target, hit::INT::BIGINT AS mentioned
+  SELECT l.event_id, d.event_date, target, hit::INT::BIGINT AS was_said
   FROM long l JOIN (SELECT DISTINCT event_id, event_date FROM lab) d USING (event_id)),
 run AS (
-  SELECT *, row_number() OVER w AS event_index, sum(mentioned) OVER w AS cum_mentioned FROM dated
+  SELECT *, row_number() OVER w AS event_index, sum(was_said) OVER w AS cum_was_said FROM dated
   WINDOW w AS (PARTITION BY target ORDER BY event_date, md5(event_id) ROWS UNBOUNDED PRECEDING))
-SELECT event_id, event_date, target, mentioned, event_index, cum_mentioned::BIGINT AS cum_mentioned,
-       round(cum_mentioned / event_index, 6) AS cum_share FROM run"""
+SELECT event_id, event_date, target, was_said, event_index, cum_was_said::BIGINT AS cum_was_said,
+       round(cum_was_said / event_index, 6) AS cum_share FROM run"""
 
 
 def win_cumulative_undated(spark, sf):
@@ -94,10 +94,10 @@ def win_cumulative_undated(spark, sf):
 
 
 _UNDATED_SQL = f"""WITH {_FLAG_CTE}, run AS (
-  SELECT event_id, target__entre::INT::BIGINT AS mentioned, row_number() OVER w AS event_index,
-         sum(target__entre::INT) OVER w AS cum_mentioned FROM flags
+  SELECT event_id, target__entre::INT::BIGINT AS was_said, row_number() OVER w AS event_index,
+         sum(target__entre::INT) OVER w AS cum_was_said FROM flags
   WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, mentioned, event_index, cum_mentioned::BIGINT AS cum_mentioned, round(cum_mentioned / event_index, 6) AS cum_share FROM run"""
+SELECT event_id, was_said, event_index, cum_was_said::BIGINT AS cum_was_said, round(cum_was_said / event_index, 6) AS cum_share FROM run"""
 
 
 def agg_event_probability(spark, sf):
@@ -304,13 +304,13 @@ QUERIES = {
     "agg_event_flags": (agg_event_flags, f"WITH {_FLAG_CTE} SELECT * FROM flags"),
     "agg_event_counts": (agg_event_counts, f"WITH {_COUNT_CTE} SELECT * FROM counts"),
     "agg_base_rates": (agg_base_rates, f"WITH {_LONG_FLAGS} SELECT target, round(avg(hit::INT), 6) AS historical_prob FROM long GROUP BY target"),
-    "agg_mean_mentions": (agg_mean_mentions, f"WITH {_LONG_COUNTS} SELECT target, round(avg(hits), 6) AS avg_num FROM long GROUP BY target"),
-    "agg_event_series": (agg_event_series, f"WITH {v.LABELLED} SELECT event_id, max(event_date) AS event_date, bool_or(target__the) AS mentioned FROM lab GROUP BY event_id"),
-    "agg_event_series_counts": (agg_event_series_counts, f"WITH {v.LABELLED} SELECT event_id, event_date, sum(target__the::INT)::BIGINT AS mention_count FROM lab GROUP BY event_id, event_date"),
+    "agg_mean_hits": (agg_mean_hits, f"WITH {_LONG_COUNTS} SELECT target, round(avg(hits), 6) AS avg_num FROM long GROUP BY target"),
+    "agg_event_series": (agg_event_series, f"WITH {v.LABELLED} SELECT event_id, max(event_date) AS event_date, bool_or(target__the) AS was_said FROM lab GROUP BY event_id"),
+    "agg_event_series_counts": (agg_event_series_counts, f"WITH {v.LABELLED} SELECT event_id, event_date, sum(target__the::INT)::BIGINT AS hit_count FROM lab GROUP BY event_id, event_date"),
     "agg_rate_intervals": (agg_rate_intervals, f"WITH {_WILSON} SELECT {_CI_COLUMNS} FROM ci"),
     "lim_top_phrases": (lim_top_phrases, f"WITH {_WILSON} SELECT {_CI_COLUMNS} FROM ci ORDER BY ci.prob DESC, target LIMIT 3"),
-    "agg_mention_matrix": (agg_mention_matrix, f"WITH {_FLAG_CTE} SELECT f.event_id, d.event_date, {', '.join(f'{t}::INT::BIGINT AS {t}' for t in v.TARGETS)} FROM flags f JOIN (SELECT DISTINCT event_id, event_date FROM lab) d USING (event_id)"),
-    "agg_mention_matrix_counts": (agg_mention_matrix_counts, f"WITH {_COUNT_CTE} SELECT c.event_id, d.event_date, {_T} FROM counts c JOIN (SELECT DISTINCT event_id, event_date FROM lab) d USING (event_id)"),
+    "agg_hit_matrix": (agg_hit_matrix, f"WITH {_FLAG_CTE} SELECT f.event_id, d.event_date, {', '.join(f'{t}::INT::BIGINT AS {t}' for t in v.TARGETS)} FROM flags f JOIN (SELECT DISTINCT event_id, event_date FROM lab) d USING (event_id)"),
+    "agg_hit_matrix_counts": (agg_hit_matrix_counts, f"WITH {_COUNT_CTE} SELECT c.event_id, d.event_date, {_T} FROM counts c JOIN (SELECT DISTINCT event_id, event_date FROM lab) d USING (event_id)"),
     "lim_event_order": (lim_event_order, f"WITH {v.SEGMENTS} SELECT DISTINCT event_id, event_date FROM segs"),
     "win_cumulative_share": (win_cumulative_share, _CUMULATIVE_SQL),
     "win_cumulative_undated": (win_cumulative_undated, _UNDATED_SQL),

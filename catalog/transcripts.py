@@ -48,7 +48,7 @@ def jn_overrides(spark, sf):
     finished = raw.filter(F.col("desk") == "F")
     overrides = finished.select(
         "event_id",
-        F.lit("Jerome Powell, John Doe").alias("speakers"),
+        F.lit("Ines Vantorp, Bram Oake").alias("speakers"),
         F.when(F.col("event_type") == "1-URGENT", F.lit("urgent")).alias("event_type"),
     )
     return _flat_inventory(iv.apply_overrides(raw, overrides))
@@ -57,7 +57,7 @@ def jn_overrides(spark, sf):
 _OVERRIDES_SQL = f"""WITH {v.INVENTORY}
 SELECT event_id, CASE WHEN desk = 'F' AND event_type = '1-URGENT' THEN 'urgent' ELSE event_type END AS event_type,
        strftime(event_date, '%Y-%m-%d') AS event_date,
-       CASE WHEN desk = 'F' THEN 'Jerome Powell, John Doe' ELSE speakers END AS speakers,
+       CASE WHEN desk = 'F' THEN 'Ines Vantorp, Bram Oake' ELSE speakers END AS speakers,
        source_url, provenance, desk FROM inv"""
 
 

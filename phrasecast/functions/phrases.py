@@ -48,13 +48,6 @@ def slug_column(term: Column) -> Column:
     return F.concat(F.lit("target__"), F.when(body == "", F.lit("term")).otherwise(body))
 
 
-def alternatives(term: str) -> list[str]:
-    """The phrases a slash separates; a term of nothing but slashes stands for itself."""
-    if not term:
-        return []
-    return [p.strip() for p in term.split("/") if p.strip()] or [term.strip()]
-
-
 def word_forms(word: str) -> set[str]:
     """A word with its plural and possessive spellings, lower case."""
     base = word.lower()
@@ -68,12 +61,23 @@ def word_forms(word: str) -> set[str]:
     return {base} | plurals | owners | bare
 
 
-def _word_pattern(word: str) -> str:
-    if re.fullmatch(r"\d+", word):
-        return f"{word}(?:st|nd|rd|th)?"
-    if re.fullmatch(r"[A-Za-z]+", word):
-        return "(?:" + "|".join(literal(f) for f in sorted(word_forms(word), key=lambda f: (-len(f), f))) + ")"
-    return literal(word)
+#: Classes of phrase tokens: what a token looks like, and the spellings that count for it. The first that fits holds.
+TOKEN_CLASSES = [
+    (re.compile(r"\d+"), lambda token: [token + ending for ending in ("st", "nd", "rd", "th", "")]),
+    (re.compile(r"[A-Za-z]+"), word_forms),
+    (re.compile(r".+", re.S), lambda token: [token]),
+]
+
+
+def _spellings(token: str) -> str:
+    """Regex of all spellings of a token, longest first."""
+    forms = next(spell(token) for shape, spell in TOKEN_CLASSES if shape.fullmatch(token))
+    return "(?:" + "|".join(literal(f) for f in sorted(forms, key=lambda f: (-len(f), f))) + ")"
+
+
+def _bounded(tokens: Iterable[str], gap: str, before: str, after: str) -> str:
+    """Token patterns with ``gap`` between them and a boundary on either side."""
+    return before + gap.join(tokens) + after
 
 
 @dataclass(frozen=True)
@@ -87,12 +91,10 @@ class Phrase:
 
     @classmethod
     def of(cls, term: str) -> "Phrase":
-        split = [alt.split() for alt in alternatives(term)]
-        split = [words for words in split if words]
-        bodies = [BETWEEN_WORDS.join(_word_pattern(w) for w in words) for words in split]
-        pattern = None
-        if bodies:
-            pattern = "(?iu)" + "|".join(f"(?<!{WORD}){body}(?!{WORD})" for body in bodies)
+        # a slash separates alternatives; a term of nothing but slashes stands for itself
+        split = [words for words in map(str.split, term.split("/")) if words] or [words for words in [term.split()] if words]
+        bodies = [_bounded(map(_spellings, words), BETWEEN_WORDS, f"(?<!{WORD})", f"(?!{WORD})") for words in split]
+        pattern = "(?iu)" + "|".join(bodies) if bodies else None
         return cls(term, target_slug(term), pattern, tuple(sorted({w[0].lower() for w in split})))
 
     def hit(self, text: Column, prefilter: bool = True) -> Column:
@@ -140,7 +142,7 @@ def speaker_pattern(term: str) -> str:
         if not body:
             raise ValueError("a regex: speaker term needs a pattern")
         return f"(?:{body})"
-    return _EDGE + BETWEEN_SPEAKER_WORDS.join(literal(w) for w in term.split()) + _EDGE
+    return _bounded(map(literal, term.split()), BETWEEN_SPEAKER_WORDS, _EDGE, _EDGE)
 
 
 def _any_of(terms: Iterable[str] | None) -> str | None:

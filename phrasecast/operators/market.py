@@ -52,10 +52,12 @@ def _priced(markets: DataFrame, fields: Sequence[str]) -> DataFrame:
     return out.withColumn("error", price_error(F.col("price"), F.col("price_value")))
 
 
-def market_probabilities(markets: DataFrame, fields: Sequence[str] = PRICE_FIELDS) -> DataFrame:
-    """``(ticker, market_probability)`` of the markets with a usable price."""
+def market_probabilities(
+    markets: DataFrame, fields: Sequence[str] = PRICE_FIELDS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(ticker, <keep>, market_probability)`` of the markets with a usable price, one row per row that has one."""
     good = _priced(markets, fields).filter(F.col("error").isNull())
-    return good.select("ticker", price_probability(F.col("price_value")).alias("market_probability"))
+    return good.select("ticker", *keep, price_probability(F.col("price_value")).alias("market_probability"))
 
 
 def price_failures(markets: DataFrame, fields: Sequence[str] = PRICE_FIELDS) -> DataFrame:

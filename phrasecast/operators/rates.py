@@ -1,4 +1,4 @@
-"""Event flags, base rates, intervals, mention counts and series."""
+"""Event flags, base rates, intervals, hit counts and series."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def base_rates(segments: DataFrame, targets: Sequence[str]) -> DataFrame:
     return _mean_per_target(event_flags(segments, targets), targets, "historical_prob")
 
 
-def mean_mentions(segments: DataFrame, targets: Sequence[str]) -> DataFrame:
+def mean_hits(segments: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Mean number of segments with the phrase per event, highest first."""
     return _mean_per_target(event_counts(segments, targets), targets, "avg_num")
 
@@ -77,10 +77,10 @@ def event_series(segments: DataFrame, target: str, counts: bool = False) -> Data
     """One phrase over the events in date order, as a flag or as a number of segments."""
     if counts:
         dated = segments.filter(F.col("event_date").isNotNull()).groupBy("event_id", "event_date")
-        out = dated.agg(F.coalesce(F.sum(F.col(target).cast("bigint")), F.lit(0)).alias("mention_count"))
+        out = dated.agg(F.coalesce(F.sum(F.col(target).cast("bigint")), F.lit(0)).alias("hit_count"))
     else:
         out = segments.groupBy("event_id").agg(
-            F.max("event_date").alias("event_date"), F.bool_or(target).alias("mentioned")
+            F.max("event_date").alias("event_date"), F.bool_or(target).alias("was_said")
         )
     return _by_date(out)
 
@@ -90,7 +90,7 @@ def events_in_order(segments: DataFrame) -> DataFrame:
     return _by_date(segments.select("event_id", "event_date").distinct())
 
 
-def mention_matrix(segments: DataFrame, targets: Sequence[str], counts: bool = False) -> DataFrame:
+def hit_matrix(segments: DataFrame, targets: Sequence[str], counts: bool = False) -> DataFrame:
     """Events (chronological rows) by phrases (columns), flags as 0/1 or counts."""
     per_event = event_counts(segments, targets) if counts else event_flags(segments, targets)
     dated = per_event.join(event_dates(segments), "event_id", "left")
@@ -103,13 +103,13 @@ def event_dates(segments: DataFrame) -> DataFrame:
 
 
 def cumulative_share(segments: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Per phrase: running share of events with a mention, by date (ties in md5(event_id) order)."""
+    """Per phrase: running share of events with a hit, by date (ties in md5(event_id) order)."""
     dated = (
         segments.filter(F.col("event_date").isNotNull())
         .groupBy("event_id", "event_date")
         .agg(*[F.bool_or(F.col(t).cast("boolean")).cast("bigint").alias(t) for t in targets])
     )
-    long = dated.unpivot(["event_id", "event_date"], list(targets), "target", "mentioned")
+    long = dated.unpivot(["event_id", "event_date"], list(targets), "target", "was_said")
     long = long.withColumn("target", _phrase(F.col("target"))).withColumn("__h", hash_order("event_id"))
     blocks = {"day": F.col("event_date"), "part": hash_block("event_id", 2)}
     return _share(long, ["target"], blocks, ["__h"]).drop("__h")
@@ -117,20 +117,20 @@ def cumulative_share(segments: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 def _share(long: DataFrame, keys: Sequence[str], blocks: dict[str, Column], order: Sequence[str]) -> DataFrame:
     run = prefix_sums(
-        long.withColumn("__m", F.coalesce("mentioned", F.lit(0))),
+        long.withColumn("__m", F.coalesce("was_said", F.lit(0))),
         keys,
         blocks,
         order,
-        {"event_index": F.lit(1).cast("bigint"), "cum_mentioned": F.col("__m")},
+        {"event_index": F.lit(1).cast("bigint"), "cum_was_said": F.col("__m")},
     )
     run = run.withColumn("event_index", F.col("event_index") + 1)
-    run = run.withColumn("cum_mentioned", F.col("cum_mentioned") + F.col("__m")).drop("__m")
-    return run.withColumn("cum_share", F.col("cum_mentioned") / F.col("event_index"))
+    run = run.withColumn("cum_was_said", F.col("cum_was_said") + F.col("__m")).drop("__m")
+    return run.withColumn("cum_share", F.col("cum_was_said") / F.col("event_index"))
 
 
 def cumulative_share_undated(segments: DataFrame, target: str) -> DataFrame:
     """Running share by event id, for tables without dates; ``event_index`` is the x axis."""
-    flags = event_flags(segments, [target]).select("event_id", F.col(target).cast("bigint").alias("mentioned"))
+    flags = event_flags(segments, [target]).select("event_id", F.col(target).cast("bigint").alias("was_said"))
     placed = global_index(flags, ["event_id"], "place")
     block = {"block": F.floor(F.col("place") / 65536)}
     return _share(placed, [], block, ["place"]).drop("place")

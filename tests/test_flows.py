@@ -11,7 +11,7 @@ from phrasecast.streaming import labels as stream
 
 def test_publish_flow(spark, tmp_path):
     pages = spark.createDataFrame(
-        [("E1", 0, "Page 1\nMr. Powell: taxes rise"), ("E1", 1, "and policies\nReporter: why?"), ("E2", 0, "none"), ("E3", 0, "x")],
+        [("E1", 0, "Page 1\nDr. Vantorp: taxes rise"), ("E1", 1, "and policies\nReporter: why?"), ("E2", 0, "none"), ("E3", 0, "x")],
         "event_id string, page_no int, text string",
     )
     inventory = spark.createDataFrame(
@@ -21,7 +21,7 @@ def test_publish_flow(spark, tmp_path):
     rows = {r["segment_id"]: r for r in out.rows.collect()}
     assert set(rows) == {"E1_S0001", "E1_S0002", "E2_W0001"}
     first = rows["E1_S0001"]
-    assert first["text"] == "taxes rise\n\nand policies" and first["speaker"] == "MR POWELL"
+    assert first["text"] == "taxes rise\n\nand policies" and first["speaker"] == "DR VANTORP"
     assert (first["target__tax"], first["target__policy"]) == (True, False)
     duplicated = inventory.union(inventory)
     with pytest.raises(ValueError):

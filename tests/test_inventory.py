@@ -6,7 +6,7 @@ from phrasecast.operators import inventory as iv
 from phrasecast.sources import tables
 
 CSV = """event_id,event_type,event_date,speakers,pdf_file,source_url,provenance,desk
-E1,press,2024-01-31,"Jerome Powell, John Doe , ",a.pdf,https://x.example,Public domain,north
+E1,press,2024-01-31,"Ines Vantorp, Bram Oake , ",a.pdf,https://x.example,Public domain,north
 E2,call,01/31/2023,,b.pdf,,,south
 E3,call,20230101,One,c.pdf,,,
 """
@@ -23,10 +23,10 @@ def test_projection(raw):
     out = iv.project_inventory(raw)
     assert out.columns == iv.CORE_COLUMNS + ["desk"]
     rows = {r["event_id"]: r for r in out.collect()}
-    assert rows["E1"]["speakers"] == ["Jerome Powell", "John Doe"] and rows["E2"]["speakers"] == []
+    assert rows["E1"]["speakers"] == ["Ines Vantorp", "Bram Oake"] and rows["E2"]["speakers"] == []
     assert rows["E2"]["event_date"] == dt.date(2023, 1, 31) and rows["E3"]["event_date"] == dt.date(2023, 1, 1)
     flat = {r["event_id"]: r for r in iv.inventory_rows(out).collect()}
-    assert flat["E1"]["speakers"] == "Jerome Powell, John Doe" and flat["E3"]["event_date"] == "2023-01-01"
+    assert flat["E1"]["speakers"] == "Ines Vantorp, Bram Oake" and flat["E3"]["event_date"] == "2023-01-01"
     assert iv.project_inventory(raw.drop("event_type")).first()["event_type"] == "unknown"
 
 

@@ -8,8 +8,8 @@ from phrasecast.plans import newsflow
 from phrasecast.sources import articles as dumps
 
 BASE = {
-    "article_id": "wsj-1", "event_id": "2024-03", "source": "wsj", "headline": "Powell expected to mention inflation",
-    "body_text": "Analysts debate inflation outlook and inflation policy.", "published_at": "2024-03-15T12:00:00Z",
+    "article_id": "hbr-1", "event_id": "2024-03", "source": "hbr", "headline": "Harbour board to discuss dredging",
+    "body_text": "Pilots question dredging costs and dredging dates.", "published_at": "2024-03-15T12:00:00Z",
     "url": "https://x.example/1", "tags": ["a", "b"], "desk": "north",
 }
 
@@ -26,7 +26,7 @@ def folder(tmp_path):
     dump(
         root / "one", "a",
         BASE, "", "not json", "[1]",
-        {**BASE, "article_id": "wsj-1", "event_id": "other"},
+        {**BASE, "article_id": "hbr-1", "event_id": "other"},
         {**BASE, "article_id": ""},
         {**BASE, "article_id": "n-1", "event_id": ""},
     )
@@ -40,26 +40,26 @@ def folder(tmp_path):
 
 
 def test_features(spark, folder):
-    out = newsflow.build_features(spark, str(folder), ["inflation", "rate cut"])
+    out = newsflow.build_features(spark, str(folder), ["dredging", "tide table"])
     rows = {r["event_id"]: r for r in out.features.collect()}
     first = rows["2024-03"]
     assert (first["news_article_count"], first["news_unique_sources"]) == (2, 2)
-    assert first["news_target__inflation_count"] == 4 and first["news_target__rate_cut_count"] == 0
+    assert first["news_target__dredging_count"] == 4 and first["news_target__tide_table_count"] == 0
     assert first["news_average_body_length"] == (len(BASE["body_text"]) + 1) / 2
     assert first["news_first_published_at"] == first["news_latest_published_at"] is not None
     assert set(rows) == {"2024-03", "2024-04"} and len(first["news_snapshot_hash"]) == 64
     listed = {r["event_id"]: r["news_provenance"] for r in out.provenance.collect()}
-    assert [a["article_id"] for a in json.loads(listed["2024-03"])] == ["wsj-1", "w-2"]
+    assert [a["article_id"] for a in json.loads(listed["2024-03"])] == ["hbr-1", "w-2"]
 
 
 def test_bad_lines_and_missing_path(spark, folder):
     assert sorted(r["line"] for r in dumps.bad_lines(spark, str(folder)).collect()) == ["[1]", "not json"]
-    empty = newsflow.build_features(spark, str(folder / "nowhere"), ["inflation"])
-    assert empty.features.count() == 0 and "news_target__inflation_count" in empty.features.columns
+    empty = newsflow.build_features(spark, str(folder / "nowhere"), ["dredging"])
+    assert empty.features.count() == 0 and "news_target__dredging_count" in empty.features.columns
 
 
 def test_empty_features_keep_their_schema(spark, folder, tmp_path):
-    newsflow.build_features(spark, str(folder / "nowhere"), ["inflation"], str(tmp_path / "out"))
+    newsflow.build_features(spark, str(folder / "nowhere"), ["dredging"], str(tmp_path / "out"))
     assert "news_snapshot_hash" in spark.read.parquet(str(tmp_path / "out" / "features")).columns
 
 
@@ -119,15 +119,15 @@ def test_window_limit_and_loaders(spark, folder):
 
 def test_merge_news(spark):
     base = spark.createDataFrame(
-        [("evt-1", "evt-1-0001", 1), ("evt-2", "evt-2-0001", 0)], "event_id string, segment_id string, target__powell int"
+        [("evt-1", "evt-1-0001", 1), ("evt-2", "evt-2-0001", 0)], "event_id string, segment_id string, target__vantorp int"
     )
     table = spark.createDataFrame(
         [("evt-1", 3, 9, "abc123", '[{"article_id":"a1"}]')],
-        "event_id string, news_article_count bigint, target__powell int, news_snapshot_hash string, news_provenance string",
+        "event_id string, news_article_count bigint, target__vantorp int, news_snapshot_hash string, news_provenance string",
     )
     merged = news.merge_news(base, table)
     rows = {r["event_id"]: r for r in merged.collect()}
-    assert merged.columns == ["event_id", "segment_id", "target__powell", "news_article_count", "target__powell_news"]
+    assert merged.columns == ["event_id", "segment_id", "target__vantorp", "news_article_count", "target__vantorp_news"]
     assert rows["evt-1"]["news_article_count"] == 3 and rows["evt-2"]["news_article_count"] is None
     assert news.snapshot_hash(table).first()[0] == "abc123"
     assert news.parse_provenance(table).first()["articles"][0]["article_id"] == "a1"

@@ -32,9 +32,9 @@ def test_event_date(spark, text, expected):
 @pytest.mark.parametrize(
     "text,expected",
     [
-        ("1603584000", 1603584000), ("1603584000.0", 1603584000), ("1603584000.9", 1603584000),
-        (" 1603584000 ", 1603584000), ("-5.9", -5), ("2020-10-25T00:00:00Z", 1603584000),
-        ("2020-10-25t00:00:00z", 1603584000), ("2020-10-25", 1603584000), ("2020-10-25 02:00:00+02:00", 1603584000),
+        ("1614816000", 1614816000), ("1614816000.0", 1614816000), ("1614816000.9", 1614816000),
+        (" 1614816000 ", 1614816000), ("-5.9", -5), ("2021-03-04T00:00:00Z", 1614816000),
+        ("2021-03-04t00:00:00z", 1614816000), ("2021-03-04", 1614816000), ("2021-03-04 02:00:00+02:00", 1614816000),
         ("not-a-timestamp", None), ("", None), ("nan", None), ("2020-10", None),
     ],
 )
@@ -73,16 +73,16 @@ def test_odds_and_kelly(spark):
 
 
 PRICES = [
-    ("TEST-1", "42", None, None, None, 0.42, None),
-    ("TEST-2", None, "0.63", None, None, 0.63, None),
-    ("TEST-3", None, None, None, None, None, "no_price"),
-    ("TEST-4", "", None, "55", "99", 0.55, None),
-    ("TEST-5", "abc", None, None, "55", None, "not_numeric"),
-    ("TEST-6", "-1", None, None, None, None, "negative"),
-    ("TEST-7", "101", None, None, None, None, "above_one"),
-    ("TEST-8", "1", None, None, None, 1.0, None),
-    ("TEST-9", " 1e2 ", None, None, None, 1.0, None),
-    ("TEST-10", "5f", None, None, None, None, "not_numeric"),
+    ("BUOY-1", "42", None, None, None, 0.42, None),
+    ("BUOY-2", None, "0.63", None, None, 0.63, None),
+    ("BUOY-3", None, None, None, None, None, "no_price"),
+    ("BUOY-4", "", None, "55", "99", 0.55, None),
+    ("BUOY-5", "abc", None, None, "55", None, "not_numeric"),
+    ("BUOY-6", "-1", None, None, None, None, "negative"),
+    ("BUOY-7", "101", None, None, None, None, "above_one"),
+    ("BUOY-8", "1", None, None, None, 1.0, None),
+    ("BUOY-9", " 1e2 ", None, None, None, 1.0, None),
+    ("BUOY-10", "5f", None, None, None, None, "not_numeric"),
 ]
 
 
@@ -95,7 +95,7 @@ def test_prices(spark):
     bad = {r["ticker"]: r["error"] for r in market.price_failures(df).collect()}
     assert good == pytest.approx({p[0]: p[5] for p in PRICES if p[5] is not None})
     assert bad == {p[0]: p[6] for p in PRICES if p[6]}
-    model = spark.createDataFrame([("TEST-4", 0.62), ("TEST-3", 0.5)], "ticker string, model_probability double")
+    model = spark.createDataFrame([("BUOY-4", 0.62), ("BUOY-3", 0.5)], "ticker string, model_probability double")
     edges = market.compare_to_market(model, market.market_probabilities(df)).collect()
     assert len(edges) == 1 and edges[0]["edge"] == pytest.approx(0.07)
 
@@ -107,7 +107,7 @@ REFERENCES = [
     ("https://m.example.com/markets/a/b/c;x=1?q#f", None, "a", "c", None),
     ("speech-2023", None, "speech", "speech-2023", None),
     ("speech-2023", " other ", "other", "speech-2023", None),
-    ("SINGLEMARKET", None, None, None, "no_series"),
+    ("LONETICKER", None, None, None, "no_series"),
     ("  ", None, None, None, "empty"),
 ]
 

@@ -8,26 +8,26 @@ from phrasecast.functions import phrases as ph
 from phrasecast.operators import label
 
 MATCHES = [
-    ("Immigrant", "Immigrants will attend", True),
-    ("Immigrant", "The immigrant's story", True),
-    ("Immigrant", "Immigration policy is complex", False),
-    ("fire", "The fire station is nearby", True),
-    ("fire", "A firetruck passed by", False),
-    ("Law and order", "They promised laws and order", True),
-    ("Law and order", "New law-and-order policies", True),
-    ("Law and order", "law – and — order", True),
-    ("Egg", "The eggs’ shells are fragile", True),
-    ("January 6", "The hearing is on January 6th.", True),
-    ("January 6", "The hearing is on January 61.", False),
-    ("ICE", "She added ice water to the glass", True),
-    ("Elon / Musk", "Elon University has a program", True),
-    ("Elon / Musk", "Musk said it plainly", True),
-    ("Elon / Musk", "An elongated shape appeared", False),
-    ("tax", "étax", False),
-    ("tax", "taxes", True),
-    ("wolf", "wolves' wolf", True),
-    ("C++", "we use c++ here", True),
-    ("C++", "we use c+++ here", True),
+    ("Ferry", "Two ferries left at dawn", True),
+    ("Ferry", "We heard the ferry's horn", True),
+    ("Ferry", "A ferryman waved", False),
+    ("lamp", "One lamp stood by the gate", True),
+    ("lamp", "Lamplight fell on the wall", False),
+    ("Salt and pepper", "He passed salts and pepper", True),
+    ("Salt and pepper", "A salt-and-pepper beard", True),
+    ("Salt and pepper", "salt – and — pepper", True),
+    ("Violin", "Both violins’ strings broke", True),
+    ("May 9", "Rent is due on May 9th.", True),
+    ("May 9", "Room May 93 is locked", False),
+    ("NET", "The fisher mends a net", True),
+    ("Orla / Quist", "Orla Street is closed", True),
+    ("Orla / Quist", "Then Quist left", True),
+    ("Orla / Quist", "Orlando is far away", False),
+    ("box", "ébox", False),
+    ("box", "boxes", True),
+    ("shelf", "shelves' shelf", True),
+    ("F#", "tune it to f# now", True),
+    ("F#", "tune it to f## now", True),
 ]
 
 
@@ -38,24 +38,24 @@ def test_pattern(spark, term, text, expected):
 
 
 def test_prefilter_is_part_of_the_label(spark):
-    df = spark.createDataFrame([("Good policies.",), ("Good policy's.",)], "text string")
-    phrase = ph.Phrase.of("policy")
+    df = spark.createDataFrame([("Old cities.",), ("Old city's.",)], "text string")
+    phrase = ph.Phrase.of("city")
     got = df.select(phrase.hit(F.col("text")), phrase.hit(F.col("text"), False)).collect()
     assert [tuple(r) for r in got] == [(False, True), (True, True)]
 
 
 def test_counts_do_not_overlap(spark):
-    text = "Powell expected to mention inflation\nAnalysts debate inflation outlook and inflation policy. éinflation"
+    text = "Rainfall charts follow\nFarmers track rainfall and rainfall-fed wells. érainfall"
     df = spark.createDataFrame([(text,)], "text string")
-    assert df.select(ph.Phrase.of("inflation").count(F.col("text"))).first()[0] == 3
+    assert df.select(ph.Phrase.of("rainfall").count(F.col("text"))).first()[0] == 3
 
 
 def test_random_texts_match_python_rules(spark):
-    terms = ["policy", "law and order", "QE", "Elon / Musk Fund", "January 6", "co-op", "hero", "crisis"]
+    terms = ["ferry", "salt and pepper", "QE", "Orla / Quist Fund", "May 9", "co-op", "hero", "crisis"]
     rng = random.Random(2)
     bits = [
-        "policy", "Policies", "policy's", "law", "Laws", "and", "order", "orders’", "QE", "qes", "Elon", "elons", "musk", "funds",
-        "January", "6", "6th", "61", "co-op", "heroes", "hero'", "crises", "crisis'", " ", " ", " ", "-", "–", "_", "é", ".", "\n",
+        "ferry", "Ferries", "ferry's", "salt", "Salts", "and", "pepper", "peppers’", "QE", "qes", "Orla", "orlas", "quist", "funds",
+        "May", "9", "9th", "93", "co-op", "heroes", "hero'", "crises", "crisis'", " ", " ", " ", "-", "–", "_", "é", ".", "\n",
         "\xa0", "\u2003", "²", "\u0301", "'s", "’",
     ]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
@@ -83,12 +83,12 @@ def test_blank_term(spark):
 
 
 def test_slugs(spark):
-    assert ph.target_slug("Elon / Musk") == "target__elon_musk"
+    assert ph.target_slug("Orla / Quist") == "target__orla_quist"
     assert ph.target_slug("--") == "target__term"
     with pytest.raises(ValueError):
         ph.vocabulary(["balance sheet", "Balance-Sheet"])
-    df = spark.createDataFrame([("Elon / Musk",), ("--",)], "t string")
-    assert [r[0] for r in df.select(ph.slug_column(F.col("t"))).collect()] == ["target__elon_musk", "target__term"]
+    df = spark.createDataFrame([("Orla / Quist",), ("--",)], "t string")
+    assert [r[0] for r in df.select(ph.slug_column(F.col("t"))).collect()] == ["target__orla_quist", "target__term"]
 
 
 def test_humanise(spark):
@@ -102,16 +102,16 @@ def test_humanise(spark):
 @pytest.mark.parametrize(
     "speaker,include,exclude,expected",
     [
-        ("CHAIR POWELL", ["powell"], [], True),
-        ("REPORTER", ["powell"], [], False),
-        ("FEDERAL RESERVE REPORTER", [], ["reporter"], False),
-        ("CHAIR POWELL", ["powell"], ["chair"], False),
-        (None, ["powell"], [], False),
-        (None, [], ["powell"], True),
+        ("CHAIR VANTORP", ["vantorp"], [], True),
+        ("REPORTER", ["vantorp"], [], False),
+        ("HARBOUR NEWS REPORTER", [], ["reporter"], False),
+        ("CHAIR VANTORP", ["vantorp"], ["chair"], False),
+        (None, ["vantorp"], [], False),
+        (None, [], ["vantorp"], True),
         ("  ", [], [], True),
-        ("CHAIR-POWELL", ["chair powell"], [], True),
-        ("CHAIR POWELLS", ["chair powell"], [], False),
-        ("CHAIR POWELL.", ["CHAIR POWELL."], [], False),
+        ("CHAIR-VANTORP", ["chair vantorp"], [], True),
+        ("CHAIR VANTORPS", ["chair vantorp"], [], False),
+        ("CHAIR VANTORP.", ["CHAIR VANTORP."], [], False),
         ("ABC1", ["regex: ^abc\\d$"], [], True),
         ("ANYONE", ["", " "], None, True),
     ],
@@ -127,8 +127,8 @@ def test_empty_regex_term():
 
 
 SEGMENTS = [
-    ("EVT1", "EVT1_S0001", "Welcome everyone", "CHAIR POWELL", 0, 17),
-    ("EVT1", "EVT1_S0002", "Thank you, Chair Powell", "REPORTER", 18, 40),
+    ("EVT1", "EVT1_S0001", "Tide tables first", "CHAIR VANTORP", 0, 17),
+    ("EVT1", "EVT1_S0002", "So noted, Chair Vantorp", "REPORTER", 18, 40),
 ]
 SEGMENT_TYPE = "event_id string, segment_id string, text string, speaker string, start_char int, end_char int"
 
@@ -139,10 +139,10 @@ def test_build_rows_and_validation(spark):
         "event_id string, event_type string, event_date string, source_url string, provenance string, desk string",
     ).withColumn("event_date", F.col("event_date").cast("date"))
     segments = spark.createDataFrame(SEGMENTS, SEGMENT_TYPE)
-    rows = label.build_rows(segments, inventory, ["welcome"], include=["powell"])
-    assert rows.columns == label.SEGMENT_COLUMNS + ["desk", "target__welcome"]
+    rows = label.build_rows(segments, inventory, ["tide"], include=["vantorp"])
+    assert rows.columns == label.SEGMENT_COLUMNS + ["desk", "target__tide"]
     got = rows.collect()
-    assert len(got) == 1 and got[0]["target__welcome"] is True and got[0]["event_type"] == "press"
+    assert len(got) == 1 and got[0]["target__tide"] is True and got[0]["event_type"] == "press"
     with pytest.raises(ValueError):
         label.attach_inventory(segments, inventory.withColumn("speaker", F.lit("x")))
 
@@ -158,5 +158,5 @@ def test_validation(spark):
 
 
 def test_target_table(spark):
-    rows = label.target_table(spark, ["Elon / Musk"]).collect()
-    assert rows[0]["column"] == "target__elon_musk" and rows[0]["first_words"] == ["elon", "musk"]
+    rows = label.target_table(spark, ["Orla / Quist"]).collect()
+    assert rows[0]["column"] == "target__orla_quist" and rows[0]["first_words"] == ["orla", "quist"]

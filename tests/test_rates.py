@@ -26,19 +26,19 @@ def test_rates(segments):
     assert [r["target"] for r in rates.base_rates(segments, T).collect()] == ["a", "b"]
     counts = {r["event_id"]: r["target__a"] for r in rates.event_counts(segments, T).collect()}
     assert counts == {"E1": 2, "E2": 0, "E3": 0, "E4": 1}
-    assert [tuple(r) for r in rates.mean_mentions(segments, T).collect()] == [("a", 0.75), ("b", 0.25)]
+    assert [tuple(r) for r in rates.mean_hits(segments, T).collect()] == [("a", 0.75), ("b", 0.25)]
     assert rates.top_phrases(rates.rate_intervals(segments, T), 1).count() == 1
 
 
 def test_series_and_matrix(segments):
     flags = rates.event_series(segments, "target__a").collect()
-    assert [(r["event_id"], r["mentioned"]) for r in flags] == [("E4", True), ("E1", True), ("E2", False), ("E3", False)]
+    assert [(r["event_id"], r["was_said"]) for r in flags] == [("E4", True), ("E1", True), ("E2", False), ("E3", False)]
     counts = rates.event_series(segments, "target__a", counts=True).collect()
-    assert [r["mention_count"] for r in counts] == [1, 2, 0, 0]
-    matrix = rates.mention_matrix(segments, T).collect()
+    assert [r["hit_count"] for r in counts] == [1, 2, 0, 0]
+    matrix = rates.hit_matrix(segments, T).collect()
     assert [tuple(r)[2:] for r in matrix] == [(1, None), (1, 0), (0, 0), (0, 1)]
     assert [r["event_id"] for r in rates.events_in_order(segments).collect()] == ["E4", "E1", "E2", "E3"]
-    assert rates.mention_matrix(segments, T, counts=True).first()["target__a"] == 1
+    assert rates.hit_matrix(segments, T, counts=True).first()["target__a"] == 1
 
 
 def test_cumulative_share(segments):
@@ -74,3 +74,11 @@ def test_edge_report(spark, segments):
     rows = edge.phrase_edges(segments, T, markets).collect()
     assert len(rows) == 1 and rows[0]["phrase"] == "a"
     assert rows[0]["edge_prob_based"] == pytest.approx((0.5 - 0.8) / 0.2)
+
+
+def test_edges_of_a_repeated_ticker_grow_with_its_rows(spark, segments):
+    markets = spark.createDataFrame(
+        [("M-a", "a", price, None, None, None) for price in ("80", "70", "60")],
+        "ticker string, target string, last_price string, last_trade_price string, yes_bid string, yes_ask string",
+    )
+    assert edge.phrase_edges(segments, T, markets).count() == 3
