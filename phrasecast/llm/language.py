@@ -153,21 +153,22 @@ def train(
     Words longer than ``longest_word`` are left out of the fit (not of the scores).
     """
     pieces = Pieces(load_pieces(vocabulary))
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    slim = rows.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(lang_col).alias("l"))
+    rows = docs.select(
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")
+    ).filter("t IS NOT NULL AND l IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    top = slim.withColumn("n", place).filter(F.col("n") <= rows_per_language)
+    top = rows.select("h", "l").withColumn("n", place).filter(F.col("n") <= rows_per_language)
     chosen = top.groupBy("l").agg(F.max("h").alias("last"))
-    sample = rows.join(chosen, F.col(lang_col) == F.col("l")).filter(F.xxhash64(F.col(id_col), F.col(text_col)) <= F.col("last"))
-    lower = F.lower(F.col(text_col))
-    found = sample.select("l", F.explode(F.regexp_extract_all(lower, F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    sample = rows.join(chosen, "l").filter("h <= last")
+    found = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     found = found.filter(F.char_length("w") <= longest_word).groupBy("w", "l").agg(F.count(F.lit(1)).alias("n"))
     table = found.toPandas()
-    table = table[table["w"].map(lambda w: bool(LETTERS.fullmatch(w)))]
+    table = table[table["w"].map(lambda w: bool(LETTERS.fullmatch(w))).astype(bool)]
     languages = tuple(sorted(table["l"].unique()))
     words = {w: i for i, w in enumerate(sorted(table["w"].unique()))}
     counts = np.zeros((len(words), len(languages)))
-    counts[table["w"].map(words), table["l"].map({x: i for i, x in enumerate(languages)})] = table["n"]
+    place_of = {x: i for i, x in enumerate(languages)}
+    counts[table["w"].map(words).astype(int), table["l"].map(place_of).astype(int)] = table["n"]
     known = list(words)
     shape = (pieces.n + 2, len(languages))
     flat = np.full(shape, 1.0 / max(pieces.n, 1))
