@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from phrasecast.session import materialize
+
 #: Words are maximal runs of anything but ASCII white space; Python's ``bytes.split()`` cuts at the same bytes.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +35,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def split_unnamed(docs: DataFrame, id_col: str, first: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with an id, and those without one, written once, with a number of their own from ``first`` on in ``__row``.
+
+    A null names no document, so each of these rows is one.
+    """
+    named, unnamed = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
+    return named, materialize(unnamed.withColumn("__row", F.lit(first) + F.monotonically_increasing_id()), "unnamed")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, however often the body mentions it."""
     return F.transform(F.array(value), body).getItem(0)

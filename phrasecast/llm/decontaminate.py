@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phrasecast.llm.common import let
+from phrasecast.llm.common import let, split_unnamed
 
 WIDTH = 8
 MIN_LITERALS = 5
@@ -131,6 +131,10 @@ def leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents that hold no benchmark item, with all their columns; each row without an id is judged by itself."""
+    named, unnamed = split_unnamed(docs, id_col, 0)
+    rows = named.withColumn("__row", F.lit(None).cast("long")).unionByName(unnamed)
+    keyed = rows.withColumn("__doc", F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")))
+    bad = leaks(keyed, benchmark, id_col="__doc", **options).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.row").alias("__bad"))
+    same = rows[id_col].eqNullSafe(F.col("__id")) & rows["__row"].eqNullSafe(F.col("__bad"))
+    return rows.join(bad.distinct(), same, "left_anti").drop("__row")

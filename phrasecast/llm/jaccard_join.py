@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
-from phrasecast.llm.common import ship
+from phrasecast.llm.common import ship, split_unnamed
 from phrasecast.llm.hashing import ODD, WordHashes, add_counts, counts_out, mix
 from phrasecast.session import materialize
 
@@ -351,8 +351,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     that share an id and have shingles are one node. Null ids never name a component that has another id; a component
     without any id gets null. Ids must be below 2**62. Other columns are not read; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    out = _components_of(slim)
+    found = F.when(F.col("n") == 0, F.col("doc")).when(F.col("component") < _SYNTHETIC, F.col("component"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), found.alias("component_id"))
+
+
+def _components_of(slim: DataFrame) -> DataFrame:
+    """``doc, n, component`` of every row of ``doc, text``: the smallest node reachable; null without shingles."""
+    ship(slim.sparkSession)
     measured = materialize(_measure(slim), "sets")
     plan = choose_plan(measured)
     rows = measured.filter("chunk IS NULL").select("doc", "n", "sig", "sig2", "bits", "wide")
@@ -380,8 +387,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     final = components(_verify(rest, sets).union(tight.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = classes.join(final, "node", "left").select("sig", "sig2", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc", "n", "sig", "sig2").join(named, ["sig", "sig2"], "left")
-    found = F.when(F.col("n") == 0, F.col("doc")).when(F.col("component") < _SYNTHETIC, F.col("component"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), found.alias("component_id"))
+    return out.select("doc", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
 
 def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -394,7 +400,13 @@ def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one of smallest id (all of its rows); documents without shingles stay."""
-    found = join(docs, id_col, text_col)
-    out = found.filter((F.col("component_id") != F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
-    return docs.join(out.select(F.col("doc_id").alias("__out")), docs[id_col].eqNullSafe(F.col("__out")), "left_anti")
+    """One document of each component, the one of smallest id (all of its rows); documents without shingles stay.
+
+    Every row without an id is a document of its own, behind all those with one.
+    """
+    named, unnamed = split_unnamed(docs, id_col, _SYNTHETIC)
+    key, text = F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")
+    found = _components_of(named.select(key, text).union(unnamed.select("__row", text)))
+    out = materialize(found.filter(F.col("component") != F.col("doc")).select(F.col("doc").alias("__out")).distinct(), "copies")
+    kept = named.join(out, named[id_col] == F.col("__out"), "left_anti")
+    return kept.unionByName(unnamed.join(out, unnamed["__row"] == F.col("__out"), "left_anti").drop("__row"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from phrasecast.llm.common import ship
+from phrasecast.llm.common import ship, split_unnamed
 from phrasecast.llm.hashing import ODD, WordHashes, mix
 from phrasecast.session import materialize
 
@@ -26,8 +26,8 @@ WIDTH, GRAM = 20, 8
 #: Bits of the two tables "seen" and "seen twice"; their size does not depend on the input.
 TABLE_BITS = 27
 _CHUNKS = 256
-#: Stands for a null id: behind all others.
-LAST = np.iinfo(np.int64).max
+#: Rows without an id are numbered from here: behind all others.
+UNNAMED = 1 << 62
 
 
 # --- pieces ------------------------------------------------------------------------------------------------------
@@ -167,7 +167,6 @@ def _emit(docs: DataFrame, table: np.ndarray, width: int, gram: int) -> DataFram
         for batch in batches:
             rows = []
             for doc, words in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-                doc = LAST if doc is None else doc
                 low, first, n = pieces(words, memo, width, gram)
                 slot = (low & np.uint64(size - 1)).astype(np.int64)
                 maybe = np.flatnonzero(bits[slot >> 3] & (1 << (slot & 7)).astype(np.uint8))
@@ -413,7 +412,7 @@ def _runs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_words: int = 300_000) -> DataFrame:
-    """Runs of windows (``doc, at, n``: document, first word, windows) whose words also start earlier."""
+    """Runs of windows (``doc, at, n``: document, first word, windows) whose words also start earlier; ids are not null."""
     ship(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     return _search(_emit(slim, _repeated(slim, width, gram), width, gram), width, gram, most_words)
@@ -425,17 +424,19 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word goes when a window of ``width`` words that covers it also starts earlier: in a document of smaller id, or in
     the same one before. Null and empty texts have no words and come back with an empty ``kept``. Rows that share an id
     are one document: a window is no repeat of one at the same place of a row of that id, and what is found in one of
-    them is cut from all; null ids count as one document behind all others. Other columns are not read.
+    them is cut from all; each row with a null id is a document of its own behind all others. Ids must be below 2**62.
+    Other columns are not read.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named, unnamed = split_unnamed(slim, "doc_id", UNNAMED)
+    slim = named.union(unnamed.select("__row", "text"))
     runs = repeated_windows(slim, width, gram)
     per = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [LAST if d is None else d for d in batch.column(0).to_pylist()]
             packed = [zlib.compress(b" ".join(w), 1) for w in _texts(batch, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["doc", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "packed"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,7 +450,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     gone[b] -= 1
                 left = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
                 kept = b" ".join(words if len(left) == len(words) else [words[i] for i in left.tolist()])
-                for column, value in zip(rows, (None if doc == LAST else doc, len(words), len(words) - len(left), kept.decode()), strict=True):
+                for column, value in zip(rows, (None if doc >= UNNAMED else doc, len(words), len(words) - len(left), kept.decode()), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
