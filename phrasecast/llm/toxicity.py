@@ -48,14 +48,14 @@ def features(text: str | None, slots: _Slots) -> np.ndarray:
 
 def fit(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 400, rate: float = 0.05,
-    decay: float = 4e-4, beta: float = 0.0, gamma: float = 1.0, screen: float = 5.0, lift: float = 3.0, share: float = 0.05,
+    decay: float = 4e-4, beta: float = 0.0, gamma: float = 1.0, screen: float = 5.0, lift: float = 3.0, least: int = 3,
 ) -> Classifier:
     """Full-batch Adam on the non-negative risk; word features count 1.
 
     Only words take part whose gradient at the constant classifier is more than ``screen`` standard errors below zero
     (the others cannot be told from chance in a sample of this size) and that are ``lift`` times as frequent among the
-    positives as in unlabelled text. ``share`` is the least part of the positives that holds a word: a rarer one may
-    come from a few copies of one text.
+    positives as in unlabelled text. ``least`` is the number of different positive texts that must hold a word, whatever
+    the size of the sample; texts with the same words are copies and count once.
     """
     size = 1 << BITS
     rows = positive + unlabelled
@@ -66,9 +66,11 @@ def fit(
     n_pos, n_unl = max(len(positive), 1), max(len(unlabelled), 1)
     in_pos = np.bincount(flat[is_pos[row]], minlength=size) / n_pos
     in_unl = np.bincount(flat[~is_pos[row]], minlength=size) / n_unl
+    different = {r.tobytes(): r for r in positive}.values()
+    texts = np.bincount(np.concatenate([np.zeros(0, np.int32), *different]), minlength=size)
     pooled = (in_pos * n_pos + in_unl * n_unl + 0.5) / (n_pos + n_unl + 1)
     error = np.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
-    used = ((in_pos - in_unl > screen * error) & (in_pos > lift * in_unl) & (in_pos >= share))[flat]
+    used = ((in_pos - in_unl > screen * error) & (in_pos > lift * in_unl) & (texts >= least))[flat]
     slot, flat = np.unique(flat[used], return_inverse=True)
     row, k = row[used], len(slot)
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
