@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Numbers, units and names become typed placeholders, so a question with other numbers or names has the same template.
-Windows of template tokens are hash-joined with the benchmark's; the values behind the placeholders must then agree in
-one consistent renaming.
+Windows of template tokens are hash-joined with the benchmark's; windows whose values do not follow the alignment's
+most frequent renaming do not count. Windows with few plain words are compared by their values.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ UNITS = (
 NUMBERS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand".split()
 #: A placeholder is its type, this sign, and the value.
 _SIGN = "\u0003"
+#: Scripts written without blanks: each of their characters is a token.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 _BLANK = r"[\x20\x09-\x0D]"
 _END = rf"(?=[.!?:,]|{_BLANK}|$)"
 #: Punctuation that is dropped wherever it stands; the signs that end sentences or divide numbers are not among it.
@@ -32,36 +34,55 @@ _FILTER = 1 << 14
 def template_tokens(text: Column) -> Column:
     """Tokens without punctuation; numbers, units and names as ``type SIGN value``.
 
-    A name is a capitalised word after a word that ends in a small letter, digit or comma (so not at the start of a
-    sentence). Case is kept; it is folded where tokens are compared. Null text has no tokens.
+    A name is a capitalised word after a word that ends in a small letter, digit or comma. Elsewhere, as at the start
+    of a sentence, it may be a name or not and has a type of its own. Case is kept; it is folded where tokens are
+    compared. Null text has no tokens.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _MARKS, "")
+    t = F.regexp_replace(t, "[\u3000-\u3004\u3008-\u301f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]", " ")
+    t = F.regexp_replace(t, _UNSPACED, " $1 ")
     t = F.regexp_replace(t, rf"(\p{{Lu}})(?<=[\p{{Ll}}\p{{Nd}},]{_BLANK}\p{{Lu}})(\p{{Ll}}+){_END}", f"&n{_SIGN}$1$2")
+    t = F.regexp_replace(t, rf"(?<={_BLANK}|^)(\p{{Lu}}\p{{Ll}}+){_END}", f"&s{_SIGN}$1")
     t = F.regexp_replace(t, rf"(?<={_BLANK}|^)(\d+(?:[.,:]\d+)*|" + "|".join(NUMBERS) + rf"){_END}", f"&d{_SIGN}$1")
     t = F.regexp_replace(t, rf"(&d{_SIGN}[^\x20\x09-\x0D]+{_BLANK})(" + "|".join(UNITS) + rf"){_END}", f"$1&u{_SIGN}$2")
     ends = r"[.!?:,\x20\x09-\x0D]*"
     return F.filter(F.split(F.btrim(t, F.lit(".!?:, \t\n\x0b\x0c\r")), ends + _BLANK + ends), lambda x: x != "")
 
 
-def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """Add ``hashes``, those of all windows of ``tokens``; a shorter sequence is one window, an empty one none.
+def _value(x: Column) -> Column:
+    return F.lower(F.substring_index(x, _SIGN, -1))
 
-    They are exploded with the outer form: the plain one adds a filter that would compute the windows a second time.
-    """
-    kinds = F.transform("tokens", lambda x: F.xxhash64(F.lower(F.substring_index(x, _SIGN, 1))))
+
+#: How the tokens of a window are compared: words that may be names as words, as names, and everything by its value.
+WORDS, NAMES, VALUES = 0, 1, 2
+
+
+def _keys(how: int) -> Column:
+    """Hash of each token as it is compared."""
+
+    def key(x: Column) -> Column:
+        kind = F.lower(F.substring_index(x, _SIGN, 1))
+        if how == VALUES:
+            return F.xxhash64(_value(x))
+        return F.xxhash64(F.when(kind == "&s", F.lit("&n") if how == NAMES else _value(x)).otherwise(kind))
+
+    return F.transform("tokens", key)
+
+
+def _hashes(how: int, width: int) -> Column:
+    """Per window of ``tokens`` its hash; texts that are shorter have no window."""
 
     def windows(k: Column) -> Column:
-        last = F.greatest(F.size(k) - width, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(k, i + j) for j in range(width)]))
+        return F.transform(
+            F.sequence(F.lit(0), F.size(k) - width),
+            lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.xxhash64(F.lit(8 * how + width), *[F.get(k, i + j) for j in range(width)]).alias("h")),
+        )
 
-    return rows.withColumn("hashes", F.when(F.size("tokens") > 0, let(kinds, windows)))
+    return F.when(F.size("tokens") >= width, let(_keys(how), windows)).otherwise(F.array().cast("array<struct<at:int,width:int,h:bigint>>"))
 
 
-def _slots(tokens: Column, at: Column, width: int) -> Column:
-    """(place in the window, value) of the placeholders of a window."""
-    part = F.slice(tokens, at + 1, width)
-    marked = F.transform(part, lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("v")))
-    return F.filter(marked, lambda x: F.contains(x["v"], F.lit(_SIGN)))
+def _parts(width: str) -> Column:
+    return F.slice("tokens", F.col("at") + 1, F.col(width))
 
 
 def _bit_of(column: str) -> Column:
@@ -78,56 +99,101 @@ def _filter_bits(windows: DataFrame) -> DataFrame:
     return rows.select(F.col("t.b").alias("bits"))
 
 
+def _item_windows(items: DataFrame, width: int, min_literals: int) -> DataFrame:
+    """``item_id, n_tokens, width, at, how, h, part``: every window of the items in each way in which it is compared.
+
+    A window with few plain words says too little without its values: it is compared by them. Otherwise words that may
+    be names count as plain ones here, but as names they must leave three plain words.
+    """
+    n = F.least(F.size("tokens"), F.lit(width))
+    rows = items.filter(F.size("tokens") > 0).withColumn("width", n)
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))))
+    rows = rows.select("item_id", F.size("tokens").alias("n_tokens"), "width", "at", _parts("width").alias("tokens"))
+    plain = F.size(F.filter("tokens", lambda x: ~F.contains(x, F.lit(_SIGN))))
+    first = F.size(F.filter("tokens", lambda x: F.startswith(x, F.lit("&s"))))
+    enough = plain + first >= F.least(F.lit(min_literals), F.col("width"))
+    named = enough & (first > 0) & (plain >= F.least(F.lit(3), F.col("width")))
+    hows = F.array_compact(F.array(F.when(enough, WORDS), F.when(named, NAMES), F.when(~enough, VALUES)))
+    return rows.withColumn("how", F.explode(hows))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", width: int = WIDTH, min_share: float = 0.5, min_literals: int = MIN_LITERALS,
+    min_words: int = 13,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: ``doc_id, item_id, share, n_slots, n_renamed``.
 
-    ``share`` is the part of the item's windows found in the document with consistent values; pairs below
-    ``min_share`` are not reported. Values are consistent when, along one alignment, each benchmark value always meets
-    the same document value and the other way round. ``n_renamed`` counts values that differ, so 0 is a verbatim copy.
-    Windows with fewer than ``min_literals`` plain words (all of them, in a shorter item) say too little and are not
-    used. Texts of fewer than ``width`` tokens are one window and match only whole. Null or empty texts match nothing;
-    rows with the same id are judged as one document (null ids, too); other columns are not read.
+    Items of fewer than ``width`` tokens are one window of their length. Windows with fewer than ``min_literals`` plain
+    words (all of them, in a shorter item) are compared by their values, the others by their template. Along one
+    alignment, each benchmark value is bound to the document value that it meets most often (itself, if as often);
+    windows that hold another binding do not count, and two benchmark values may meet one document value.
+
+    A pair is reported when ``min_words`` tokens of the item (all, if it has fewer) lie in such windows of one
+    alignment, or at least ``min_share`` of its windows are found. ``share`` is this part, among the windows compared
+    by template if the item has any. ``n_renamed`` counts values that differ in the alignment with most words, so 0 is
+    a verbatim copy. Null or empty texts match nothing; rows with the same id are judged as one document (null ids,
+    too); other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), template_tokens(F.col(item_text_col)).alias("tokens"))
-    items = _windows(items, width).select("item_id", "tokens", F.posexplode_outer("hashes").alias("item_at", "h"))
-    items = items.filter(F.col("h").isNotNull())
-    literals = F.size(F.slice("tokens", F.col("item_at") + 1, width)) - F.size(_slots(F.col("tokens"), F.col("item_at"), width))
-    needed = F.least(F.lit(min_literals), F.size("tokens"))
-    items = items.filter(literals >= needed)
-    items = items.select("item_id", "item_at", "h", _slots(F.col("tokens"), F.col("item_at"), width).alias("item_slots"))
+    items = _item_windows(items, width, min_literals)
+    wanted = sorted(tuple(r) for r in items.select("how", "width").distinct().collect())  # three ways, ``width`` widths
+    h = F.lit(0).cast("long")
+    for how, w in wanted:
+        h = F.when((F.col("how") == how) & (F.col("width") == w), F.get(_hashes(how, w), F.lit(0))["h"]).otherwise(h)
+    items = items.select("item_id", "n_tokens", "width", F.col("at").alias("item_at"), "how", h.alias("h"), F.col("tokens").alias("item_part"))
     bits = _filter_bits(items).scalar()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), template_tokens(F.col(text_col)).alias("tokens"))
-    found = _windows(texts, width).select("doc_id", "tokens", F.posexplode_outer("hashes").alias("doc_at", "h"))
+    none = F.array().cast("array<struct<at:int,width:int,h:bigint>>")
+    found = texts.withColumn("hashes", F.concat(none, *[_hashes(*x) for x in wanted]))
+    found = found.select("doc_id", "tokens", F.explode_outer("hashes").alias("x")).select("doc_id", "tokens", "x.*")
     word = F.get(bits, F.pmod("h", F.lit(_FILTER)).cast("int"))
     found = found.filter(F.call_function("shiftrightunsigned", word, _bit_of("h")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    found = found.select("doc_id", "doc_at", "h", _slots(F.col("tokens"), F.col("doc_at"), width).alias("doc_slots"))
-
-    met = found.join(items, "h").filter(F.size("doc_slots") == F.size("item_slots"))
-    met = met.withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    pair = ["doc_id", "item_id"]
-    bound = F.arrays_zip(F.col("item_slots.v").alias("b"), F.col("doc_slots.v").alias("d"))
-    values = met.filter(F.size("item_slots") > 0).select(*pair, "shift", F.explode(bound).alias("x"))
-    values = values.select(*pair, "shift", "x.b", "x.d").distinct()
-    per = values.groupBy(*pair, "shift").agg(
-        F.count(F.lit(1)).alias("n_slots"), F.count_distinct("b").alias("nb"), F.count_distinct("d").alias("nd"),
-        F.sum((F.col("b") != F.col("d")).cast("long")).alias("n_renamed"),
+    found = found.select("doc_id", F.col("at").alias("doc_at"), "h", F.transform(_parts("width"), _value).alias("doc_part"))
+
+    pair = ["doc_id", "item_id", "shift"]
+    met = found.join(items, "h").withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    slots = F.transform("item_part", lambda x, i: F.struct(
+        (F.col("item_at") + i).alias("i"), F.contains(x, F.lit(_SIGN)).alias("slot"), F.startswith(x, F.lit("&s")).alias("first"),
+        _value(x).alias("b"), F.get("doc_part", i).alias("d"),
+    ))
+    met = met.withColumn("slots", F.filter(slots, lambda x: x["slot"]))
+    runs = met.groupBy(*pair).agg(
+        F.sort_array(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.first("width").alias("width"), F.first("n_tokens").alias("n_tokens"), F.collect_set(F.when(F.col("how") != VALUES, F.col("item_at"))).alias("loose"),
+    )
+    weigh = lambda x: F.struct(
+        F.size(F.filter("slots", lambda y: (y["b"] == x["b"]) & (y["d"] == x["d"]))).alias("n"), (x["b"] == x["d"]).alias("same"), x["d"].alias("d")
+    )
+    runs = runs.withColumn("slots", F.transform("slots", lambda x: x.withField("w", weigh(x))))
+    wrong = F.filter("slots", lambda x: F.exists("slots", lambda y: (y["b"] == x["b"]) & (y["w"] > x["w"])))
+    runs = runs.withColumn("wrong", F.transform(wrong, lambda x: x["i"]))
+    sound = lambda c: F.filter(c, lambda a: ~F.exists("wrong", lambda p: (p >= a) & (p < a + F.col("width"))))
+    runs = runs.withColumn("ats", sound("ats")).withColumn("loose", sound("loose"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    covered = F.aggregate("ats", zero, lambda a, x: F.struct(
+        (a["n"] + x + F.col("width") - F.greatest(a["end"], x)).alias("n"), (x + F.col("width")).alias("end")
+    ), lambda a: a["n"])
+    right = F.array_distinct(F.transform(
+        F.filter("slots", lambda x: ~F.array_contains("wrong", x["i"]) & (~x["first"] | (x["b"] != x["d"]))), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))
+    ))
+    runs = runs.filter(F.size("ats") > 0).select(
+        "doc_id", "item_id", "ats", "loose", "n_tokens", covered.alias("covered"), F.size(right).cast("long").alias("n_slots"),
+        F.size(F.filter(right, lambda x: x["b"] != x["d"])).cast("long").alias("n_renamed"),
+    )
+    many = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
+    best = runs.groupBy("doc_id", "item_id").agg(
+        many("ats").alias("n_all"), many("loose").alias("n_loose"), F.max("covered").alias("covered"), F.first("n_tokens").alias("n_tokens"),
+        F.max_by(F.struct("n_slots", "n_renamed"), F.struct("covered", -F.col("n_renamed"), "n_slots")).alias("values"),
     )
-    runs = met.groupBy(*pair, "shift").agg(F.collect_set("item_at").alias("ats"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*pair, "shift")]
-    runs = runs.alias("r").join(per.alias("s"), same[0] & same[1] & same[2], "left")
-    runs = runs.filter(F.col("n_slots").isNull() | ((F.col("n_slots") == F.col("nb")) & (F.col("n_slots") == F.col("nd"))))
-    best = runs.groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.item_id").alias("item_id")).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_windows"),
-        F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("n_renamed", F.lit(0))).alias("n_renamed"),
+    sizes = items.groupBy("item_id").agg(
+        F.count_distinct("item_at").alias("n_item"), F.count_distinct(F.when(F.col("how") != VALUES, F.col("item_at"))).alias("n_item_loose"),
     )
-    sizes = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_item"))
     best = best.alias("p").join(sizes.alias("z"), F.col("p.item_id").eqNullSafe(F.col("z.item_id")))
-    best = best.withColumn("share", F.col("n_windows") / F.col("n_item")).filter(F.col("share") >= min_share)
-    return best.select("doc_id", F.col("p.item_id").alias("item_id"), "share", "n_slots", "n_renamed")
+    share = F.when(F.col("n_item_loose") > 0, F.col("n_loose") / F.col("n_item_loose")).otherwise(F.col("n_all") / F.col("n_item"))
+    best = best.withColumn("share", share).filter((F.col("share") >= min_share) | (F.col("covered") >= F.least(F.lit(min_words), "n_tokens")))
+    return best.select("doc_id", F.col("p.item_id").alias("item_id"), "share", "values.n_slots", "values.n_renamed")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
