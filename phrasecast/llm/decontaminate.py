@@ -22,7 +22,8 @@ NUMBERS = "two three four five six seven eight nine ten eleven twelve twenty thi
 #: A placeholder is its type, this sign, and the value.
 _SIGN = "\u0003"
 #: Scripts written without blanks: each of their characters is a token.
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+_UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FA\u30FC-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}])"
+_FOREIGN_MARKS = r"[\u3000-\u3004\u3008-\u301F\u30FB\uFF01-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65]"
 _BLANK = r"[\x20\x09-\x0D]"
 _END = rf"(?=[.!?:,]|{_BLANK}|$)"
 #: Punctuation that is dropped wherever it stands; the signs that end sentences or divide numbers are not among it.
@@ -39,8 +40,8 @@ def template_tokens(text: Column) -> Column:
     compared. Null text has no tokens.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _MARKS, "")
-    t = F.regexp_replace(t, "[\u3000-\u3004\u3008-\u301f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]", " ")
-    t = F.regexp_replace(t, _UNSPACED, " $1 ")
+    apart = lambda x: F.regexp_replace(F.regexp_replace(x, _FOREIGN_MARKS, " "), _UNSPACED, " $1 ")
+    t = let(t, lambda x: F.when(x.rlike(_UNSPACED), apart(x)).otherwise(x))
     t = F.regexp_replace(t, rf"(\p{{Lu}})(?<=[\p{{Ll}}\p{{Nd}},]{_BLANK}\p{{Lu}})(\p{{Ll}}+){_END}", f"&n{_SIGN}$1$2")
     t = F.regexp_replace(t, rf"(?<={_BLANK}|^)(\p{{Lu}}\p{{Ll}}+){_END}", f"&s{_SIGN}$1")
     t = F.regexp_replace(t, rf"(?<={_BLANK}|^)(\d+(?:[.,:]\d+)*|" + "|".join(NUMBERS) + rf"){_END}", f"&d{_SIGN}$1")
@@ -57,28 +58,65 @@ def _value(x: Column) -> Column:
 WORDS, NAMES, VALUES = 0, 1, 2
 
 
-def _keys(how: int) -> Column:
-    """Hash of each token as it is compared."""
+def _keys(tokens: Column, values: Column, how: int) -> Column:
+    """Hash of each token as it is compared; ``values`` has those of all values."""
+    if how == VALUES:
+        return values
+    kinds = ("&n", "&d", "&u", "&s") if how == NAMES else ("&n", "&d", "&u")
+    constant = {k: F.xxhash64(F.lit("&n" if k == "&s" else k)) for k in kinds}
 
-    def key(x: Column) -> Column:
-        kind = F.lower(F.substring_index(x, _SIGN, 1))
-        if how == VALUES:
-            return F.xxhash64(_value(x))
-        return F.xxhash64(F.when(kind == "&s", F.lit("&n") if how == NAMES else _value(x)).otherwise(kind))
+    def key(x: Column, i: Column) -> Column:
+        own = F.get(values, i)
+        kind = F.substring(x, 1, 2)
+        typed = own
+        for k, h in constant.items():
+            typed = F.when(kind == k, h).otherwise(typed)
+        return F.when(F.startswith(x, F.lit("&")), typed).otherwise(own)
 
-    return F.transform("tokens", key)
+    return F.transform(tokens, key)
 
 
-def _hashes(how: int, width: int) -> Column:
-    """Per window of ``tokens`` its hash; texts that are shorter have no window."""
+def _starts(tokens: Column, how: int, width: int, min_literals: int) -> Column:
+    """The windows that can be compared in this way: all, those with a word that may be a name, or with few plain words."""
+    last = F.size(tokens) - width
+    if how == WORDS:
+        return F.sequence(F.lit(0), last)
+    first = lambda x: F.startswith(x, F.lit("&s"))
+    marked = first if how == NAMES else lambda x: F.startswith(x, F.lit("&")) & ~first(x)
+    need = 1 if how == NAMES else width - min(min_literals, width) + 1
+    places = F.filter(F.transform(tokens, lambda x, i: F.when(marked(x), i)), lambda i: i.isNotNull())
 
-    def windows(k: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(k) - width),
-            lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.xxhash64(F.lit(8 * how + width), *[F.get(k, i + j) for j in range(width)]).alias("h")),
-        )
+    def ranges(p: Column) -> Column:
+        def windows(j: Column) -> Column:  # those whose first marked token is the j-th
+            after = F.when(j > 0, F.get(p, F.greatest(j - 1, F.lit(0))) + 1).otherwise(F.lit(0))
+            low = F.greatest(after, F.get(p, j + need - 1) - width + 1)
+            high = F.least(F.get(p, j), last)
+            return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
-    return F.when(F.size("tokens") >= width, let(_keys(how), windows)).otherwise(F.array().cast("array<struct<at:int,width:int,h:bigint>>"))
+        some = F.size(p) >= need
+        return F.when(some, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - need, F.lit(0))), windows))).otherwise(F.array().cast("array<int>"))
+
+    return let(places, ranges)
+
+
+_FOUND = "array<struct<at:int,width:int,h:bigint>>"
+
+
+def _hashes(wanted: list[tuple[int, int]], min_literals: int) -> Column:
+    """Place, width and hash of the windows of ``tokens`` in the wanted ways and widths; a shorter text has no window."""
+
+    def of(values: Column, how: int, width: int) -> Column:
+        def windows(k: Column) -> Column:
+            hashed = lambda i: F.xxhash64(F.lit(8 * how + width), *[F.get(k, i + j) for j in range(width)])
+            return F.transform(
+                _starts(F.col("tokens"), how, width, min_literals),
+                lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), hashed(i).alias("h")),
+            )
+
+        return F.when(F.size("tokens") >= width, let(_keys(F.col("tokens"), values, how), windows)).otherwise(F.array().cast(_FOUND))
+
+    values = F.transform("tokens", lambda x: F.xxhash64(_value(x)))
+    return let(values, lambda v: F.concat(F.array().cast(_FOUND), *[of(v, *x) for x in wanted]))
 
 
 def _parts(width: str) -> Column:
@@ -140,13 +178,12 @@ def leaks(
     wanted = sorted(tuple(r) for r in items.select("how", "width").distinct().collect())  # three ways, ``width`` widths
     h = F.lit(0).cast("long")
     for how, w in wanted:
-        h = F.when((F.col("how") == how) & (F.col("width") == w), F.get(_hashes(how, w), F.lit(0))["h"]).otherwise(h)
+        h = F.when((F.col("how") == how) & (F.col("width") == w), F.get(_hashes([(how, w)], min_literals), F.lit(0))["h"]).otherwise(h)
     items = items.select("item_id", "n_tokens", "width", F.col("at").alias("item_at"), "how", h.alias("h"), F.col("tokens").alias("item_part"))
     bits = _filter_bits(items).scalar()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), template_tokens(F.col(text_col)).alias("tokens"))
-    none = F.array().cast("array<struct<at:int,width:int,h:bigint>>")
-    found = texts.withColumn("hashes", F.concat(none, *[_hashes(*x) for x in wanted]))
+    found = texts.withColumn("hashes", _hashes(wanted, min_literals))
     found = found.select("doc_id", "tokens", F.explode_outer("hashes").alias("x")).select("doc_id", "tokens", "x.*")
     word = F.get(bits, F.pmod("h", F.lit(_FILTER)).cast("int"))
     found = found.filter(F.call_function("shiftrightunsigned", word, _bit_of("h")).bitwiseAND(F.lit(1).cast("long")) == 1)

@@ -22,3 +22,13 @@ def test_short_items(spark, make_docs):
     near = ["Compute 12 + 7 * 3 - 5.", "What is 15 percent of 90?", "What is the capital of it?", f"{A} {B}"]
     got = pairs(spark, make_docs, items, texts + near)
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 1), (5, 0), (6, 1), (7, 2), (8, 3)}
+
+
+def test_asked_again(spark, make_docs):
+    texts = [
+        TOM.replace("Tom", "Bob").replace("5", "7").replace("2", "3").replace("Ann", "Eve"),
+        f"{A} {COPY.replace('12', '17', 1)} {B}",
+        f"{A} {TWO.replace('5', '4').replace('3', '4')} {B}",
+        f"{A} {B}", "Bob has many friends. How many of them does Eve know?",
+    ]
+    assert pairs(spark, make_docs, [TOM, COPY, TWO], texts) == {(0, 0), (1, 1), (2, 2)}
