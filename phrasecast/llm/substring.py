@@ -328,12 +328,59 @@ def repeats(rows: list[tuple[int, int, int, bytes]], width: int) -> list[tuple[i
     return list(zip(doc[hit[head]].tolist(), place[hit[head]].tolist(), runs.tolist(), strict=True))
 
 
+def _divide_hot(found: DataFrame, width: int, most_words: int) -> DataFrame:
+    """Pieces, those of shards above ``most_words`` words as single windows whose shard is their own hash.
+
+    Equal windows have the same shard before and after, so nothing is lost. A task sends equal windows once, for the
+    copy that starts first; the others go on as repeats.
+    """
+    words = F.sum(F.col("n") + F.lit(width - 1))
+    sizes = found.filter("words IS NOT NULL").groupBy("shard").agg(words.alias("total")).filter(F.col("total") > most_words)
+    hot = np.array(sorted(r.shard for r in sizes.select("shard").toLocalIterator()), np.int64)  # one per ``most_words`` words at most
+    if not len(hot):
+        return found
+    shared = found.sparkSession.sparkContext.broadcast(hot)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["shard", "doc", "at", "n", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts: dict[bytes, tuple[int, int]] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            mine = np.isin(batch.column(0).to_numpy(), shared.value)
+            for row, divide in zip(zip(*(c.to_pylist() for c in batch.columns), strict=True), mine.tolist(), strict=True):
+                _, doc, at, n, words = row
+                if not divide or words is None:
+                    out.append(row)
+                    continue
+                split = words.split(b" ")
+                for k in range(n):
+                    window, place = b" ".join(split[k : k + width]), (doc, at + k)
+                    old = firsts.setdefault(window, place)
+                    if place != old:
+                        firsts[window], later = min(old, place), max(old, place)
+                        out.append((_spread(xxhash.xxh3_128_digest(window)), *later, 1, None))
+                if len(out) >= 50_000:
+                    yield batch_of(out)
+                    out = []
+                if len(firsts) >= 200_000:
+                    yield batch_of([(_spread(xxhash.xxh3_128_digest(w)), d, a, 1, w) for w, (d, a) in firsts.items()])
+                    firsts = {}
+            yield batch_of(out)
+        yield batch_of([(_spread(xxhash.xxh3_128_digest(w)), d, a, 1, w) for w, (d, a) in firsts.items()])
+
+    return found.mapInArrow(run, _PIECE)
+
+
 def _search(found: DataFrame, width: int, gram: int, most_words: int) -> DataFrame:
     """Runs of windows that start earlier elsewhere: ``doc, at, n``.
 
     Rows come sorted by shard, words and start. Of equal pieces only the first is indexed, the others are repeats at
-    once. Whole shards are gathered until they hold ``most_words`` words, so memory is bounded; a single shard above
-    that is cut by the hash of its windows, which keeps equal windows together. A piece that is alone in its shard
+    once. Whole shards are gathered until they hold ``most_words`` words; larger shards have been divided before they
+    come here, so memory is bounded. A piece that is alone in its shard
     could only repeat itself; then the second of two equal windows adds no word of its own, so the piece has fewer
     distinct words than windows.
     """
@@ -415,7 +462,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most
     """Runs of windows (``doc, at, n``: document, first word, windows) whose words also start earlier; ids are not null."""
     ship(docs.sparkSession)
     slim = docs.select("doc_id", "text")
-    return _search(_emit(slim, _repeated(slim, width, gram), width, gram), width, gram, most_words)
+    found = materialize(_emit(slim, _repeated(slim, width, gram), width, gram), "pieces")
+    return _search(_divide_hot(found, width, most_words), width, gram, most_words)
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
