@@ -50,7 +50,7 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: The language model and the components are no SQL; tests compare the stages with brute force.
+#: The language model and the components are no SQL; no test compares every stage with brute force yet.
 ORACLE_SQL = None
 
 
