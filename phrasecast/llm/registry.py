@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phrasecast.llm import arc, decontaminate, fair_mix, host_quality, jaccard_join, language, licenses, runs, secrets, substring, toxicity
+from phrasecast.llm import arc, bpe, decontaminate, fair_mix, host_quality, jaccard_join, language, licenses, runs, secrets, substring, toxicity
 from phrasecast.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_substring(spark: SparkSession, sf: str) -> DataFrame:
     return substring.report(table(spark, sf, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.report(table(spark, sf, "documents"))
+
+
 def op13_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.report(table(spark, sf, "documents"))
 
@@ -70,5 +74,6 @@ QUERIES = {
     "op8_fair_mix": (op8_fair_mix, MIX_QUERY),
     "op9_host_quality": (op9_host_quality, None),
     "op10_substring": (op10_substring, None),
+    "op11_byte_bpe": (op11_byte_bpe, None),
     "op13_runs": (op13_runs, None),
 }

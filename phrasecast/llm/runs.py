@@ -134,7 +134,9 @@ def stretches(ids: np.ndarray, text: np.ndarray, min_words: int, min_exponent: i
     """(positions, stretch of each) that may hold a run: every word stands in its stretch ``min_exponent`` times."""
     at, part = np.arange(len(ids)), text
     kinds = int(ids.max()) + 1 if len(ids) else 1
-    while len(at):
+    for _ in range(8):  # more rounds would only leave less to group
+        if not len(at):
+            break
         _, which, counts = np.unique(part * kinds + ids[at], return_inverse=True, return_counts=True)
         kept = counts[which] >= min_exponent
         at, part = at[kept], part[kept]
