@@ -17,22 +17,21 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phrasecast.llm.common import let
 from phrasecast.session import materialize
 
 #: Distinct words folded once, and the longest of them; together they bound the literal.
-CACHE, CACHED_CHARS = 65_536, 24
+CACHE, CACHED_CHARS = 131_072, 24
 #: Counting: groups of words by hash (each keeps its own most frequent ones), and words watched in each.
-_GROUPS, _WATCHED = 64, 4096
+_GROUPS, _WATCHED = 64, 8192
 #: Words of more bytes are folded by rounds, all places of a pair at once, which takes fewer steps.
 LONG = 256
-_NO_RANK = 2**31 - 1
-_EDGE, _OPEN, _CLOSE = "Ā", "Ā", "ā"  # no byte
+_NO_RANK = 2**23 - 1
+_OPEN, _CLOSE = "Ā", "ā"  # no byte
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -57,6 +56,11 @@ def java_pattern(pattern: str | None = None) -> str:
     return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, without the copy that an array of results makes of each element."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
+
+
 class Table:
     """A literal hash table from strings to values of the type ``kind``."""
 
@@ -65,7 +69,7 @@ class Table:
         buckets: list[dict] = [{} for _ in range(self.mask + 1)]
         for key, value in entries.items():
             buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) & self.mask][key] = value
-        # Folded to one literal when the plan is optimised. Every mention would be a literal of its own, so ``let`` binds it.
+        # Folded to one literal when the plan is optimised. Every mention would be a literal of its own, so ``bind`` names it once.
         self.literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
 
     def get(self, bound: Column, key: Column) -> Column:
@@ -83,35 +87,37 @@ class Folds:
         return F.coalesce(self._table.get(self._bound, token), F.lit(_NO_RANK))
 
     def _by_places(self, word: Column) -> Column:
-        """Merge one place per step."""
-        edge = F.array(F.lit(_EDGE))
+        """Merge one place per step.
+
+        A piece is one number: the rank of it and its right neighbour, where it starts and where it ends (20 bits each), so
+        the least number is the first pair of least rank. A piece of no bytes on either side has no rank with anything.
+        """
+        piece = lambda rank, start, end: F.shiftleft(rank.cast("bigint"), 40) + start * (1 << 20) + end
+        start_of = lambda q: F.shiftright(q, 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+        end_of = lambda q: q.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
         n = F.length(word)
-        pieces = F.concat(edge, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(word, i, F.lit(1))), edge)
-        start = let(pieces, lambda p: F.struct(
-            p.alias("p"),
-            F.transform(F.sequence(F.lit(1), n + 1), lambda i: self._rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))).alias("r"),
-        ))
-
-        def merge(acc: Column, i: Column) -> Column:
-            p, r, n = acc["p"], acc["r"], F.size(acc["r"])
-            whole = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
-            return let(whole, lambda w: F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(w), F.slice(p, i + 2, n)).alias("p"),
-                F.concat(
-                    F.slice(r, F.lit(1), i - 2),
-                    F.array(self._rank(F.concat(F.element_at(p, i - 1), w)), self._rank(F.concat(w, F.element_at(p, i + 2)))),
-                    F.slice(r, i + 2, n),
-                ).alias("r"),
-            ))
 
-        def step(acc: Column, _: Column) -> Column:
-            least = lambda m: F.when(m == _NO_RANK, acc).otherwise(
-                let(F.array_position(acc["r"], m).cast("int"), lambda i: merge(acc, i)))
-            return let(F.array_min(acc["r"]), least)
+        def pair(start: Column, end: Column, inside: Column) -> Column:
+            return F.when(inside, self._rank(F.substr(word, start, end - start))).otherwise(F.lit(_NO_RANK))
+
+        def merge(q: Column, least: Column, i: Column) -> Column:
+            left, right, after = F.element_at(q, i - 1), F.element_at(q, i + 1), F.element_at(q, i + 2)
+            start, end = start_of(least), end_of(right)
+            before = piece(pair(start_of(left), end, i > 2), start_of(left), start)
+            merged = piece(pair(start, end_of(after), end <= n), start, end)
+            return F.concat(F.slice(q, F.lit(1), i - 2), F.array(before, merged), F.slice(q, i + 2, F.size(q)))
+
+        def step(q: Column, _: Column) -> Column:
+            return bind(F.array_min(q), lambda least: F.when(least >= _NO_RANK << 40, q).otherwise(
+                bind(F.array_position(q, least).cast("int"), lambda i: merge(q, least, i))))
 
+        # Positions count from 1; the pieces before and after the word are empty.
+        at = F.transform(F.sequence(F.lit(1), n), lambda i: piece(pair(i, i + 2, i < n), i, i + 1))
+        edge = lambda at: F.array(piece(F.lit(_NO_RANK), at, at))
+        start = F.concat(edge(F.lit(1)), at, edge(n + 1))
         return F.aggregate(
             F.sequence(F.lit(2), n), start, step,
-            lambda acc: F.transform(F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2), self._rank),
+            lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), lambda x: self._rank(F.substr(word, start_of(x), end_of(x) - start_of(x)))),
         )
 
     def _by_rounds(self, word: Column) -> Column:
@@ -132,8 +138,8 @@ class Folds:
 
         def step(acc: Column, _: Column) -> Column:
             pairs = lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: pair(p, i)))
-            best = let(split(acc["s"]), lambda p: F.array_min(pairs(p)))
-            return F.when(acc["done"], acc).otherwise(let(best, lambda b: merged(acc["s"], b)))
+            best = bind(split(acc["s"]), lambda p: F.array_min(pairs(p)))
+            return F.when(acc["done"], acc).otherwise(bind(best, lambda b: merged(acc["s"], b)))
 
         return F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda acc: F.transform(split(acc["s"]), self._rank))
 
@@ -142,9 +148,9 @@ class Folds:
 
         def fold(w: Column) -> Column:
             folded = F.when(F.length(w) <= LONG, self._by_places(w)).otherwise(self._by_rounds(w))
-            return let(self._table.get(self._bound, w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+            return bind(self._table.get(self._bound, w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
 
-        return let(F.decode(word.cast("binary"), "ISO-8859-1"), fold)
+        return bind(F.decode(word.cast("binary"), "ISO-8859-1"), fold)
 
 
 def rank_table(ranks: Mapping[bytes, int]) -> Table:
@@ -154,7 +160,7 @@ def rank_table(ranks: Mapping[bytes, int]) -> Table:
 def word_ids(word: Column, ranks: Mapping[bytes, int]) -> Column:
     """The token ids of one word, as ``array<int>``."""
     table = rank_table(ranks)
-    return let(table.literal, lambda bound: Folds(table, bound).ids(word))
+    return bind(table.literal, lambda bound: Folds(table, bound).ids(word))
 
 
 def decode(ids: Column, ranks: Mapping[bytes, int]) -> Column:
@@ -162,7 +168,7 @@ def decode(ids: Column, ranks: Mapping[bytes, int]) -> Column:
     by_rank = {rank: token.decode("latin-1") for token, rank in ranks.items()}
     tokens = F.from_json(F.lit(json.dumps([by_rank.get(i) for i in range(max(by_rank) + 1)])), "array<string>")
     token = lambda t, i: F.coalesce(F.get(t, i), F.raise_error(F.concat(F.lit("no token "), i.cast("string"))))
-    return let(tokens, lambda t: F.encode(F.array_join(F.transform(ids, lambda i: token(t, i)), ""), "ISO-8859-1"))
+    return bind(tokens, lambda t: F.encode(F.array_join(F.transform(ids, lambda i: token(t, i)), ""), "ISO-8859-1"))
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -194,10 +200,10 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int] | None = None, pattern: s
 
     def each(bound: Column, w: Column) -> Column:
         folded = Folds(table, bound["ranks"]).ids(w)
-        return let(cache.get(bound["cache"], w), lambda ids: F.when(ids.isNotNull(), ids).otherwise(folded))
+        return bind(cache.get(bound["cache"], w), lambda ids: F.when(ids.isNotNull(), ids).otherwise(folded))
 
     literals = F.struct(table.literal.alias("ranks"), cache.literal.alias("cache"))
-    ids = let(literals, lambda bound: F.flatten(F.transform(split_words(text, pattern), lambda w: each(bound, w))))
+    ids = bind(literals, lambda bound: F.flatten(F.transform(split_words(text, pattern), lambda w: each(bound, w))))
     return docs.select(F.col(id_col), ids.alias("ids"))
 
 
