@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phrasecast.llm import arc, bpe, decontaminate, fair_mix, host_quality, jaccard_join, language, licenses, runs, secrets, substring, toxicity
+from phrasecast.llm import arc, bpe, decontaminate, fair_mix, host_quality, jaccard_join, language, licenses, runs, secrets, substring, toxicity, trie
 from phrasecast.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.report(table(spark, sf, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.report(table(spark, sf, "conversations"))
+
+
 def op13_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.report(table(spark, sf, "documents"))
 
@@ -75,5 +79,6 @@ QUERIES = {
     "op9_host_quality": (op9_host_quality, None),
     "op10_substring": (op10_substring, None),
     "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_prefix_trie": (op12_prefix_trie, None),
     "op13_runs": (op13_runs, None),
 }
