@@ -1,5 +1,5 @@
 """All registered queries: name -> (function, SQL twin or None)."""
 
-from catalog import modelling, newsflow, rates, transcripts
+from catalog import indicators, modelling, newsflow, rates, transcripts
 
-ALL = {**transcripts.QUERIES, **rates.QUERIES, **newsflow.QUERIES, **modelling.QUERIES}
+ALL = {**transcripts.QUERIES, **rates.QUERIES, **newsflow.QUERIES, **indicators.QUERIES, **modelling.QUERIES}
