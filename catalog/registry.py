@@ -1,5 +1,7 @@
 """All registered queries: name -> (function, SQL twin or None)."""
 
-from catalog import indicators, modelling, newsflow, rates, transcripts
+from catalog import indicators, modelling, newsflow, rates, stories, transcripts
 
-ALL = {**transcripts.QUERIES, **rates.QUERIES, **newsflow.QUERIES, **indicators.QUERIES, **modelling.QUERIES}
+ALL = {
+    **transcripts.QUERIES, **rates.QUERIES, **newsflow.QUERIES, **indicators.QUERIES, **stories.QUERIES, **modelling.QUERIES,
+}
