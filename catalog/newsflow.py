@@ -9,6 +9,7 @@ from phrasecast.operators import news
 from phrasecast.plans import newsflow as plan
 from phrasecast.session import materialize, scratch_path
 from phrasecast.sources import articles as dumps, tables
+from phrasecast.sources.dumps import load_dump
 
 TERMS = ["the", "entre"]
 INGESTED = "2024-06-01T00:00:00+00:00"
@@ -190,6 +191,23 @@ CASE file WHEN 'dump0' THEN 'first' ELSE 'second' END AS ingest_source
 FROM arts WHERE {_COMPLETE} AND (t IS NULL OR t >= TIMESTAMP '2024-01-03 00:00:00')"""
 
 
+def src_article_dump(spark, sf):
+    """Articles written into a folder per day and source, read back by the data source inside a window of days."""
+    path = scratch_path(spark, "dump")
+    arts = _ingested(spark, sf)
+    day = F.substring("published_at", 1, 10)
+    lines = dumps.article_lines(arts.withColumn("extras", F.map_concat("extras", F.create_map(F.lit("day"), day))))
+    dated = lines.withColumn("day", F.try_to_date(F.get_json_object("value", "$.day"), F.lit("yyyy-MM-dd")))
+    dated.write.partitionBy("day", "ingest_source").text(path)
+    back = load_dump(spark, path, since=SINCE, until=UNTIL, columns="day date, ingest_source string")
+    return back.select("article_id", "event_id", "published_at", F.md5("body_text").alias("body_md5"), "ingest_source", F.col("day").cast("string").alias("day"))
+
+
+_DUMP_SQL = f"""WITH {v.ARTICLES} SELECT article_id, event_id, published_at, md5(body_text) AS body_md5,
+CASE file WHEN 'dump0' THEN 'first' ELSE 'second' END AS ingest_source, strftime(t, '%Y-%m-%d') AS day
+FROM arts WHERE {_COMPLETE} AND (t IS NULL OR t BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00')"""
+
+
 def src_bad_lines(spark, sf):
     """A dump whose every fifth line is cut: good lines parse, the others are quarantined."""
     docs = v.table(spark, sf, "documents")
@@ -261,6 +279,7 @@ QUERIES = {
     "jn_news": (jn_news, _JOIN_SQL),
     "agg_source_totals": (agg_source_totals, _TOTALS_SQL),
     "src_articles_jsonl": (src_articles_jsonl, _JSONL_SQL),
+    "src_article_dump": (src_article_dump, _DUMP_SQL),
     "src_bad_lines": (src_bad_lines, "SELECT doc_id FROM documents WHERE doc_id % 5 = 0"),
     "snk_ingest_manifest": (snk_ingest_manifest, _MANIFEST_SQL),
     "flow_news_features": (flow_news_features, _FLOW_SQL),

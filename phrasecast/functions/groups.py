@@ -8,10 +8,17 @@ from phrasecast.functions.scan import skew_join
 from phrasecast.session import materialize
 
 
-def _looked_up(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
-    """Replace ``column`` by its ``parent`` in ``table(node, parent)``, where it has one."""
+#: Hooks of at most so many nodes are broadcast; their number falls from round to round.
+BROADCAST_ROWS = 100_000
+
+
+def _looked_up(rows: DataFrame, column: str, table: DataFrame, size: int) -> DataFrame:
+    """Replace ``column`` by its ``parent`` in ``table(node, parent)`` of ``size`` rows, where it has one."""
     named = table.select(F.col("node").alias(column), "parent")
-    joined = skew_join(rows, named, column, "left")
+    if size <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(named), column, "left")
+    else:
+        joined = skew_join(rows, named, column, "left")
     return joined.withColumn(column, F.coalesce("parent", column)).drop("parent")
 
 
@@ -33,13 +40,14 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("parent"))
         hooks = materialize(hooks, "hooks")
+        size = hooks.count()
         while True:
             further = hooks.select("node", F.col("parent").alias("was"), F.col("parent").alias("up"))
-            further = materialize(_looked_up(further, "up", hooks), "hooks")
+            further = materialize(_looked_up(further, "up", hooks, size), "hooks")
             hooks = further.select("node", F.col("up").alias("parent"))
             if further.filter("up <> was").isEmpty():
                 break
-        out = materialize(_looked_up(out, "group", hooks), "groups")
-        moved = _looked_up(_looked_up(links, "a", hooks), "b", hooks).filter("a <> b")
+        out = materialize(_looked_up(out, "group", hooks, size), "groups")
+        moved = _looked_up(_looked_up(links, "a", hooks, size), "b", hooks, size).filter("a <> b")
         links = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     return out

@@ -8,6 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from phrasecast.functions import groups
 from phrasecast.functions.groups import connected_groups
 from phrasecast.functions.phrases import vocabulary
 from phrasecast.functions.urls import canonical_url, headline_form
@@ -52,7 +53,9 @@ def groups_by_search(pairs):
     return out
 
 
-def test_connected_groups(spark):
+@pytest.mark.parametrize("limit", [100_000, 40])
+def test_connected_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", limit)
     pick = random.Random(8)
     pairs = [(pick.randrange(300), f"k{pick.randrange(260)}") for _ in range(330)]
     pairs += [(1000 + i, f"c{(i + d) // 1}") for i in range(80) for d in (0, 1)]  # one long chain
