@@ -248,7 +248,8 @@ def load_dump(
         for bound, test in ((since, F.col(day).__ge__), (until, F.col(day).__le__)):
             if bound is not None:
                 inside = inside.filter(test(F.lit(bound).cast("timestamp").cast("date")))
-        found = inside.unionByName(found.filter(F.col(day).isNull()))
+        # Loaded anew: the scans of one load share the filters pushed last.
+        found = inside.unionByName(reader.load(path).filter(F.col(day).isNull()))
     found = news.within_window(found, since, until)
     if limit is None:
         return found
