@@ -10,6 +10,8 @@ from phrasecast.operators import inventory as iv, label, profile, segment
 from phrasecast.plans import transcripts as plan
 from phrasecast.session import materialize, scratch_path
 from phrasecast.sources import tables
+from phrasecast.streaming import live
+from phrasecast.streaming.labels import read_segments
 
 _FLAT = ["event_id", "event_type", "event_date", "speakers", "source_url", "provenance", "desk"]
 _INVENTORY_SQL = f"WITH {v.INVENTORY} SELECT event_id, event_type, strftime(event_date, '%Y-%m-%d') AS event_date, speakers, source_url, provenance, desk FROM inv"
@@ -307,7 +309,44 @@ def src_target_terms(spark, sf):
     return tables.target_terms(tables.read_manifests(spark, f"{folder}/segments_*.json/part-*"))
 
 
+def _spoken(spark, sf):
+    """Segments with the time they are spoken: a conversation per minute, a turn every twenty seconds."""
+    return v.segments(spark, sf).select(
+        (F.floor(F.expr("substring(event_id, 2)").cast("bigint") / 40)).alias("hour"), "segment_id", "text",
+        F.timestamp_seconds(
+            F.lit(1704067200) + F.expr("substring(event_id, 2)").cast("bigint") * 60 + F.expr("substring_index(segment_id, '_S', -1)").cast("bigint") * 20
+        ).alias("spoken_at"),
+    ).select(F.concat(F.lit("H"), F.col("hour").cast("string")).alias("event_id"), "segment_id", "spoken_at", "text")
+
+
+def str_live_features(spark, sf):
+    """The stream of spoken segments in three deliveries, each row twice, with a restart before the last one."""
+    spoken, folder = _spoken(spark, sf), scratch_path(spark, "live")
+    edges = spoken.agg(F.min(F.unix_timestamp("spoken_at")).alias("a"), F.max(F.unix_timestamp("spoken_at")).alias("b"))
+    part = materialize(spoken.withColumn("part", F.least(
+        F.floor(3 * (F.unix_timestamp("spoken_at") - edges.select("a").scalar()) / (edges.select("b").scalar() - edges.select("a").scalar() + 1)), F.lit(2),
+    )), "spoken")
+    kind = "event_id string, segment_id string, spoken_at timestamp, text string"
+    for parts in ([0, 1], [2]):
+        for i in parts:
+            rows = part.filter(F.col("part") == i).drop("part")
+            rows.unionByName(rows).write.mode("append").parquet(f"{folder}/in")
+        stream = read_segments(spark, f"{folder}/in", kind)
+        features = live.live_features(stream, ["the", "entre"], "10 minutes", "5 minutes")
+        live.write_live(features, f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.withColumns({c: F.unix_timestamp(c) for c in ("window_start", "window_end")})
+
+
+_LIVE_SQL = f"""WITH {v.LABELLED}, s AS (SELECT 'H' || (event_id[2:]::BIGINT // 40) AS event_id,
+  1704067200 + event_id[2:]::BIGINT * 60 + string_split(segment_id, '_S')[2]::BIGINT * 20 AS at_s, target__the, target__entre FROM lab)
+SELECT event_id, (at_s // 600) * 600 AS window_start, (at_s // 600) * 600 + 600 AS window_end, count(*) AS segments,
+       sum(target__the::INT)::BIGINT AS target__the, sum(target__entre::INT)::BIGINT AS target__entre
+FROM s WHERE (at_s // 600) * 600 + 600 <= (SELECT max(at_s) FROM s) - 300 GROUP BY ALL"""
+
+
 QUERIES = {
+    "str_live_features": (str_live_features, _LIVE_SQL),
     "prj_inventory": (prj_inventory, _INVENTORY_SQL),
     "src_inventory_csv": (src_inventory_csv, _INVENTORY_SQL),
     "src_inventory_jsonl": (src_inventory_jsonl, _INVENTORY_SQL),
