@@ -224,16 +224,16 @@ def feature_vectors(rows: DataFrame, features: DataFrame, index: DataFrame, size
     as vectors: no Python touches the rows, and the many passes of a solver read a plain table.
     """
     cells = _by_feature(features, index, "feature", size).select("row_id", "index", "value")
-    packed = cells.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("c"))
+    packed = cells.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("__cells"))
     none = F.array().cast("array<struct<index:bigint,value:double>>")
-    joined = rows.join(packed, "row_id", "left").withColumn("c", F.coalesce("c", none))
+    joined = rows.join(packed, "row_id", "left").withColumn("__cells", F.coalesce("__cells", none))
     stored = joined.select(
         *rows.columns,
         F.struct(
             F.lit(0).cast("tinyint").alias("type"),
             F.lit(size).alias("size"),
-            F.transform("c", lambda x: x["index"].cast("int")).alias("indices"),
-            F.transform("c", lambda x: x["value"]).alias("values"),
+            F.transform("__cells", lambda x: x["index"].cast("int")).alias("indices"),
+            F.transform("__cells", lambda x: x["value"]).alias("values"),
         ).alias("features"),
     )
     schema = T.StructType([*rows.schema.fields, T.StructField("features", VectorUDT())])

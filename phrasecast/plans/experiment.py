@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from phrasecast.operators import features as fx, folds as fl, metrics as mt, models as md
+from phrasecast.operators import features as fx, folds as fl, metrics as mt, models as md, news as op_news
 from phrasecast.session import materialize
+from phrasecast.sources import tables
 
 
 @dataclass
@@ -180,6 +181,32 @@ def run_experiment(df: DataFrame, s: Settings) -> Result:
     )
 
 
+def save_result(result: Result, s: Settings, folder: str, dataset_path: str | None = None, news: DataFrame | None = None) -> dict[str, str]:
+    """Everything a run leaves behind, under ``folder``: paths by name.
+
+    ``config`` (the settings, as ``key: value`` lines that ``read_run_configs`` reads), ``fold_metrics`` (one folder per fold),
+    ``aggregate_metrics.json`` and ``calibration.json`` (one object each, as ``read_metric_files`` reads them), the tables ``predictions``,
+    ``calibration_curve`` and ``feature_importances``, and the model. With ``news`` (a feature table with snapshot hash and
+    provenance) also ``news_snapshot_hash`` and ``news_provenance``. An existing folder is an error.
+    """
+    spark, folder = result.metrics.sparkSession, folder.rstrip("/")
+    values = {"target_column": s.target, "dataset_path": dataset_path or "", **{k: v for k, v in vars(s).items() if k not in ("target", "embeddings")}}
+    lines = spark.createDataFrame([(f"{key}: {value}",) for key, value in values.items()], "value string")
+    paths = {"config": f"{folder}/config.yaml", "model": f"{folder}/model"}
+    lines.coalesce(1).write.mode("errorifexists").text(paths["config"])
+    paths["fold_metrics"] = tables.write_metric_files(result.fold_metrics, folder)
+    wide = result.metrics.groupBy().pivot("metric", mt.METRICS).agg(F.first("value"))
+    paths["aggregate_metrics"] = tables.write_one_json(wide, f"{folder}/aggregate_metrics.json")
+    paths["calibration"] = tables.write_one_json(result.calibration, f"{folder}/calibration.json")
+    kept = {"predictions": result.predictions, "calibration_curve": result.calibration_curve, "feature_importances": result.importances}
+    if news is not None:
+        kept["news_snapshot_hash"] = op_news.snapshot_hash(news)
+        kept["news_provenance"] = op_news.parse_provenance(news).select("event_id", "articles")
+    paths |= tables.write_results(kept, folder)
+    save_model(result.model, result.fitted, paths["model"])
+    return paths
+
+
 def score_segments(df: DataFrame, fitted: FittedFeatures, model: md.Calibrated, s: Settings) -> DataFrame:
     """``(row_id, event_id, probability)`` of new rows under a trained model."""
     rows = df.select(F.col(s.row_id).alias("row_id"), *dict.fromkeys([s.event, s.text, *s.categorical, *s.numeric]))

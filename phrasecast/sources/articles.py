@@ -125,9 +125,10 @@ def ingest_manifest(
     since: str | None = None,
     until: str | None = None,
     dry_run: bool = False,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: run, window, articles per source, outputs. The sources are those of the call."""
-    totals = news.totals_per_source(articles).agg(
+    """One row: run, window, articles per source, outputs. ``sources`` (a table ``ingest_source``) adds those without articles."""
+    totals = news.totals_per_source(articles, sources).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("ingest_source", "articles")))).alias("totals")
     )
     return totals.select(
@@ -140,6 +141,14 @@ def ingest_manifest(
     )
 
 
+def read_ingest_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests written by an ingest run."""
+    return spark.read.schema(
+        "run_id string, generated_at string, dry_run boolean, window struct<since:string,until:string>, "
+        "totals map<string,bigint>, outputs array<string>"
+    ).json(path)
+
+
 def write_features(features: DataFrame, path: str) -> str:
     """The per-event feature table; an empty one keeps its schema."""
     features.write.mode("errorifexists").parquet(path)

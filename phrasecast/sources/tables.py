@@ -68,7 +68,8 @@ def _dataset_key(path: Column) -> Column:
 
 
 def _folder(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """The folder of a file; a file written by Spark is itself a folder of parts."""
+    return F.regexp_extract(F.regexp_replace(path, r"(\.(?:json|yaml))/part-[^/]*$", "$1"), r"([^/]+)/[^/]+$", 1)
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
