@@ -6,7 +6,7 @@ of it. A word starts as its bytes with the ranks of all neighbouring pairs; each
 of least rank and looks up the two ranks that change, until no pair has one.
 
 Distinct words that are frequent are folded once: the counts of the whole corpus pick at most ``CACHE`` of them, of at
-most ``CACHED_CHARS`` characters, and their ids travel as a second constant, which these two numbers bound. All other words
+most ``CACHED_CHARS`` characters, and their ids travel as a second literal, which these two numbers bound. All other words
 are folded where they stand, so nothing but the sketches of the counts is shuffled and the choice never changes a result.
 
 Defined cases: a null text counts as empty and has no ids; a null id stays null; repeated rows each give a row; other
@@ -20,14 +20,14 @@ import json
 from collections.abc import Callable, Mapping
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasecast.session import materialize
 
 #: Distinct words folded once, and the longest of them; together they bound the literal.
-CACHE, CACHED_CHARS = 131_072, 24
+CACHE, CACHED_CHARS = 49_152, 20
 #: Counting: groups of words by hash (each keeps its own most frequent ones), and words watched in each.
-_GROUPS, _WATCHED = 64, 8192
+_GROUPS, _WATCHED = 64, 4096
 #: Words of more bytes are folded by rounds, all places of a pair at once, which takes fewer steps.
 LONG = 256
 _NO_RANK = 2**23 - 1
@@ -76,10 +76,6 @@ class Table:
         """Folded to one literal when the plan is optimised. Every mention would be a literal of its own, so ``bind`` names it once."""
         return F.from_json(F.lit(self.json), self.kind)
 
-    def scalar(self, spark: SparkSession) -> Column:
-        """The same constant, read when the query starts. Plans, of which the driver keeps descriptions, do not spell it out."""
-        return spark.createDataFrame([(self.json,)], "j string").select(F.from_json("j", self.kind).alias("t")).scalar()
-
     def get(self, bound: Column, key: Column) -> Column:
         """The value of a key, or null; ``bound`` is the constant."""
         return F.get(bound, F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int"))[key]
@@ -210,7 +206,7 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int] | None = None, pattern: s
         folded = Folds(table, bound["ranks"]).ids(w)
         return bind(cache.get(bound["cache"], w), lambda ids: F.when(ids.isNotNull(), ids).otherwise(folded))
 
-    literals = F.struct(table.literal.alias("ranks"), cache.scalar(docs.sparkSession).alias("cache"))
+    literals = F.struct(table.literal.alias("ranks"), cache.literal.alias("cache"))
     ids = bind(literals, lambda bound: F.flatten(F.transform(split_words(text, pattern), lambda w: each(bound, w))))
     return docs.select(F.col(id_col), ids.alias("ids"))
 
