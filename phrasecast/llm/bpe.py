@@ -73,7 +73,7 @@ class Table:
 
     @property
     def literal(self) -> Column:
-        """Folded to one literal when the plan is optimised. Every mention would be a literal of its own, so ``bind`` names it once."""
+        """Folded to one literal when the plan is optimised. Every use would be a literal of its own, so ``bind`` names it once."""
         return F.from_json(F.lit(self.json), self.kind)
 
     def get(self, bound: Column, key: Column) -> Column:

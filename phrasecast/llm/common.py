@@ -45,7 +45,7 @@ def split_unnamed(docs: DataFrame, id_col: str, first: int) -> tuple[DataFrame,
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once per row, however often the body mentions it."""
+    """``body`` of a value that is computed once per row, however often the body uses it."""
     return F.transform(F.array(value), body).getItem(0)
 
 
