@@ -74,6 +74,11 @@ def val_missing_documents(spark, sf):
     return iv.events_without_document(events, pages)
 
 
+def val_events_without_segments(spark, sf):
+    """Events of the inventory that no conversation belongs to; its order keys reach further than the conversations."""
+    return iv.events_without_document(v.event_inventory(spark, sf), v.segments(spark, sf)).select("event_id", "event_type")
+
+
 def agg_inventory_summary(spark, sf):
     return iv.inventory_summary(v.inventory(spark, sf))
 
@@ -354,6 +359,11 @@ QUERIES = {
     "jn_overrides": (jn_overrides, _OVERRIDES_SQL),
     "val_duplicate_ids": (val_duplicate_ids, "SELECT 'K' || o_custkey AS event_id, count(*) AS rows FROM orders GROUP BY o_custkey HAVING count(*) > 1"),
     "val_missing_documents": (val_missing_documents, "SELECT c_custkey::VARCHAR AS event_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "val_events_without_segments": (
+        val_events_without_segments,
+        f"WITH {v.SEGMENTS}, o AS (SELECT 'C' || lpad(o_orderkey::VARCHAR, greatest(6, len(o_orderkey::VARCHAR))::INTEGER, '0') AS event_id, o_orderpriority AS event_type FROM orders) "
+        "SELECT event_id, event_type FROM o WHERE event_id NOT IN (SELECT event_id FROM segs)",
+    ),
     "agg_inventory_summary": (agg_inventory_summary, f"WITH {v.INVENTORY} SELECT count(*) AS events, min(event_date) AS date_min, max(event_date) AS date_max, count(DISTINCT event_type) AS event_types FROM inv"),
     "agg_event_types": (agg_event_types, "SELECT DISTINCT o_orderpriority AS event_type FROM orders ORDER BY 1"),
     "agg_events_over_time": (agg_events_over_time, "SELECT o_orderdate::DATE AS event_day, count(*) AS count FROM orders GROUP BY 1 ORDER BY 1"),

@@ -127,7 +127,7 @@ def skew_join(
     salt = F.pmod(F.xxhash64(*(spread or fact.columns)), F.lit(salts)).cast("int")
     left = (
         fact.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0)))
+        .withColumn("__salt", F.when(F.col("__hot") | F.col(on).isNull(), salt).otherwise(F.lit(0)))
         .drop("__hot")
     )
     right = (

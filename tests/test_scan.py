@@ -62,3 +62,19 @@ def test_skew_join_spreads_the_hot_key(spark, skewed):
     assert "__salt" in plan
     with pytest.raises(ValueError):
         skew_join(df, dim, "key", "outer")
+
+
+def test_skew_join_spreads_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None if i % 2 else "k", i) for i in range(400)], "key string, at int")
+    dim = spark.createDataFrame([("k", 1), (None, 2)], "key string, d int")
+    out = skew_join(df, dim, "key", "left", spread=["at"], salts=8)
+    assert out.filter("key IS NULL AND d IS NULL").count() == 200 and out.filter("d = 1").count() == 200
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew_join(df, dim, "key", "left", spread=["at"], salts=8)
+        sizes = joined.filter("key IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 1
