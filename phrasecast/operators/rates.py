@@ -109,10 +109,18 @@ def cumulative_share(segments: DataFrame, targets: Sequence[str]) -> DataFrame:
         .groupBy("event_id", "event_date")
         .agg(*[F.bool_or(F.col(t).cast("boolean")).cast("bigint").alias(t) for t in targets])
     )
-    long = dated.unpivot(["event_id", "event_date"], list(targets), "target", "was_said")
-    long = long.withColumn("target", _phrase(F.col("target"))).withColumn("__h", hash_order("event_id"))
+    # The wide table is scanned once for all phrases; rows per phrase are made last.
+    said = {t: F.coalesce(F.col(t), F.lit(0)) for t in targets}
+    sums = {"event_index": F.lit(1).cast("bigint"), **{f"__c{i}": said[t] for i, t in enumerate(targets)}}
     blocks = {"day": F.col("event_date"), "part": hash_block("event_id", 2)}
-    return _share(long, ["target"], blocks, ["__h"]).drop("__h")
+    run = prefix_sums(dated.withColumn("__h", hash_order("event_id")), [], blocks, ["__h"], sums)
+    parts = [
+        F.struct(_phrase(F.lit(t)).alias("target"), F.col(t).alias("was_said"), (F.col(f"__c{i}") + said[t]).alias("cum_was_said"))
+        for i, t in enumerate(targets)
+    ]
+    long = run.select("event_id", "event_date", (F.col("event_index") + 1).alias("event_index"), F.explode(F.array(*parts)).alias("p"))
+    long = long.select("event_id", "event_date", "p.target", "p.was_said", "event_index", "p.cum_was_said")
+    return long.withColumn("cum_share", F.col("cum_was_said") / F.col("event_index"))
 
 
 def _share(long: DataFrame, keys: Sequence[str], blocks: dict[str, Column], order: Sequence[str]) -> DataFrame:
