@@ -30,6 +30,8 @@ def date_positions(rows: DataFrame, date: str = "event_date", row_id: str = "seg
     """``(row_id, date, position)``: 0-based place in date order, ties in md5(row_id) order."""
     slim = rows.select(row_id, date).withColumn("__h", hash_order(row_id))
     blocks = {"day": _day(rows, date), "part": hash_block(row_id)}
+    if rows.schema[date].dataType.typeName() != "date":
+        blocks = {"date": _day(rows, date).cast("date"), **blocks}  # times of day are unbounded, dates are not
     return prefix_sums(slim, [], blocks, ["__h"], {"position": F.lit(1).cast("bigint")}).drop("__h")
 
 
@@ -44,8 +46,11 @@ def rolling_borders(
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     size = F.greatest(F.lit(1), F.floor(total / (n_splits + 1)))
     days = rows.groupBy(_day(rows, date).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    if rows.schema[date].dataType.typeName() == "date":
+        earlier = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    else:  # distinct times are counted date by date
+        days = prefix_sums(days, [], {"date": F.col("day").cast("date")}, ["day"], {"before": F.col("n")})
     numbers = F.sequence(F.lit(0), F.lit(n_splits - 1))
     wanted = days.select("day", "n", "before", F.explode(numbers).alias("fold")).withColumn("test_size", size)
     wanted = wanted.withColumn("n_train", total - (n_splits - F.col("fold")) * F.col("test_size"))

@@ -52,6 +52,16 @@ def test_rows_without_date_come_last(spark):
     assert {r["segment_id"] for r in last.collect()} == {"S6", "S7"}
 
 
+def test_times_of_day(spark):
+    pick = random.Random(2)
+    at = [dt.datetime(2024, 1, 1 + i % 3, pick.randrange(24), pick.randrange(3)) for i in range(60)]
+    rows = [(f"S{i}", f"E{i}", t) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "segment_id string, event_id string, event_date timestamp").repartition(3)
+    assert [r["segment_id"] for r in fl.date_positions(df).orderBy("position").collect()] == in_order(rows)
+    got = {(r["segment_id"], r["fold"], r["role"]) for r in fl.rolling_folds(df, 4, 5).collect()}
+    assert got == rolling(rows, 4, 5)
+
+
 def test_leave_one_event_out(spark):
     rows = [(f"S{i}", e) for i, e in enumerate("AAAAAABBC")]
     df = spark.createDataFrame(rows, "segment_id string, event_id string")
