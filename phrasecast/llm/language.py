@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phrasecast.llm.common import crc_remainder, ship
+from phrasecast.session import materialize
 
 #: Runs of letters; everything else is no evidence of a language.
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: A character that is no piece of the vocabulary still has this probability, as one more piece.
 RARE = 1e-7
+#: Borders of the training sample are broadcast up to this many languages (rows of two values), joined by shuffle beyond.
+BROADCAST_LANGUAGES = 10_000
 
 
 class Pieces:
@@ -81,6 +84,19 @@ def _lattice(pieces: Pieces, chars: np.ndarray) -> Iterator[tuple[int, int, np.n
                 yield end, length, pieces.find(h)
 
 
+def _ending(pieces: Pieces, chars: np.ndarray, end: int) -> np.ndarray:
+    """Ids of the substrings that end before ``end``, by length from 1 on; a single unknown character is the last row."""
+    found = np.empty((min(pieces.longest, end), len(chars)), dtype=np.int64)
+    h, power = np.zeros(len(chars), dtype=np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for length in range(1, len(found) + 1):
+            h = h + (chars[:, end - length] + np.uint64(1)) * power
+            power = power * _MULTIPLIER
+            found[length - 1] = pieces.find(h)
+    found[0][found[0] == pieces.n] = pieces.n + 1
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     """``probability``: (pieces + 2) x languages. The last two rows: no piece (0), and a character that is no piece."""
@@ -111,24 +127,29 @@ class Model:
         return np.log(np.maximum(alpha[width], 1e-300)) + scale
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words (one length), weighted by their counts per language."""
+        """Expected uses of each piece in the words (one length), weighted by their counts per language.
+
+        Forward and backward sums are logarithms, so words of any length have weight. The lattice is looked up again on
+        the way back instead of being kept: memory is two numbers per character and language.
+        """
         chars = _padded(words)
         n, width = chars.shape
-        steps = list(_lattice(self.pieces, chars))
-        k = len(self.languages)
-        p = [np.where(((ids == self.pieces.n) & (length == 1))[:, None], self.probability[-1], self.probability[ids]) for _, length, ids in steps]
-        alpha, beta = np.zeros((width + 1, n, k)), np.zeros((width + 1, n, k))
-        alpha[0], beta[width] = 1.0, 1.0
-        for (end, length, _), q in zip(steps, p, strict=True):
-            alpha[end] += alpha[end - length] * q
-        for (end, length, _), q in zip(reversed(steps), reversed(p), strict=True):
-            beta[end - length] += beta[end] * q
-        total = np.maximum(alpha[width], 1e-300)
+        with np.errstate(divide="ignore"):
+            log_p = np.log(self.probability)
         out = np.zeros(self.probability.shape)
-        for (end, length, ids), q in zip(steps, p, strict=True):
-            mass = alpha[end - length] * q * beta[end] / total * counts
-            for j in range(k):
-                out[:, j] += np.bincount(ids, weights=mass[:, j], minlength=out.shape[0])
+        forward, backward = np.zeros((width + 1, n, len(self.languages))), np.full((width + 1, n, len(self.languages)), -np.inf)
+        backward[width] = 0.0
+        for end in range(1, width + 1):
+            ids = _ending(self.pieces, chars, end)
+            forward[end] = np.logaddexp.reduce(forward[end - len(ids) : end][::-1] + log_p[ids], axis=0)
+        for end in range(width, 0, -1):
+            ids = _ending(self.pieces, chars, end)
+            before = slice(end - len(ids), end)
+            onward = log_p[ids] + backward[end]
+            backward[before] = np.logaddexp(backward[before], onward[::-1])
+            mass = np.exp(forward[before][::-1] + onward - forward[width]) * counts
+            for j in range(out.shape[1]):
+                out[:, j] += np.bincount(ids.ravel(), weights=mass[..., j].ravel(), minlength=out.shape[0])
         return out
 
 
@@ -142,33 +163,43 @@ def _by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
             start = i
 
 
+def _sample(rows: DataFrame, rows_per_language: int) -> DataFrame:
+    """The ``rows_per_language`` rows (``h, l, t``) of smallest hash of each language, ties of the last one included.
+
+    Only hashes are shuffled: texts are compared with the last hash of their language where they are read. The borders, a
+    row per language, are broadcast up to ``BROADCAST_LANGUAGES`` of them.
+    """
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    top = rows.select("h", "l").withColumn("n", place).filter(F.col("n") <= rows_per_language)
+    borders = materialize(top.groupBy("l").agg(F.max("h").alias("last")), "language-borders")
+    few = borders.count() <= BROADCAST_LANGUAGES
+    return rows.join(F.broadcast(borders) if few else borders, "l").filter("h <= last")
+
+
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    vocabulary: str | None = None, rows_per_language: int = 800, rounds: int = 3, longest_word: int = 40,
+    vocabulary: str | None = None, rows_per_language: int = 800, rounds: int = 3,
 ) -> Model:
     """Fit on at most ``rows_per_language`` rows of each language, those of smallest id hash (the documented bound).
 
     Word counts of these rows are summed by Spark; the driver gets the counts of the sample's words only. Rows with
-    null text or language teach nothing; without any, the model knows no language and everything is ``und``.
-    Words longer than ``longest_word`` are left out of the fit (not of the scores).
+    null text or language teach nothing; without any, the model knows no language and everything is ``und``. Rows equal in
+    id and text to the last one within the bound teach as well.
     """
     pieces = Pieces(load_pieces(vocabulary))
     rows = docs.select(
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")
     ).filter("t IS NOT NULL AND l IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    top = rows.select("h", "l").withColumn("n", place).filter(F.col("n") <= rows_per_language)
-    chosen = top.groupBy("l").agg(F.max("h").alias("last"))
-    sample = rows.join(chosen, "l").filter("h <= last")
+    sample = _sample(rows, rows_per_language)
     found = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    found = found.filter(F.char_length("w") <= longest_word).groupBy("w", "l").agg(F.count(F.lit(1)).alias("n"))
-    table = found.toPandas()
-    table = table[table["w"].map(lambda w: bool(LETTERS.fullmatch(w))).astype(bool)]
-    languages = tuple(sorted(table["l"].unique()))
-    words = {w: i for i, w in enumerate(sorted(table["w"].unique()))}
-    counts = np.zeros((len(words), len(languages)))
+    table = found.groupBy("w", "l").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    seen = [x for x in zip(*(table[c].to_pylist() for c in ("w", "l", "n")), strict=True) if LETTERS.fullmatch(x[0])]
+    languages = tuple(sorted({x[1] for x in seen}))
+    words = {w: i for i, w in enumerate(sorted({x[0] for x in seen}))}
     place_of = {x: i for i, x in enumerate(languages)}
-    counts[table["w"].map(words).astype(int), table["l"].map(place_of).astype(int)] = table["n"]
+    counts = np.zeros((len(words), len(languages)))
+    for w, lang, n in seen:
+        counts[words[w], place_of[lang]] = n
     known = list(words)
     shape = (pieces.n + 2, len(languages))
     flat = np.full(shape, 1.0 / max(pieces.n, 1))
@@ -176,7 +207,7 @@ def train(
     model = Model(languages, np.full(len(languages), 1.0 / max(len(languages), 1)), flat, pieces)
     for _ in range(rounds if languages else 0):
         uses = np.zeros(shape)
-        for group in _by_length(known):
+        for group in _by_length(known, most=1_000):
             uses += model.expected([known[i] for i in group], counts[group])
         uses[-2:] = 0.0
         smooth = uses + 0.01
