@@ -112,34 +112,37 @@ def _measure(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _SETS)
 
 
+def _classes_of_cells(batches: Iterator[pa.RecordBatch], load: float) -> Iterator[pa.RecordBatch]:
+    """A byte per cell (0: rare), and the sum of squared counts of each chunk."""
+    for batch in batches:
+        counts = [np.frombuffer(c, np.int64) for c in batch.column(1).to_pylist()]
+        ranks = [np.ceil(np.log2(np.maximum(c / (4 * load + 16), 1))).astype(np.uint8).tobytes() for c in counts]
+        squares = [float((c.astype(float) ** 2).sum()) for c in counts]
+        columns = [batch.column(0), pa.array(ranks, pa.binary()), pa.array(squares, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "ranks", "squares"])
+
+
 def choose_plan(measured: DataFrame) -> Plan:
     """Frequency classes of the count table's cells, and the border of least cost.
 
-    The driver holds the table of ``CELLS`` numbers and one row of costs.
+    The driver gets one row of sums, then a byte for each of the ``CELLS`` cells.
     """
-    chunks = measured.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    counts, per = np.zeros((64, CELLS // 64), np.uint32), CELLS // 64
-    squares = 0.0
-    for chunk, packed in chunks.mapInArrow(add_counts, "chunk int, counts binary").toLocalIterator():
-        part = np.frombuffer(packed, np.int64)
-        squares += float((part.astype(float) ** 2).sum())
-        counts[chunk] = np.minimum(part, np.iinfo(np.uint32).max)
-    total = max(int(counts.sum(dtype=np.int64)), 1)
-    load = total / CELLS
-    rank = np.zeros((64, per), np.uint8)
-    for k in range(64):  # by chunk: the driver's temporary arrays stay small
-        rank[k] = np.ceil(np.log2(np.maximum(counts[k] / (4 * load + 16), 1)))
-    list_length = max(squares / total - load, 1.0)
     n = F.col("n")
     prefix = n - F.floor((NUM * n + DEN - 1) / DEN) + 1
-    scan = prefix * (1 + SCAN_COST * list_length)
-    pairs = prefix * (prefix + 1) / 2
-    cost = [
-        F.sum(F.when(n <= b, pairs).otherwise(0) + F.when(n >= NUM * b / DEN, scan).otherwise(0)).alias(str(b)) for b in BORDERS
-    ]
-    row = measured.filter("n > 1").agg(*cost).first()
-    found = [(row[str(b)] if row[str(b)] is not None else 0.0, b) for b in BORDERS]
-    return Plan(rank.reshape(-1), min(found)[1])
+    light = [F.sum(F.when((n > 1) & (n <= b), prefix * (prefix + 1) / 2)).alias(f"light{b}") for b in BORDERS]
+    heavy = [F.sum(F.when((n > 1) & (n >= NUM * b / DEN), prefix)).alias(f"heavy{b}") for b in BORDERS]
+    row = measured.filter("chunk IS NULL").agg(F.sum("n").alias("total"), *light, *heavy).first()
+    total = max(int(row["total"] or 0), 1)
+    load = total / CELLS
+    chunks = measured.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
+    classed = chunks.mapInArrow(lambda batches: _classes_of_cells(add_counts(batches), load), "chunk int, ranks binary, squares double")
+    rank, squares = np.zeros((64, CELLS // 64), np.uint8), 0.0
+    for chunk, packed, part in sorted(tuple(r) for r in classed.collect()):  # CELLS bytes in 64 rows
+        squares += part
+        rank[chunk] = np.frombuffer(packed, np.uint8)
+    list_length = max(squares / total - load, 1.0)
+    cost = [((row[f"light{b}"] or 0.0) + float(row[f"heavy{b}"] or 0) * (1 + SCAN_COST * list_length), b) for b in BORDERS]
+    return Plan(rank.reshape(-1), min(cost)[1])
 
 
 # --- second pass: keys -------------------------------------------------------------------------------------------
@@ -319,25 +322,58 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _cross_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
     """Distinct signature pairs that share a key and belong to different components so far.
 
-    Keys whose sets are all in one component are dropped; for the others, components are paired first and members
-    then, so a large component costs nothing by itself. Two sets that are alone in their components are ruled out by
-    their bitmaps where they meet.
+    Keys whose sets are all in one component are dropped. For the others the sets of one component at one key form a
+    list; lists are paired, equal pairs from many keys become one, and only lists whose bitmaps allow a link between any
+    of their members are expanded into members.
     """
-    named = classes.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "bits")
+    named = classes.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
     rows = shared.select("key", "sig", "n").join(named, "sig")
     many = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rows = materialize(rows.join(many, "key").distinct(), "cross-rows")
-    alone = F.when(F.min("sig") == F.max("sig"), F.first("bits"))
-    groups = rows.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), alone.alias("bits"))
-    x, y = groups.alias("x"), groups.alias("y")
+    lists = rows.groupBy("key", "comp").agg(
+        F.bit_xor(F.xxhash64("sig")).alias("l1"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("l2"), F.min("sig").alias("head"),
+        F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("sig") == F.max("sig")).alias("alone"),
+    )
+    lists = materialize(lists, "lists")
+    x, y = lists.alias("x"), lists.alias("y")
     near = (DEN * F.col("x.hi") >= NUM * F.col("y.lo")) & (DEN * F.col("y.hi") >= NUM * F.col("x.lo"))
-    near &= F.coalesce((NUM + DEN) * _differing("bits") <= (DEN - NUM) * (F.col("x.hi") + F.col("y.hi")), F.lit(True))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
-    met = met.select(F.col("x.key").alias("key"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    a = rows.select("key", F.col("comp").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"))
-    b = rows.select("key", F.col("comp").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"))
-    pairs = met.join(a, ["key", "ca"]).join(b, ["key", "cb"])
-    return pairs.filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b").distinct()
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("l1", "l2", "head", "hi")]
+    met = materialize(met.select(*sides).distinct(), "list-pairs")
+
+    used = met.select(F.col("x_l1").alias("l1"), F.col("x_l2").alias("l2")).union(met.select("y_l1", "y_l2")).distinct()
+    several = lists.filter(~F.col("alone")).groupBy("l1", "l2", "comp", "head").agg(F.min("key").alias("key")).join(used, ["l1", "l2"])
+    members = several.join(rows.select("key", "comp", "sig"), ["key", "comp"]).select("l1", "l2", "head", "sig")
+    members = materialize(members, "list-members")
+    met = _near_lists(met, members, classes)
+    for side, name in (("x", "a"), ("y", "b")):
+        found = members.select(F.col("l1").alias(f"{side}_l1"), F.col("l2").alias(f"{side}_l2"), F.col("sig").alias(name))
+        met = met.join(found, [f"{side}_l1", f"{side}_l2"], "left").withColumn(name, F.coalesce(name, f"{side}_head"))
+    return met.select("a", "b").distinct()
+
+
+def _near_lists(met: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """List pairs in which some member of one may link with some member of the other.
+
+    Parity bitmaps differ in at least as many bits as those of the heads do, less the largest distances of members from
+    their heads.
+    """
+    maps = classes.select("sig", "bits", "wide")
+    heads = maps.withColumnRenamed("sig", "head")
+    far = members.join(maps.alias("x"), "sig").join(heads.alias("y"), "head").select("l1", "l2", _differing("bits").alias("bits"), _differing("wide").alias("wide"))
+    reach = [F.when(F.count(c) == F.count(F.lit(1)), F.max(c)).alias(c) for c in ("bits", "wide")]
+    far = far.groupBy("l1", "l2").agg(*reach, F.lit(True).alias("many"))
+    rows = met
+    for side in "xy":
+        reached = far.select(*(F.col(c).alias(f"{side}_{c}") for c in ("l1", "l2")), *(F.col(c).alias(f"{side}_{c}_reach") for c in ("bits", "wide")), F.col("many").alias(f"{side}_many"))
+        rows = rows.join(reached, [f"{side}_l1", f"{side}_l2"], "left")
+    rows = rows.join(heads.alias("x"), F.col("x_head") == F.col("x.head")).join(heads.alias("y"), F.col("y_head") == F.col("y.head"))
+    allowed = F.lit(True)
+    for c in ("bits", "wide"):
+        reach = lambda side: F.when(F.col(f"{side}_many"), F.col(f"{side}_{c}_reach")).otherwise(0)  # noqa: B023, E731
+        least = _differing(c) - reach("x") - reach("y")
+        allowed &= F.coalesce((NUM + DEN) * least <= (DEN - NUM) * (F.col("x_hi") + F.col("y_hi")), F.lit(True))
+    return rows.filter(allowed).select(*met.columns).distinct()
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
