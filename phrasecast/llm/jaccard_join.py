@@ -323,20 +323,22 @@ def _cross_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame) ->
     """Distinct signature pairs that share a key and belong to different components so far.
 
     Keys whose sets are all in one component are dropped. For the others the sets of one component at one key form a
-    list; lists are paired, equal pairs from many keys become one, and only lists whose bitmaps allow a link between any
+    list; lists are paired (two sets that are alone are ruled out by their bitmaps at once), equal pairs from many keys become one, and only lists whose bitmaps allow a link between any
     of their members are expanded into members.
     """
-    named = classes.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
+    named = classes.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "bits")
     rows = shared.select("key", "sig", "n").join(named, "sig")
     many = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rows = materialize(rows.join(many, "key").distinct(), "cross-rows")
     lists = rows.groupBy("key", "comp").agg(
         F.bit_xor(F.xxhash64("sig")).alias("l1"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("l2"), F.min("sig").alias("head"),
         F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("sig") == F.max("sig")).alias("alone"),
+        F.when(F.min("sig") == F.max("sig"), F.first("bits")).alias("bits"),
     )
     lists = materialize(lists, "lists")
     x, y = lists.alias("x"), lists.alias("y")
     near = (DEN * F.col("x.hi") >= NUM * F.col("y.lo")) & (DEN * F.col("y.hi") >= NUM * F.col("x.lo"))
+    near &= F.coalesce((NUM + DEN) * _differing("bits") <= (DEN - NUM) * (F.col("x.hi") + F.col("y.hi")), F.lit(True))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
     sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("l1", "l2", "head", "hi")]
     met = materialize(met.select(*sides).distinct(), "list-pairs")
@@ -361,8 +363,8 @@ def _near_lists(met: DataFrame, members: DataFrame, classes: DataFrame) -> DataF
     maps = classes.select("sig", "bits", "wide")
     heads = maps.withColumnRenamed("sig", "head")
     far = members.join(maps.alias("x"), "sig").join(heads.alias("y"), "head").select("l1", "l2", _differing("bits").alias("bits"), _differing("wide").alias("wide"))
-    reach = [F.when(F.count(c) == F.count(F.lit(1)), F.max(c)).alias(c) for c in ("bits", "wide")]
-    far = far.groupBy("l1", "l2").agg(*reach, F.lit(True).alias("many"))
+    most = [F.when(F.count(c) == F.count(F.lit(1)), F.max(c)).alias(c) for c in ("bits", "wide")]
+    far = far.groupBy("l1", "l2").agg(*most, F.lit(True).alias("many"))
     rows = met
     for side in "xy":
         reached = far.select(*(F.col(c).alias(f"{side}_{c}") for c in ("l1", "l2")), *(F.col(c).alias(f"{side}_{c}_reach") for c in ("bits", "wide")), F.col("many").alias(f"{side}_many"))
