@@ -198,7 +198,7 @@ def src_article_dump(spark, sf):
     day = F.substring("published_at", 1, 10)
     lines = dumps.article_lines(arts.withColumn("extras", F.map_concat("extras", F.create_map(F.lit("day"), day))))
     dated = lines.withColumn("day", F.try_to_date(F.get_json_object("value", "$.day"), "yyyy-MM-dd"))
-    dated.write.partitionBy("day", "ingest_source").text(path)
+    dumps.write_dated(dated, path)
     back = load_dump(spark, path, since=SINCE, until=UNTIL, columns="day date, ingest_source string")
     return back.select("article_id", "event_id", "published_at", F.md5("body_text").alias("body_md5"), "ingest_source", F.col("day").cast("string").alias("day"))
 

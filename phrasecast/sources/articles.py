@@ -117,6 +117,17 @@ def write_articles(articles: DataFrame, folder: str, run_id: str) -> str:
     return path
 
 
+def write_dated(lines: DataFrame, path: str) -> str:
+    """Lines ``(day, ingest_source, value)`` under ``<path>/day=<day>/ingest_source=<name>/``.
+
+    Each task writes a range of folders, so a folder has a file for each task it is cut over, not for each task of the
+    input; one with many lines (those without a day) is cut over several.
+    """
+    dealt = lines.repartitionByRange("day", "ingest_source", F.xxhash64("value"))
+    dealt.write.mode("errorifexists").partitionBy("day", "ingest_source").text(path)
+    return path
+
+
 def ingest_manifest(
     articles: DataFrame,
     run_id: str,

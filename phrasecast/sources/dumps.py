@@ -21,7 +21,8 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan,
+    LessThanOrEqual,
 )
 
 from phrasecast.operators import news
@@ -88,7 +89,7 @@ class DumpReader(DataSourceReader):
             column = getattr(f, "attribute", None)
             if column is None or len(column) != 1 or column[0] not in names:
                 yield f
-            elif type(f) in _TESTS or isinstance(f, (In, IsNotNull)):
+            elif type(f) in _TESTS or isinstance(f, (In, IsNotNull, IsNull)):
                 self.tests.append((names.index(column[0]), type(f).__name__, getattr(f, "value", None)))
             else:
                 yield f
@@ -97,7 +98,10 @@ class DumpReader(DataSourceReader):
         compare = {kind.__name__: test for kind, test in _TESTS.items()}
         for i, name, constant in self.tests:
             value = values[i]
-            if value is None or (name == "In" and value not in constant) or (name in compare and not compare[name](value, constant)):
+            if name == "IsNull":
+                if value is not None:
+                    return False
+            elif value is None or (name == "In" and value not in constant) or (name in compare and not compare[name](value, constant)):
                 return False
         return True
 
@@ -193,19 +197,21 @@ class _Lines:
     """Lines of an open file, read in blocks."""
 
     def __init__(self, raw: pa.NativeFile):
-        self.raw, self.rest = raw, b""
+        self.raw, self.rest, self.at = raw, b"", 0
 
     def next(self) -> bytes:
+        seen = self.at
         while True:
-            cut = self.rest.find(b"\n")
+            cut = self.rest.find(b"\n", seen)
             if cut >= 0:
-                line, self.rest = self.rest[: cut + 1], self.rest[cut + 1 :]
+                line, self.at = self.rest[self.at : cut + 1], cut + 1
                 return line
             block = self.raw.read(1 << 20)
             if not block:
-                line, self.rest = self.rest, b""
+                line, self.rest, self.at = self.rest[self.at :], b"", 0
                 return line
-            self.rest += block
+            seen = len(self.rest) - self.at
+            self.rest, self.at = self.rest[self.at :] + block, 0
 
 
 class ArticleDump(DataSource):

@@ -108,3 +108,24 @@ def test_loader_with_window_and_limit(spark, folder):
     sources.register_source("dump", dumps.load_dump)
     out = sources.ingest(spark, [sources.Source("wire", "dump", {"path": folder, "columns": columns})], "2024-02-01", since="2024-01-03")
     assert out.count() == 5
+
+
+def test_rows_without_a_day_open_only_their_folder(folder):
+    from pyspark.sql import types as T
+    from pyspark.sql.datasource import IsNull
+
+    reader = DumpReader({"path": folder}, T.StructType(), [("day", "date")])
+    assert list(reader.pushFilters([IsNull(("day",))])) == []
+    assert ["__HIVE_DEFAULT_PARTITION__" in p[0] for split in reader.partitions() for p in split.parts] == [True]
+
+
+def test_dated_folders_are_not_cut_by_every_task(spark, tmp_path):
+    days = [None if i % 3 == 0 else datetime.date(2024, 1, 1) + datetime.timedelta(i % 40) for i in range(2000)]
+    rows = [(day, f"s{i % 2}", f"line {i}") for i, day in enumerate(days)]
+    lines = spark.createDataFrame(rows, "day date, ingest_source string, value string").repartition(16)
+    path = sources.write_dated(lines, str(tmp_path / "out"))
+    files = [name for name, _ in dumps.list_files(path)]
+    folders = {name.rsplit("/", 1)[0] for name in files}
+    assert len(folders) == len({row[:2] for row in rows}) and len(files) <= len(folders) + 4
+    back = spark.read.schema("value string, day date, ingest_source string").text(path)
+    assert sorted(map(str, back.select("day", "ingest_source", "value").collect())) == sorted(map(str, spark.createDataFrame(rows, lines.schema).collect()))
