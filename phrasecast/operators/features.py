@@ -16,6 +16,7 @@ from phrasecast.functions.text import WORD
 from phrasecast.session import materialize
 
 BROADCAST_ROWS = 200_000  # a vocabulary or index of at most this many rows may be broadcast (some ten MB)
+TEXT_BYTES = 8 * 1024 * 1024  # text that one task takes apart; its n-grams need some fifty times as much
 
 
 def _by_feature(
@@ -55,10 +56,14 @@ def term_counts(
     """``(row_id, term, tf)``.
 
     The texts are partitioned by row id before they are taken apart, so the counts need no further
-    shuffle: what moves is the text once, not an entry for each of its n-grams.
+    shuffle: what moves is the text once, not an entry for each of its n-grams. The number of
+    partitions follows the size of the texts (adaptive ones follow what is shuffled, which says little
+    about the n-grams), so a task holds the n-grams of some ``TEXT_BYTES``.
     """
-    keyed = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("t")).repartition("row_id")
-    tokens = keyed.select("row_id", word_tokens(F.col("t"), lowercase).alias("t"))
+    keyed = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("t"))
+    size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_BYTES))
+    tokens = keyed.repartition(parts, "row_id").select("row_id", word_tokens(F.col("t"), lowercase).alias("t"))
     terms = tokens.select("row_id", F.explode(ngrams(F.col("t"), *ngram_range)).alias("term"))
     return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -205,3 +205,13 @@ def test_bad_settings(frame):
         ex.run_experiment(frame, settings(strategy="random"))
     with pytest.raises(ValueError):
         ex.run_experiment(frame, settings(minimum_train=10_000))
+
+
+def test_texts_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(fx, "TEXT_BYTES", 100)
+    df = spark.createDataFrame([(i, f"some words {i} here") for i in range(100)], "id int, text string").coalesce(1)
+    counts = fx.term_counts(df, "id", "text")
+    # About 1800 bytes: more partitions than the 4 of the session, and adaptive execution keeps them.
+    assert counts.rdd.getNumPartitions() >= 15
+    # "some words 7 here" has three words of two characters, "some words 17 here" four.
+    assert counts.agg(F.sum("tf")).first()[0] == 10 * (3 + 2) + 90 * (4 + 3)
