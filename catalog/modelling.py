@@ -321,7 +321,7 @@ def _trained(spark, sf, **changes):
     """Feature state and vectors of all labelled documents."""
     s = _settings(**changes)
     rows, counts = ex.prepare(_documents(spark, sf), s)
-    return s, *ex.fit_features(rows, counts, s)
+    return s, *ex.fit_features(rows, counts, s, whole=True)
 
 
 def mdl_rolling_logistic(spark, sf):

@@ -51,21 +51,21 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
 
 
 def term_counts(
-    docs: DataFrame, row_id: str, text: str, ngram_range: tuple[int, int] = (1, 2), lowercase: bool = True
+    docs: DataFrame, row_id: str, text: str, ngram_range: tuple[int, int] = (1, 2), lowercase: bool = True, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``(row_id, term, tf)``.
+    """``(row_id, keep, term, tf)``; ``keep`` names columns that are alike in all rows of one id.
 
     The texts are partitioned by row id before they are taken apart, so the counts need no further
     shuffle: what moves is the text once, not an entry for each of its n-grams. The number of
     partitions follows the size of the texts (adaptive ones follow what is shuffled, which says little
     about the n-grams), so a task holds the n-grams of some ``TEXT_BYTES``.
     """
-    keyed = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("t"))
+    keyed = docs.select(F.col(row_id).alias("row_id"), *keep, F.coalesce(text, F.lit("")).alias("t"))
     size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_BYTES))
-    tokens = keyed.repartition(parts, "row_id").select("row_id", word_tokens(F.col("t"), lowercase).alias("t"))
-    terms = tokens.select("row_id", F.explode(ngrams(F.col("t"), *ngram_range)).alias("term"))
-    return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = keyed.repartition(parts, "row_id").select("row_id", *keep, word_tokens(F.col("t"), lowercase).alias("t"))
+    terms = tokens.select("row_id", *keep, F.explode(ngrams(F.col("t"), *ngram_range)).alias("term"))
+    return terms.groupBy("row_id", *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fit_tfidf(
@@ -86,11 +86,12 @@ def fit_tfidf(
 
 
 def tfidf(
-    counts: DataFrame, vocabulary: DataFrame, max_features: int | None = None, sublinear: bool = True
+    counts: DataFrame, vocabulary: DataFrame, max_features: int | None = None, sublinear: bool = True, normalise: bool = True
 ) -> DataFrame:
     """``(row_id, feature, value)``: L2-normalised weights.
 
-    ``max_features`` is the cap the vocabulary was fitted with. The norm is a window over one document.
+    ``max_features`` is the cap the vocabulary was fitted with. The norm is a window over one document;
+    without ``normalise`` it is left to ``feature_vectors``, which gathers a document's cells anyway.
     """
     tf = F.col("tf").cast("double")
     weight = (1 + F.log(tf) if sublinear else tf) * F.col("idf")
@@ -98,6 +99,8 @@ def tfidf(
     total = vocabulary.agg(F.sum("df").alias("n")).scalar()
     hot = vocabulary.filter(F.col("df") * 1000 > total)
     raw = _by_feature(counts, vocabulary, "term", max_features, hot).select("row_id", "term", weight.alias("w"))
+    if not normalise:
+        return raw.select("row_id", F.col("term").alias("feature"), F.col("w").alias("value"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
     return raw.select("row_id", F.col("term").alias("feature"), (F.col("w") / norm).alias("value"))
 
@@ -222,23 +225,28 @@ def feature_index(names: DataFrame) -> DataFrame:
     return global_index(names.select("feature").distinct(), ["feature"], "index")
 
 
-def feature_vectors(rows: DataFrame, features: DataFrame, index: DataFrame, size: int) -> DataFrame:
+def feature_vectors(rows: DataFrame, features: DataFrame, index: DataFrame, size: int, unit: str | None = None) -> DataFrame:
     """``rows(row_id, ...)`` with a sparse vector column ``features``; unknown features are dropped.
 
+    The features of a row whose names start with ``unit`` are divided by their L2 norm.
     The vectors are written to the shared folder in the storage form of the vector type and read back
     as vectors: no Python touches the rows, and the many passes of a solver read a plain table.
     """
-    cells = _by_feature(features, index, "feature", size).select("row_id", "index", "value")
-    packed = cells.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("__cells"))
-    none = F.array().cast("array<struct<index:bigint,value:double>>")
+    scaled = F.startswith("feature", F.lit(unit)) if unit else F.lit(False)
+    cells = _by_feature(features, index, "feature", size).select("row_id", F.col("index").cast("int"), "value", scaled.alias("scaled"))
+    packed = cells.groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.struct("index", "value", "scaled"))).alias("__cells"),
+        F.sqrt(F.sum(F.when(F.col("scaled"), F.col("value") * F.col("value")))).alias("__norm"),
+    )
+    none = F.array().cast("array<struct<index:int,value:double,scaled:boolean>>")
     joined = rows.join(packed, "row_id", "left").withColumn("__cells", F.coalesce("__cells", none))
     stored = joined.select(
         *rows.columns,
         F.struct(
             F.lit(0).cast("tinyint").alias("type"),
             F.lit(size).alias("size"),
-            F.transform("__cells", lambda x: x["index"].cast("int")).alias("indices"),
-            F.transform("__cells", lambda x: x["value"]).alias("values"),
+            F.transform("__cells", lambda x: x["index"]).alias("indices"),
+            F.transform("__cells", lambda x: F.when(x["scaled"], x["value"] / F.col("__norm")).otherwise(x["value"])).alias("values"),
         ).alias("features"),
     )
     schema = T.StructType([*rows.schema.fields, T.StructField("features", VectorUDT())])

@@ -67,7 +67,7 @@ class Result:
 
 
 def _blocks(rows: DataFrame, counts: DataFrame, vocabulary: DataFrame, levels: DataFrame | None, s: Settings):
-    blocks = {"text": fx.tfidf(counts, vocabulary, s.max_features, s.sublinear_tf)}
+    blocks = {"text": fx.tfidf(counts, vocabulary, s.max_features, s.sublinear_tf, normalise=False)}
     if s.categorical:
         blocks["category"] = fx.one_hot(rows, "row_id", s.categorical, levels, s.unknown)
     if s.numeric:
@@ -77,9 +77,17 @@ def _blocks(rows: DataFrame, counts: DataFrame, vocabulary: DataFrame, levels: D
     return fx.union_features(blocks)
 
 
-def fit_features(rows: DataFrame, counts: DataFrame, s: Settings) -> tuple[FittedFeatures, DataFrame]:
-    """Fit the blocks on ``rows`` and return them with the vectors of ``rows``."""
-    own = counts.join(rows.select("row_id"), "row_id", "left_semi")
+def _own(rows: DataFrame, counts: DataFrame, whole: bool) -> DataFrame:
+    """The counts of ``rows``; with ``whole`` the caller has left out all others, so nothing is joined."""
+    return counts.filter("row_id IS NOT NULL") if whole else counts.join(rows.select("row_id"), "row_id", "left_semi")
+
+
+def fit_features(rows: DataFrame, counts: DataFrame, s: Settings, whole: bool = False) -> tuple[FittedFeatures, DataFrame]:
+    """Fit the blocks on ``rows`` and return them with the vectors of ``rows``.
+
+    ``whole`` says that ``counts`` holds no other rows, so the large table need not be joined.
+    """
+    own = _own(rows, counts, whole)
     n_docs = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocabulary = materialize(fx.fit_tfidf(own, n_docs, s.min_df, s.max_df, s.max_features), "vocabulary")
     names = {"text": fx.text_names(vocabulary)}
@@ -98,30 +106,35 @@ def fit_features(rows: DataFrame, counts: DataFrame, s: Settings) -> tuple[Fitte
         raise ValueError("no features left: the documents may be empty or min_df too high")
     fitted = FittedFeatures(vocabulary, levels, index, size)
     cells = _blocks(rows, own, vocabulary, levels, s)
-    return fitted, fx.feature_vectors(rows.select("row_id", "label"), cells, index, size)
+    return fitted, fx.feature_vectors(rows.select("row_id", "label"), cells, index, size, "text__")
 
 
-def transform(rows: DataFrame, counts: DataFrame, fitted: FittedFeatures, s: Settings) -> DataFrame:
-    own = counts.join(rows.select("row_id"), "row_id", "left_semi")
+def transform(rows: DataFrame, counts: DataFrame, fitted: FittedFeatures, s: Settings, whole: bool = False) -> DataFrame:
+    own = _own(rows, counts, whole)
     cells = _blocks(rows, own, fitted.vocabulary, fitted.levels, s)
     keep = [c for c in ("row_id", "label", "event_id") if c in rows.columns]
-    return fx.feature_vectors(rows.select(*keep), cells, fitted.index, fitted.size)
+    return fx.feature_vectors(rows.select(*keep), cells, fitted.index, fitted.size, "text__")
 
 
-def _run_fold(fold: int, train: DataFrame, valid: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
-    fitted, vectors = fit_features(train, counts, s)
+def _run_fold(
+    fold: int, train: DataFrame, valid: DataFrame, train_counts: DataFrame, valid_counts: DataFrame, s: Settings, whole: bool
+) -> DataFrame:
+    fitted, vectors = fit_features(train, train_counts, s, whole)
     model = md.fit_model(vectors, s.model, **s.model_params)
-    scored = md.score(model, transform(valid, counts, fitted, s))
+    scored = md.score(model, transform(valid, valid_counts, fitted, s, whole))
     return scored.select(F.lit(fold).alias("fold"), "row_id", F.col("label").alias("y"), "p")
 
 
+def _roles(rows: DataFrame, s: Settings) -> tuple[DataFrame, list[int]]:
+    """``(row_id, fold, role)`` of the rolling folds, written once, and the fold numbers (at most ``n_splits``)."""
+    folds = fl.rolling_folds(rows, s.n_splits, s.minimum_train, s.date, "row_id").select("row_id", "fold", "role")
+    roles = materialize(folds, "folds")
+    return roles, sorted(r["fold"] for r in roles.select("fold").distinct().collect())
+
+
 def _folds(rows: DataFrame, s: Settings) -> list[tuple[int, DataFrame, DataFrame]]:
     if s.strategy == "rolling":
-        roles = materialize(
-            fl.rolling_folds(rows, s.n_splits, s.minimum_train, s.date, "row_id").select("row_id", "fold", "role"),
-            "folds",
-        )
-        numbers = sorted(r["fold"] for r in roles.select("fold").distinct().collect())  # at most n_splits
+        roles, numbers = _roles(rows, s)
 
         def part(fold: int, role: str) -> DataFrame:
             chosen = roles.filter((F.col("fold") == fold) & (F.col("role") == role))
@@ -136,12 +149,40 @@ def _folds(rows: DataFrame, s: Settings) -> list[tuple[int, DataFrame, DataFrame
     raise ValueError(f"unsupported validation strategy: {s.strategy}")
 
 
-def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Labelled rows and their token counts, both written once."""
+def _labelled(df: DataFrame, s: Settings) -> DataFrame:
     labelled = fl.require_labels(df, s.target)
     used = dict.fromkeys([s.event, s.date, s.text, *s.categorical, *s.numeric, "label"])
-    rows = materialize(labelled.select(F.col(s.row_id).alias("row_id"), *used), "rows")
-    return rows, materialize(fx.term_counts(rows, "row_id", s.text, s.ngram_range, s.lowercase), "counts")
+    return materialize(labelled.select(F.col(s.row_id).alias("row_id"), *used), "rows")
+
+
+def _counts(rows: DataFrame, s: Settings, keep: Sequence[str] = ()) -> DataFrame:
+    return materialize(fx.term_counts(rows, "row_id", s.text, s.ngram_range, s.lowercase, keep), "counts")
+
+
+def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows and their token counts, both written once."""
+    rows = _labelled(df, s)
+    return rows, _counts(rows, s)
+
+
+def _rolling_jobs(rows: DataFrame, s: Settings) -> tuple[DataFrame, list[tuple]]:
+    """Token counts of all rows and ``(fold, train, valid, their counts)`` of the rolling folds.
+
+    Rows and counts carry the folds of their row id (twice the fold, plus 1 to validate), so a fold filters
+    both: only the texts are joined with the folds, once, and never the counts.
+    """
+    roles, numbers = _roles(rows, s)
+    code = 2 * F.col("fold") + F.when(F.col("role") == "validate", 1).otherwise(0)
+    of_row = roles.groupBy("row_id").agg(F.sort_array(F.collect_set(code)).alias("__folds"))
+    marked = rows.join(of_row, "row_id", "left")
+    counts = _counts(marked, s, ["__folds"])
+    slim = materialize(marked.select(*[c for c in marked.columns if c != s.text or c in (*s.categorical, *s.numeric)]), "marked")
+
+    def part(df: DataFrame, fold: int, valid: int) -> DataFrame:
+        return df.filter(F.array_contains("__folds", 2 * fold + valid)).drop("__folds")
+
+    jobs = [(f, part(slim, f, 0), part(slim, f, 1), part(counts, f, 0), part(counts, f, 1)) for f in numbers]
+    return counts.drop("__folds"), jobs
 
 
 def run_experiment(df: DataFrame, s: Settings) -> Result:
@@ -150,12 +191,16 @@ def run_experiment(df: DataFrame, s: Settings) -> Result:
     Token counts and rows are written once. Fold fits run from a few driver threads; the data and all
     metrics stay on the executors.
     """
-    rows, counts = prepare(df, s)
+    rows, rolling = _labelled(df, s), s.strategy == "rolling"
+    if rolling:
+        counts, jobs = _rolling_jobs(rows, s)
+    else:
+        counts = _counts(rows, s)
+        jobs = [(*job, counts, counts) for job in _folds(rows, s)]
 
     def one(job):
-        return materialize(_run_fold(*job, counts, s), "predictions")
+        return materialize(_run_fold(*job, s, rolling), "predictions")
 
-    jobs = _folds(rows, s)
     if not jobs:
         raise ValueError("no fold has enough training rows")
     with ThreadPoolExecutor(max_workers=s.parallel_fits) as pool:
@@ -165,7 +210,7 @@ def run_experiment(df: DataFrame, s: Settings) -> Result:
         predictions = predictions.unionByName(part)
 
     per_fold = materialize(mt.classification_metrics(predictions), "fold-metrics")
-    fitted, vectors = fit_features(rows, counts, s)
+    fitted, vectors = fit_features(rows, counts, s, whole=True)
     base = md.fit_model(vectors, s.model, **s.model_params)
     calibrated = md.calibrate(vectors, s.model, s.calibration, s.cv, "row_id", **s.model_params)
     final = calibrated.predict(vectors).select(F.lit(0).alias("fold"), F.col("label").alias("y"), "p")
@@ -211,7 +256,7 @@ def score_segments(df: DataFrame, fitted: FittedFeatures, model: md.Calibrated,
     """``(row_id, event_id, probability)`` of new rows under a trained model."""
     rows = df.select(F.col(s.row_id).alias("row_id"), *dict.fromkeys([s.event, s.text, *s.categorical, *s.numeric]))
     counts = fx.term_counts(rows, "row_id", s.text, s.ngram_range, s.lowercase)
-    vectors = transform(rows.withColumnRenamed(s.event, "event_id"), counts, fitted, s)
+    vectors = transform(rows.withColumnRenamed(s.event, "event_id"), counts, fitted, s, whole=True)
     return model.predict(vectors, "probability").select("row_id", "event_id", "probability")
 
 

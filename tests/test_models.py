@@ -215,3 +215,28 @@ def test_texts_of_a_task_are_bounded(spark, monkeypatch):
     assert counts.rdd.getNumPartitions() >= 15
     # "some words 7 here" has three words of two characters, "some words 17 here" four.
     assert counts.agg(F.sum("tf")).first()[0] == 10 * (3 + 2) + 90 * (4 + 3)
+
+
+def test_rolling_folds_never_join_the_counts(spark, frame):
+    """Rows and counts of a fold are filters of written tables; repeated ids count once, as with a join."""
+    s = settings()
+    twice = frame.unionByName(frame.limit(7))
+    rows, plain = ex.prepare(twice, s)
+    counts, jobs = ex._rolling_jobs(rows, s)
+    key = lambda df: sorted(map(str, df.select("row_id", "term", "tf").collect()))
+    assert key(counts) == key(plain)
+    want = ex._folds(rows, s)
+    assert [j[0] for j in jobs] == [f for f, _, _ in want]
+    for (_, train, valid, train_counts, valid_counts), (_, a, b) in zip(jobs, want):
+        for got, own, old in ((train, train_counts, a), (valid, valid_counts, b)):
+            assert sorted(r[0] for r in got.select("row_id").collect()) == sorted(r[0] for r in old.select("row_id").collect())
+            assert key(own) == key(plain.join(old.select("row_id"), "row_id", "left_semi"))
+            assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_scale_one_block(spark):
+    rows = spark.createDataFrame([("1",), ("2",)], "row_id string")
+    cells = spark.createDataFrame([("1", "text__a", 3.0), ("1", "text__b", 4.0), ("1", "x__c", 2.0), ("2", "x__c", 7.0)], "row_id string, feature string, value double")
+    index = spark.createDataFrame([("text__a", 0), ("text__b", 1), ("x__c", 2)], "feature string, index bigint")
+    got = fx.feature_vectors(rows, cells, index, 3, "text__").select("row_id", vector_to_array("features").alias("v")).collect()
+    assert {r["row_id"]: r["v"] for r in got} == {"1": pytest.approx([0.6, 0.8, 2.0]), "2": [0.0, 0.0, 7.0]}
