@@ -35,6 +35,8 @@ NUM, DEN = 4, 5
 CELLS, FILTER_BITS = 1 << 22, 1 << 24
 #: Sets above this size also get a bitmap of this many cells; the small one says little about them.
 WIDE_FROM, WIDE_CELLS = 300, 4096
+#: Frequency classes of a count table's cell for each doubling of its count.
+STEPS = 8
 BORDERS = (0, 4, 8, 16, 32, 64, 128)
 #: Cost of looking at one list entry, in shuffled rows.
 SCAN_COST = 0.02
@@ -60,6 +62,11 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def text_hash(text: str | None) -> int:
+    """Tells texts apart before they are taken apart; equal sets may come from texts of different hashes."""
+    return int.from_bytes(xxhash.xxh3_64_digest((text or "").encode()), "little", signed=True)
+
+
 def parity(s: np.ndarray, cells: int = 512) -> np.ndarray:
     """Parities of hash cells, packed: the bits in which two sets differ are no more than their symmetric difference."""
     at = (s >> np.uint64(65 - cells.bit_length())).astype(np.int64)
@@ -72,21 +79,22 @@ def prefix_length(n: int) -> int:
 
 @dataclass(frozen=True)
 class Plan:
-    """``rank``: class of each cell of the count table (0: rare); ``border``: largest light set."""
+    """``rank``: class of each cell of the count table (small: rare); ``salts``: parts of a class's lists; ``border``: largest light set."""
 
     rank: np.ndarray
+    salts: np.ndarray
     border: int
 
 
 # --- first pass: sets and counts ---------------------------------------------------------------------------------
 
-_SETS = "doc long, n int, sig long, sig2 long, bits array<long>, wide array<long>, chunk int, counts binary"
+_SETS = "doc long, n int, sig long, sig2 long, bits array<long>, wide array<long>, textual long, chunk int, counts binary"
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    """A row per document (size, signature, parity bits), and the count table of each task in chunks."""
-    names = ["doc", "n", "sig", "sig2", "bits", "wide", "chunk", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    """A row per document (size, signature, parity bits, hash of the text), and the count table of each task in chunks."""
+    names = ["doc", "n", "sig", "sig2", "bits", "wide", "textual", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHashes(), np.zeros(CELLS, np.int64)
@@ -94,10 +102,11 @@ def _measure(docs: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             held: list[np.ndarray] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py(), memo)
+                text = text.as_py()
+                s = shingles(text, memo)
                 sig, sig2 = signature(s) if len(s) else (None, None)
                 wide = parity(s, WIDE_CELLS) if len(s) > WIDE_FROM else None
-                rows.append((doc, len(s), sig, sig2, parity(s) if len(s) else None, wide, None, None))
+                rows.append((doc, len(s), sig, sig2, parity(s) if len(s) else None, wide, text_hash(text), None, None))
                 held.append((s & np.uint64(CELLS - 1)).astype(np.int64))
                 if len(held) >= 1000:
                     counts += np.bincount(np.concatenate(held), minlength=CELLS)
@@ -107,16 +116,16 @@ def _measure(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for c, packed in counts_out(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([[None]] * 6 + [[c], [packed]], kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([[None]] * 7 + [[c], [packed]], kinds, strict=True)], names)
 
     return docs.mapInArrow(run, _SETS)
 
 
-def _classes_of_cells(batches: Iterator[pa.RecordBatch], load: float) -> Iterator[pa.RecordBatch]:
-    """A byte per cell (0: rare), and the sum of squared counts of each chunk."""
+def _classes_of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte per cell, ``STEPS`` classes for each doubling of the count, and the sum of squared counts of each chunk."""
     for batch in batches:
         counts = [np.frombuffer(c, np.int64) for c in batch.column(1).to_pylist()]
-        ranks = [np.ceil(np.log2(np.maximum(c / (4 * load + 16), 1))).astype(np.uint8).tobytes() for c in counts]
+        ranks = [np.minimum(np.ceil(STEPS * np.log2(np.maximum(c, 1))), 255).astype(np.uint8).tobytes() for c in counts]
         squares = [float((c.astype(float) ** 2).sum()) for c in counts]
         columns = [batch.column(0), pa.array(ranks, pa.binary()), pa.array(squares, pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, ["chunk", "ranks", "squares"])
@@ -135,41 +144,49 @@ def choose_plan(measured: DataFrame) -> Plan:
     total = max(int(row["total"] or 0), 1)
     load = total / CELLS
     chunks = measured.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    classed = chunks.mapInArrow(lambda batches: _classes_of_cells(add_counts(batches), load), "chunk int, ranks binary, squares double")
+    classed = chunks.mapInArrow(lambda batches: _classes_of_cells(add_counts(batches)), "chunk int, ranks binary, squares double")
     rank, squares = np.zeros((64, CELLS // 64), np.uint8), 0.0
     for chunk, packed, part in sorted(tuple(r) for r in classed.collect()):  # CELLS bytes in 64 rows
         squares += part
         rank[chunk] = np.frombuffer(packed, np.uint8)
     list_length = max(squares / total - load, 1.0)
     cost = [((row[f"light{b}"] or 0.0) + float(row[f"heavy{b}"] or 0) * (1 + SCAN_COST * list_length), b) for b in BORDERS]
-    return Plan(rank.reshape(-1), min(cost)[1])
+    # Lists that may be much longer than a cell's load of rare shingles are dealt over parts.
+    times = np.ceil(np.arange(256) / STEPS - np.log2(4 * load + 16)).astype(np.int64)
+    return Plan(rank.reshape(-1), np.where(times > 0, 8 << np.clip(times, 0, 16), 0), min(cost)[1])
 
 
 # --- second pass: keys -------------------------------------------------------------------------------------------
 
-_ENTRIES = "key long, salt int, sig long, n int"
+_ENTRIES = "key long, salt int, sig long, n int, room int"
+
 
+def keys_of(s: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, class of each, room of each) of a set: single shingles of its prefix, pairs of them, or both.
 
-def keys_of(s: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, class of each) of a set: single shingles of its prefix, pairs of them, or both."""
+    The room of a shingle is the number of shingles from it on in the global order: the intersection of two sets is no
+    larger than the room, on either side, of the first shingle that they share. A pair leaves all of the set.
+    """
     n = len(s)
     rank = plan.rank[(s & np.uint64(CELLS - 1)).astype(np.int64)]
     order = np.lexsort((s, rank))
     p = prefix_length(n)
-    keys, ranks = [], []
+    keys, ranks, rooms = [], [], []
     if DEN * n >= NUM * plan.border:  # heavy, or light with heavy partners in reach
         keys.append(s[order[:p]])
         ranks.append(rank[order[:p]])
+        rooms.append(n - np.arange(p))
     if n <= plan.border:
         first = order[: p + 1]
         i, j = np.triu_indices(len(first), 1)
         keys.append(mix(mix(s[first[i]] + np.uint64(1)) * ODD + s[first[j]]))
         ranks.append(np.minimum(rank[first[i]], rank[first[j]]))
-    return np.concatenate(keys), np.concatenate(ranks)
+        rooms.append(np.full(len(i), n))
+    return np.concatenate(keys), np.concatenate(ranks), np.concatenate(rooms)
 
 
 def _entries(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(key, salt, signature, size); frequent keys are dealt over salts, and a task sends equal sets once."""
+    """(key, salt, signature, size, room); frequent keys are dealt over salts, and a task sends equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +202,12 @@ def _entries(docs: DataFrame, plan: Plan) -> DataFrame:
                     continue
                 if len(seen) < 500_000:
                     seen.add(sig)
-                keys, ranks = keys_of(s, plan)
-                salts = np.where(ranks > 0, 1 + (sig[0] & 0x7FFFFFFF) % (8 << np.minimum(ranks, 16).astype(np.int64)), 0)
-                parts.append((keys.view(np.int64), salts.astype(np.int32), np.full(len(keys), sig[0]), np.full(len(keys), len(s), np.int32)))
+                keys, ranks, rooms = keys_of(s, plan)
+                several = plan.salts[ranks]
+                salts = np.where(several > 0, 1 + (sig[0] & 0x7FFFFFFF) % np.maximum(several, 1), 0)
+                parts.append((keys.view(np.int64), salts.astype(np.int32), np.full(len(keys), sig[0]), np.full(len(keys), len(s), np.int32), rooms.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "salt", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "salt", "sig", "n", "room"])
 
     return docs.mapInArrow(run, _ENTRIES)
 
@@ -224,20 +242,30 @@ def _could_link(bits: str) -> Column:
     return (DEN * least >= NUM * most) & ((NUM + DEN) * differ <= (DEN - NUM) * (F.col("na") + F.col("nb")))
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Signature pairs (a, b) as class pairs that may link.
+_OF_SET = ["sig", "sig2", "node", "n", "bits"]
 
-    The small bitmaps go with all pairs, the wide ones only with pairs of large sets that are left.
-    """
-    sets = classes.select("sig", "sig2", "node", "n", "bits")
+
+def _may_link() -> Column:
+    """Of the sets ``x`` and ``y``, by their sizes and small bitmaps."""
+    differ, both = _differing("bits"), F.col("x.n") + F.col("y.n")
+    reach = DEN * F.least("x.n", "y.n") >= NUM * F.greatest("x.n", "y.n")
+    return (F.col("x.node") != F.col("y.node")) & reach & ((NUM + DEN) * differ <= (DEN - NUM) * both)
+
+
+def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Signature pairs (a, b) as class pairs that may link."""
+    sets = classes.select(*_OF_SET)
     rows = pairs.join(sets.alias("x"), F.col("a") == F.col("x.sig"))
-    rows = rows.join(sets.select("sig", "sig2", "node", "n", "bits").alias("y"), F.col("b") == F.col("y.sig"))
-    rows = rows.withColumns({"na": F.col("x.n"), "nb": F.col("y.n")})
-    rows = rows.filter((F.col("x.node") != F.col("y.node")) & _could_link("bits")).select(
-        F.col("x.node").alias("node_a"), F.col("y.node").alias("node_b"), "a", "b",
-        F.col("x.sig2").alias("a2"), F.col("y.sig2").alias("b2"), "na", "nb",
+    return _by_bitmaps(rows.join(sets.select(*_OF_SET).alias("y"), (F.col("b") == F.col("y.sig")) & _may_link()), classes)
+
+
+def _by_bitmaps(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of sets ``x`` and ``y`` that the small bitmaps left; the wide ones go only with pairs of large sets."""
+    rows = rows.select(
+        F.col("x.node").alias("node_a"), F.col("y.node").alias("node_b"), F.col("x.sig").alias("a"), F.col("y.sig").alias("b"),
+        F.col("x.sig2").alias("a2"), F.col("y.sig2").alias("b2"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
     )
-    rows = materialize(rows, "near-pairs")
+    rows = materialize(rows.distinct(), "near-pairs")
     small = F.least("na", "nb") <= WIDE_FROM
     wide = classes.filter(F.col("wide").isNotNull()).select("sig", "sig2", "wide")
     large = rows.filter(~small).join(wide.select(F.col("sig").alias("a"), F.col("sig2").alias("a2"), "wide").alias("x"), ["a", "a2"])
@@ -245,11 +273,15 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.filter(small).unionByName(large.filter(_could_link("wide")).select(*rows.columns))
 
 
-def _wanted_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The shingles of the sets that the pairs name, once per set; a filter of fixed size spares the others the way."""
+def _wanted_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The shingles of the sets that the pairs name, once per set.
+
+    A filter of fixed size over the hashes of their texts spares the others being taken apart.
+    """
     words = FILTER_BITS >> 6
-    slot = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS))
-    named = pairs.select(slot("a").alias("s")).union(pairs.select(slot("b").alias("s")))
+    named = pairs.select(F.col("a").alias("sig"), F.col("a2").alias("sig2")).union(pairs.select("b", "b2"))
+    named = classes.select("sig", "sig2", "textual").join(named, ["sig", "sig2"], "left_semi")
+    named = named.select(F.pmod("textual", F.lit(FILTER_BITS)).alias("s"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
     table = np.zeros(words, np.int64)
     rows = named.select(F.shiftright("s", 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
@@ -262,13 +294,14 @@ def _wanted_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(1):
-                s = shingles(text.as_py(), memo)
-                if not len(s):
+                text = text.as_py()
+                at = text_hash(text) & (FILTER_BITS - 1)
+                if not (bits[at >> 3] >> (at & 7)) & 1:
                     continue
-                sig, sig2 = signature(s)
-                at = sig & (FILTER_BITS - 1)
-                if not (bits[at >> 3] >> (at & 7)) & 1 or (sig, sig2) in seen:
+                s = shingles(text, memo)
+                if not len(s) or (sig := signature(s)) in seen:
                     continue
+                sig, sig2 = sig
                 if len(seen) < 500_000:
                     seen.add((sig, sig2))
                 out.append((sig, sig2, s.view(np.int64)))
@@ -320,25 +353,29 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _cross_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct signature pairs that share a key and belong to different components so far.
+    """Distinct class pairs that may link, share a key and belong to different components so far.
 
     Keys whose sets are all in one component are dropped. For the others the sets of one component at one key form a
-    list; lists are paired (two sets that are alone are ruled out by their bitmaps at once), equal pairs from many keys become one, and only lists whose bitmaps allow a link between any
-    of their members are expanded into members.
+    list; lists are paired (those with too little room behind the key, and two sets that are alone and whose bitmaps
+    differ too much, are ruled out at once), equal pairs from many keys become one, and only lists whose bitmaps allow a
+    link between any of their members are expanded into members. The sizes and bitmaps of members are compared where
+    they meet.
     """
     named = classes.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "bits")
-    rows = shared.select("key", "sig", "n").join(named, "sig")
+    rows = shared.select("key", "sig", "n", "room").join(named, "sig")
     many = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rows = materialize(rows.join(many, "key").distinct(), "cross-rows")
     lists = rows.groupBy("key", "comp").agg(
         F.bit_xor(F.xxhash64("sig")).alias("l1"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("l2"), F.min("sig").alias("head"),
-        F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("sig") == F.max("sig")).alias("alone"),
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), (F.min("sig") == F.max("sig")).alias("alone"),
         F.when(F.min("sig") == F.max("sig"), F.first("bits")).alias("bits"),
     )
     lists = materialize(lists, "lists")
     x, y = lists.alias("x"), lists.alias("y")
     near = (DEN * F.col("x.hi") >= NUM * F.col("y.lo")) & (DEN * F.col("y.hi") >= NUM * F.col("x.lo"))
     near &= F.coalesce((NUM + DEN) * _differing("bits") <= (DEN - NUM) * (F.col("x.hi") + F.col("y.hi")), F.lit(True))
+    # At the first key that two sets share, the smaller room bounds their intersection.
+    near &= (NUM + DEN) * F.least("x.room", "y.room") >= NUM * (F.col("x.lo") + F.col("y.lo"))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
     sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("l1", "l2", "head", "hi")]
     met = materialize(met.select(*sides).distinct(), "list-pairs")
@@ -348,10 +385,10 @@ def _cross_pairs(shared: DataFrame, component: DataFrame, classes: DataFrame) ->
     members = several.join(rows.select("key", "comp", "sig"), ["key", "comp"]).select("l1", "l2", "head", "sig")
     members = materialize(members, "list-members")
     met = _near_lists(met, members, classes)
-    for side, name in (("x", "a"), ("y", "b")):
-        found = members.select(F.col("l1").alias(f"{side}_l1"), F.col("l2").alias(f"{side}_l2"), F.col("sig").alias(name))
-        met = met.join(found, [f"{side}_l1", f"{side}_l2"], "left").withColumn(name, F.coalesce(name, f"{side}_head"))
-    return met.select("a", "b").distinct()
+    single = lists.filter("alone").join(used, ["l1", "l2"], "left_semi").select("l1", "l2", F.col("head").alias("sig")).distinct()
+    sets = members.select("l1", "l2", "sig").union(single).join(classes.select(*_OF_SET), "sig")
+    of = lambda side: (F.col(f"{side}.l1") == F.col(f"{side}_l1")) & (F.col(f"{side}.l2") == F.col(f"{side}_l2"))
+    return _by_bitmaps(met.join(sets.alias("x"), of("x")).join(sets.select("l1", "l2", *_OF_SET).alias("y"), of("y") & _may_link()), classes)
 
 
 def _near_lists(met: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -400,9 +437,9 @@ def _components_of(slim: DataFrame) -> DataFrame:
     ship(slim.sparkSession)
     measured = materialize(_measure(slim), "sets")
     plan = choose_plan(measured)
-    rows = measured.filter("chunk IS NULL").select("doc", "n", "sig", "sig2", "bits", "wide")
+    rows = measured.filter("chunk IS NULL").select("doc", "n", "sig", "sig2", "bits", "wide", "textual")
     unnamed = F.lit(2**63 - 1) - F.shiftrightunsigned(F.col("sig"), 2)
-    classes = rows.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc").alias("node"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
+    classes = rows.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc").alias("node"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min("textual").alias("textual"))
     classes = materialize(classes.withColumn("node", F.coalesce("node", unnamed)), "classes")
 
     shared = materialize(_shared(_entries(slim, plan)), "shared")
@@ -411,8 +448,8 @@ def _components_of(slim: DataFrame) -> DataFrame:
     heads = heads.withColumn("b", F.min("a").over(Window.partitionBy("key", "size"))).filter("a <> b").select("a", "b")
     near = materialize(_candidates(stars.union(heads).distinct(), classes), "near")
     loose = components(near.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")))
-    apart = materialize(_candidates(_cross_pairs(shared, loose, classes), classes), "apart")
-    sets = _wanted_sets(slim, near.unionByName(apart))
+    apart = materialize(_cross_pairs(shared, loose, classes), "apart")
+    sets = _wanted_sets(slim, near.unionByName(apart), classes)
     by = F.struct("node_b", "node_a", "a", "b", "a2", "b2", "na", "nb")
     one = near.groupBy("node_a").agg(F.min(by).alias("p")).select("p.*")
     links = _verify(one.unionByName(apart), sets).union(_same_id(rows, classes))
@@ -421,7 +458,7 @@ def _components_of(slim: DataFrame) -> DataFrame:
     # inside a loose component, what is not linked yet; all its sets are named by near pairs
     inside = loose.join(classes.select("node", "sig"), "node").select("sig", "component")
     inside = shared.join(inside, "sig").withColumn("key", F.xxhash64("key", "component")).drop("component")
-    rest = materialize(_candidates(_cross_pairs(inside, tight, classes), classes), "rest")
+    rest = materialize(_cross_pairs(inside, tight, classes), "rest")
     final = components(_verify(rest, sets).union(tight.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     named = classes.join(final, "node", "left").select("sig", "sig2", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc", "n", "sig", "sig2").join(named, ["sig", "sig2"], "left")

@@ -171,3 +171,29 @@ def test_wavelet_and_index():
         low, high = index.extend(np.array([w]), low, high)
     found = sorted(index.suffixes[low[0] : high[0]])
     assert found == [i for i in range(len(text) - 5) if (text[i : i + 6] == words).all()]
+
+
+def test_rarer_shingles_come_first(make_docs, spark):
+    """A passage of 16 documents is no key of documents that have rarer shingles, so they do not meet."""
+    passage = prose(5, 25)
+    texts = [" ".join([f"w{k}x{j}" for j in range(30)] + passage) for k in range(16)]
+    jaccard_join.ship(spark)
+    docs = make_docs([(k, t, "en", "s") for k, t in enumerate(texts)]).selectExpr("doc_id AS doc", "text")
+    plan = jaccard_join.choose_plan(jaccard_join.materialize(jaccard_join._measure(docs), "sets"))
+    keys = [set(jaccard_join.keys_of(jaccard_join.shingles(t, jaccard_join.WordHashes()), plan)[0].tolist()) for t in texts]
+    assert all(not a & b for i, a in enumerate(keys) for b in keys[:i])
+
+
+def test_room_bounds_the_intersection():
+    """The rooms of the first key that two sets share are no less than their intersection."""
+    r = np.random.default_rng(2)
+    rank = r.integers(0, 40, jaccard_join.CELLS).astype(np.uint8)
+    plan = jaccard_join.Plan(rank, np.zeros(256, np.int64), 0)
+    for _ in range(200):
+        x = np.unique(r.integers(0, 1 << 63, 60).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: r.integers(50, len(x))], r.integers(0, 1 << 63, 4).astype(np.uint64)]))
+        (kx, _, rx), (ky, _, ry) = jaccard_join.keys_of(x, plan), jaccard_join.keys_of(y, plan)
+        shared, i, j = np.intersect1d(kx, ky, return_indices=True)
+        both = len(np.intersect1d(x, y))
+        if 5 * both >= 4 * (len(x) + len(y) - both):
+            assert len(shared) and np.minimum(rx[i], ry[j]).max() >= both
