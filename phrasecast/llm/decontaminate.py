@@ -30,6 +30,8 @@ _END = rf"(?=[.!?:,]|{_BLANK}|$)"
 _MARKS = r"""["#$%&'()*+/;<=>@\[\\\]^_`{|}~«»·¿¡-]+"""
 #: Words of the fixed-size filter; its 64 * 2**14 bits are 128 KB whatever the size of the benchmark.
 _FILTER = 1 << 14
+#: Tokens whose windows are made at once; a longer text is cut into blocks, which overlap by a window.
+BLOCK = 512
 
 
 def template_tokens(text: Column) -> Column:
@@ -137,6 +139,17 @@ def _filter_bits(windows: DataFrame) -> DataFrame:
     return rows.select(F.col("t.b").alias("bits"))
 
 
+def _blocks(texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id, start, tokens``: the tokens in blocks, each with the tokens that windows of its first ``BLOCK`` places reach.
+
+    A row of a long text would hold an object for each of its windows, and each window would carry all tokens.
+    """
+    n = F.size("tokens")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.struct(i.alias("start"), F.slice("tokens", i + 1, F.lit(BLOCK + width - 1)).alias("tokens")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("tokens").alias("tokens")))
+    return texts.select("doc_id", F.inline(F.when(n > BLOCK, cut).otherwise(whole)))
+
+
 def _item_windows(items: DataFrame, width: int, min_literals: int) -> DataFrame:
     """``item_id, n_tokens, width, at, how, h, part``: every window of the items in each way in which it is compared.
 
@@ -183,11 +196,12 @@ def leaks(
     bits = _filter_bits(items).scalar()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), template_tokens(F.col(text_col)).alias("tokens"))
-    found = texts.withColumn("hashes", _hashes(wanted, min_literals))
-    found = found.select("doc_id", "tokens", F.explode_outer("hashes").alias("x")).select("doc_id", "tokens", "x.*")
+    found = _blocks(texts, width).withColumn("hashes", _hashes(wanted, min_literals))
+    found = found.select("doc_id", "start", "tokens", F.explode_outer("hashes").alias("x")).select("doc_id", "start", "tokens", "x.*")
+    found = found.filter(F.col("at") < BLOCK)  # those behind belong to the next block
     word = F.get(bits, F.pmod("h", F.lit(_FILTER)).cast("int"))
     found = found.filter(F.call_function("shiftrightunsigned", word, _bit_of("h")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    found = found.select("doc_id", F.col("at").alias("doc_at"), "h", F.transform(_parts("width"), _value).alias("doc_part"))
+    found = found.select("doc_id", (F.col("start") + F.col("at")).alias("doc_at"), "h", F.transform(_parts("width"), _value).alias("doc_part"))
 
     pair = ["doc_id", "item_id", "shift"]
     met = found.join(items, "h").withColumn("shift", F.col("doc_at") - F.col("item_at"))
