@@ -7,6 +7,7 @@ joined; the join is what applies it to new rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -86,19 +87,33 @@ def fit_tfidf(
 
 
 def tfidf(
-    counts: DataFrame, vocabulary: DataFrame, max_features: int | None = None, sublinear: bool = True, normalise: bool = True
+    counts: DataFrame, vocabulary: DataFrame, max_features: int | None = None, sublinear: bool = True, normalise: bool = True,
+    slices: int = 1,
 ) -> DataFrame:
     """``(row_id, feature, value)``: L2-normalised weights.
 
     ``max_features`` is the cap the vocabulary was fitted with. The norm is a window over one document;
     without ``normalise`` it is left to ``feature_vectors``, which gathers a document's cells anyway.
+    With several ``slices`` (of the terms, by hash) a vocabulary that is not broadcast meets the counts
+    slice by slice, each written before the next one starts: the cells of one slice are shuffled by
+    term at a time, and none of them are on disk when those of all are shuffled by row. The counts are
+    read once a slice, so they should be a written table.
     """
     tf = F.col("tf").cast("double")
     weight = (1 + F.log(tf) if sublinear else tf) * F.col("idf")
     # A term has df rows in the counts, so fewer than 1000 terms hold more than 1/1000 of them.
     total = vocabulary.agg(F.sum("df").alias("n")).scalar()
     hot = vocabulary.filter(F.col("df") * 1000 > total)
-    raw = _by_feature(counts, vocabulary, "term", max_features, hot).select("row_id", "term", weight.alias("w"))
+
+    def weighed(cells: DataFrame, terms: DataFrame, frequent: DataFrame) -> DataFrame:
+        return _by_feature(cells, terms, "term", max_features, frequent).select("row_id", "term", weight.alias("w"))
+
+    if slices > 1 and (max_features is None or max_features > BROADCAST_ROWS):
+        place = F.pmod(F.xxhash64("term"), F.lit(slices))
+        parts = [materialize(weighed(*(x.filter(place == i) for x in (counts, vocabulary, hot))), "weights") for i in range(slices)]
+        raw = reduce(DataFrame.unionByName, parts)
+    else:
+        raw = weighed(counts, vocabulary, hot)
     if not normalise:
         return raw.select("row_id", F.col("term").alias("feature"), F.col("w").alias("value"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))

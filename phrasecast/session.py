@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -48,15 +51,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/phrasecast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of an execution are deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writing, _before = threading.Lock(), 0, "false"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are deleted when it ends; the setting of before comes back after the last of several threads."""
+    global _writing, _before
+    with _lock:
+        if not _writing:
+            _before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writing += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing -= 1
+            if not _writing:
+                spark.conf.set(_CLEANUP, _before)
+
+
 def materialize(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, so a lost executor never recomputes (and never renumbers) it.
-    ``schema`` may re-type columns that are stored alike, such as a struct read back as a vector.
+    ``schema`` may re-type columns that are stored alike, such as a struct read back as a vector. The
+    table is all that stays on disk: its shuffle files go when it is written, not when the driver
+    happens to collect its garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
