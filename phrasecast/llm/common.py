@@ -14,6 +14,9 @@ from phrasecast.session import materialize
 #: Words are maximal runs of anything but ASCII white space; Python's ``bytes.split()`` cuts at the same bytes.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts that go to Python at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -31,6 +34,15 @@ def ship(spark: SparkSession) -> None:
     context._phrasecast_shipped = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows in a batch for Python from now on in this session.
+
+    A batch of whole texts stands several times in memory: in the JVM, on its way, and as Python strings.
+    """
+    if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS or int(spark.conf.get(_BATCH, "10000")) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

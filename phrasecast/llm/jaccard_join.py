@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
-from phrasecast.llm.common import ship, split_unnamed
+from phrasecast.llm.common import ship, small_batches, split_unnamed
 from phrasecast.llm.hashing import ODD, WordHashes, add_counts, counts_out, mix
 from phrasecast.session import materialize
 
@@ -435,6 +435,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _components_of(slim: DataFrame) -> DataFrame:
     """``doc, n, component`` of every row of ``doc, text``: the smallest node reachable; null without shingles."""
     ship(slim.sparkSession)
+    small_batches(slim.sparkSession)
     measured = materialize(_measure(slim), "sets")
     plan = choose_plan(measured)
     rows = measured.filter("chunk IS NULL").select("doc", "n", "sig", "sig2", "bits", "wide", "textual")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from phrasecast.llm.common import crc_remainder, ship
+from phrasecast.llm.common import crc_remainder, ship, small_batches
 from phrasecast.session import materialize
 
 #: Runs of letters; everything else is no evidence of a language.
@@ -232,12 +232,13 @@ class _Memo(dict):
         return n
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], model: Model, most_words: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, kept: int, most_words: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """The first ``kept`` columns and the two new ones; column ``text_at`` has the texts."""
     memo, scores = _Memo(), np.zeros((0, len(model.languages)))
     for batch in batches:
         best, value = [], []
         for at in range(0, batch.num_rows, 64):
-            texts = batch.column(0).slice(at, 64).to_pylist()
+            texts = batch.column(text_at).slice(at, 64).to_pylist()
             found = [LETTERS.findall((t or "").lower()) for t in texts]
             ids = [np.fromiter(map(memo.__getitem__, w), dtype=np.int64, count=len(w)) for w in found]
             if len(memo) > len(scores):
@@ -255,7 +256,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Model, most_words:
             if len(memo) > most_words:
                 memo, scores = _Memo(), scores[:0]
         columns = [pa.array(best, pa.string()), pa.array(value, pa.float64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], [*batch.schema.names[:kept], "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -269,9 +270,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     ship(spark)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages: bounded by the public vocabulary
-    rows = docs.select(F.col(text_col).alias("__text"), *kept)
+    # The text goes to Python once, also where it comes back.
+    rows = docs.select(*kept) if text_col in kept else docs.select(*kept, F.col(text_col).alias("__text"))
+    at = kept.index(text_col) if text_col in kept else len(kept)
+    small_batches(spark)
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(lambda batches: _score_batches(batches, shared.value), schema)
+    return rows.mapInArrow(lambda batches: _score_batches(batches, shared.value, at, len(kept)), schema)
 
 
 def report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Long texts: windows are made block by block."""
+"""Long texts: windows are made block by block, and a text goes to Python once, in small batches."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from phrasecast.llm import decontaminate
+from phrasecast.llm import common, decontaminate, language
 
 
 def rows():
@@ -36,3 +37,16 @@ def test_no_row_holds_a_long_text(spark):
     assert max(r["n"] for r in got) <= decontaminate.BLOCK + 7
     assert [r["start"] for r in got if r["doc_id"] == 2] == list(range(0, 5000, decontaminate.BLOCK))
     assert [tuple(r) for r in got if r["doc_id"] != 2] == [(1, 0, 2), (3, 0, 0)]
+
+
+def test_a_text_goes_to_python_once_in_small_batches(spark, make_docs):
+    pytest.importorskip("public_tokenizers")
+    docs = make_docs([(k, f"the river and the stone {k}", "en", "a") for k in range(8)] + [(9, None, "fr", "b")])
+    spark.conf.set(common._BATCH, "10000")
+    model = language.train(docs)
+    out = language.identify(docs, model)
+    assert out.columns == [*(c for c in docs.columns if c != "score"), "lang_pred", "score"]
+    assert "__text" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert int(spark.conf.get(common._BATCH)) == common.BATCH_ROWS
+    got = {r["doc_id"]: (r["text"], r["lang_pred"]) for r in out.collect()}
+    assert got[9] == (None, language.UNKNOWN) and got[3] == ("the river and the stone 3", "en")
