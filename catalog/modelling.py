@@ -30,7 +30,7 @@ def flt_labels(spark, sf):
 def fea_tfidf(spark, sf):
     """Weights of all documents, summed up per document."""
     docs = v.table(spark, sf, "documents")
-    # Sorted by term, the table and what is shuffled by term are a third smaller.
+    # Sorted by term, the table and what is shuffled by term compress better.
     counts = materialize(fx.term_counts(docs, "doc_id", "text").sortWithinPartitions("term"), "counts")
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     weights = fx.tfidf(counts, materialize(fx.fit_tfidf(counts, n), "vocabulary"), slices=4)
